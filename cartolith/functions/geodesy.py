@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, SparkSession, functions as F
+from pyspark.sql import Column, SparkSession, functions as F, types as T
 
 # WGS84 ellipsoid and mean sphere.
 WGS84_A = 6_378_137.0
@@ -75,7 +75,7 @@ def vincenty_np(lat1, lon1, lat2, lon2, max_iterations: int = 200, tolerance: fl
     return result
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _vincenty_udf(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
     meters = pd.Series(vincenty_np(lat1, lon1, lat2, lon2))
     return meters.where(np.isfinite(meters), None)

@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cartolith.functions.coords import valid_point
 from cartolith.functions.geodesy import flat_squared_degrees, vincenty_m
-from cartolith.session import cut_lineage
+from cartolith.session import materialise
 
 BASE_DEGREES = 45.0
-LEAF_PLACES = 24
+LEAF_PLACES = 64
+SPLIT_LEVELS = 2
 MAX_LEVEL = 22
 _CELL = ["level", "cx", "cy"]
 
@@ -59,8 +60,7 @@ def build_nearest_index(places: DataFrame, rank: Column, value: list, lat: str =
                         lon: str = "lon", leaf_places: int = LEAF_PLACES) -> NearestIndex:
     """Index places for :func:`nearest`. Equal distances go to the lowest ``rank``.
 
-    Cells with too many candidates are split in four, level by level, until each list is
-    short. Places that share a position collapse to the best-ranked one first, so crowding
+    Cells with too many candidates are split, round by round, until each list is short. Places that share a position collapse to the best-ranked one first, so crowding
     cannot survive splitting.
     """
     named = places.select(F.col(lat).alias("p_lat"), F.col(lon).alias("p_lon"), rank.alias("rank"),
@@ -72,23 +72,24 @@ def build_nearest_index(places: DataFrame, rank: Column, value: list, lat: str =
             .withColumn("cx", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
             .withColumn("cy", F.explode(F.sequence(F.lit(0), F.lit(up - 1)))))
     done, levels = [], []
-    for level in range(MAX_LEVEL + 1):
-        kept = cut_lineage(_prune(rows))
-        crowded = kept.groupBy(*_CELL).count().filter(F.col("count") > leaf_places).drop("count")
-        last = level == MAX_LEVEL or crowded.isEmpty()
-        ready = kept if last else kept.join(crowded, _CELL, "left_anti")
-        done.append(ready)
+    for level in range(0, MAX_LEVEL + 1, SPLIT_LEVELS):
+        kept = materialise(_prune(rows), "candidates")
+        sizes = kept.groupBy(*_CELL).count()
+        crowded = sizes.filter(F.col("count") > leaf_places).drop("count")
+        last = level + SPLIT_LEVELS > MAX_LEVEL or crowded.isEmpty()
+        done.append(kept if last else kept.join(crowded, _CELL, "left_anti"))
         levels.append(level)
         if last:
             break
-        rows = (kept.join(crowded, _CELL, "left_semi")
-                .withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(3))))
-                .withColumn("level", F.col("level") + 1)
-                .withColumn("cx", F.col("cx") * 2 + F.col("_q") % 2)
-                .withColumn("cy", F.col("cy") * 2 + F.floor(F.col("_q") / 2).cast("int")).drop("_q"))
+        cut = 2 ** SPLIT_LEVELS
+        parts = F.sequence(F.lit(0), F.lit(cut - 1))
+        rows = (kept.join(crowded, _CELL, "left_semi").withColumn("level", F.col("level") + SPLIT_LEVELS)
+                .withColumn("_i", F.explode(parts)).withColumn("_j", F.explode(parts))
+                .withColumn("cx", F.col("cx") * cut + F.col("_i")).withColumn("cy", F.col("cy") * cut + F.col("_j"))
+                .drop("_i", "_j"))
     packed = reduce(DataFrame.unionByName, done).groupBy(*_CELL).agg(
         F.collect_list(F.struct("p_lat", "p_lon", "rank", "value")).alias("places"))
-    return NearestIndex(cut_lineage(packed), tuple(levels))
+    return NearestIndex(materialise(packed, "leaves"), tuple(levels))
 
 
 def nearest(points: DataFrame, index: NearestIndex, out: str, lat: str = "lat", lon: str = "lon") -> DataFrame:

@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cartolith.functions.coords import valid_point
+from cartolith.session import materialise
 
 BANDS_PER_CELL = 8
 _GROW = 1e-9
@@ -93,8 +94,24 @@ def _interior_cells(segments: DataFrame, size: float) -> DataFrame:
     return spans.select("rank", F.explode(F.sequence("c0", "c1")).alias("cx"), "cy")
 
 
+@dataclass(frozen=True)
+class ShapeIndex:
+    """Lookup tables of a shape set, written once and used by many lookups.
+
+    ``settled``: cells where one shape answers for every point, and cells that stay open.
+    ``covered``: shapes per cell with a flag for cells wholly inside.
+    ``segments``: border segments by shape and latitude band.
+    """
+
+    settled: DataFrame
+    covered: DataFrame
+    segments: DataFrame
+    values: DataFrame
+    cell_degrees: float
+
+
 def cover(shape_set: ShapeSet) -> DataFrame:
-    """Cells of every shape: rank, cx, cy, full (wholly inside) and rim (needs the exact test)."""
+    """Cells of every shape: rank, cx, cy and full (wholly inside)."""
     size = shape_set.cell_degrees
     segments = ring_segments(shape_set.shapes)
     rim = (_touched_cells(segments, size, F.coalesce("radius", F.lit(0.0)) + _GROW)
@@ -105,64 +122,61 @@ def cover(shape_set: ShapeSet) -> DataFrame:
     return marked.select("rank", "cx", "cy", (~F.col("rim")).alias("full"))
 
 
-def locate(points: DataFrame, shape_set: ShapeSet, key: list[str], out: str,
+def build_shape_index(shape_set: ShapeSet) -> ShapeIndex:
+    size = shape_set.cell_degrees
+    band = size / BANDS_PER_CELL
+    covered = materialise(cover(shape_set), "cover")
+    values = shape_set.shapes.select("rank", "value")
+    cells = covered.groupBy("cx", "cy").agg(
+        F.min("rank").alias("_any"), F.min(F.when(F.col("full"), F.col("rank"))).alias("_full"))
+    settled = (cells.withColumn("rank", F.when(F.col("_any") == F.col("_full"), F.col("_any")))
+               .join(values, "rank", "left").select("cx", "cy", F.col("rank").isNull().alias("open"), "value"))
+    reach = F.coalesce("radius", F.lit(0.0))
+    reach = F.when(reach > 0.0, reach + _GROW).otherwise(0.0)
+    banded = ring_segments(shape_set.shapes).withColumn("band", F.explode(F.sequence(
+        _cell(F.least("y1", "y2") - reach, band), _cell(F.greatest("y1", "y2") + reach, band))))
+    return ShapeIndex(materialise(settled, "settled"), covered, materialise(banded, "segments"), values, size)
+
+
+def locate(points: DataFrame, index: ShapeIndex, key: list[str], out: str,
            lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Add ``out``: the value of the best-ranked shape covering each point, borders included.
 
     ``key`` must identify a point. Points outside every shape, and invalid ones, get NULL.
     """
-    size = shape_set.cell_degrees
-    covered = cover(shape_set)
-    cells = covered.groupBy("cx", "cy").agg(
-        F.min("rank").alias("_any"), F.min(F.when(F.col("full"), F.col("rank"))).alias("_full"))
-    values = shape_set.shapes.select(F.col("rank").alias("_rank"), F.col("value").alias(out))
-    settled = cells.select("cx", "cy", F.when(F.col("_any") == F.col("_full"), F.col("_any")).alias("_rank"),
-                           F.lit(True).alias("_met"))
-    settled = settled.join(values, "_rank", "left").select("cx", "cy", out, F.col("_rank"), "_met")
-
+    size = index.cell_degrees
     ok = valid_point(F.col(lat), F.col(lon))
     placed = points.withColumn("cx", F.when(ok, _cell(F.col(lon), size))) \
                    .withColumn("cy", F.when(ok, _cell(F.col(lat), size)))
-    looked = placed.join(settled, ["cx", "cy"], "left")
-    open_case = F.col("_met").isNotNull() & F.col("_rank").isNull()
-    easy = looked.filter(~open_case).select(*points.columns, out)
+    looked = placed.join(index.settled.withColumnRenamed("value", out), ["cx", "cy"], "left")
+    is_open = F.coalesce("open", F.lit(False))
+    easy = looked.filter(~is_open).select(*points.columns, out)
 
-    hard = looked.filter(open_case).select("cx", "cy", *points.columns)
-    winners = _exact_hits(hard, shape_set, covered, key, lat, lon).groupBy(*key).agg(F.min("rank").alias("_rank"))
-    winners = winners.join(values, "_rank").select(*key, out)
+    hard = looked.filter(is_open).select("cx", "cy", *points.columns)
+    winners = (_exact_hits(hard, index, key, lat, lon).groupBy(*key).agg(F.min("rank").alias("rank"))
+               .join(index.values, "rank").select(*key, F.col("value").alias(out)))
     return easy.unionByName(hard.join(winners, key, "left").select(*points.columns, out))
 
 
-def _exact_hits(hard: DataFrame, shape_set: ShapeSet, covered: DataFrame, key: list[str],
-                lat: str, lon: str) -> DataFrame:
-    """Every (point, rank) pair that holds exactly, for points in border cells."""
-    size = shape_set.cell_degrees
-    band = size / BANDS_PER_CELL
-    probe = hard.select(*key, "cx", "cy", F.col(lat).alias("_y"), F.col(lon).alias("_x")).withColumn(
-        "band", _cell(F.col("_y"), band))
-    pairs = probe.join(covered, ["cx", "cy"])
-    inside = pairs.filter("full").select(*key, "rank")
-
-    segments = ring_segments(shape_set.shapes)
-    areas = segments.filter(F.col("radius").isNull()).select(
-        "rank", "x1", "y1", "x2", "y2",
-        F.explode(F.sequence(_cell(F.least("y1", "y2"), band), _cell(F.greatest("y1", "y2"), band))).alias("band"))
-    tested = pairs.filter(~F.col("full")).join(areas, ["rank", "band"])
+def _exact_hits(placed: DataFrame, index: ShapeIndex, key: list[str], lat: str, lon: str) -> DataFrame:
+    """Every (point, rank) pair that holds exactly; points carry their cell in cx, cy."""
+    probe = placed.select(*key, "cx", "cy", F.col(lat).alias("_y"), F.col(lon).alias("_x"))
+    pairs = probe.join(index.covered, ["cx", "cy"]).select(
+        *key, "_x", "_y", "rank", "full", F.when(~F.col("full"), F.col("rank")).alias("_test"),
+        _cell(F.col("_y"), index.cell_degrees / BANDS_PER_CELL).alias("band"))
+    tested = pairs.join(index.segments.withColumnRenamed("rank", "_test"), ["_test", "band"], "left")
     x, y = F.col("_x"), F.col("_y")
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     side = (x - F.col("x1")) * dy - (y - F.col("y1")) * dx
-    on_edge = ((side == 0.0) & x.between(F.least("x1", "x2"), F.greatest("x1", "x2"))
+    area = F.col("radius").isNull()
+    on_edge = (area & (side == 0.0) & x.between(F.least("x1", "x2"), F.greatest("x1", "x2"))
                & y.between(F.least("y1", "y2"), F.greatest("y1", "y2")))
     straddles = (F.col("y1") <= y) != (F.col("y2") <= y)
-    crosses = straddles & F.when(dy > 0, side < 0.0).otherwise(side > 0.0)
-    area_hits = (tested.groupBy(*key, "rank")
-                 .agg(F.sum(crosses.cast("int")).alias("n"), F.max(on_edge).alias("edge"))
-                 .filter((F.col("n") % 2 == 1) | F.col("edge")).select(*key, "rank"))
-
-    lines = _touched_cells(segments.filter(F.col("radius").isNotNull()), size, F.col("radius") + _GROW)
-    near = probe.join(lines.select("rank", "radius", "x1", "y1", "x2", "y2", "cx", "cy"), ["cx", "cy"])
-    line_hits = near.filter(segment_squared_distance(x, y) <= F.col("radius") * F.col("radius")).select(*key, "rank")
-    return reduce(DataFrame.unionByName, [inside, area_hits, line_hits])
+    crosses = area & straddles & F.when(dy > 0, side < 0.0).otherwise(side > 0.0)
+    near = segment_squared_distance(x, y) <= F.col("radius") * F.col("radius")
+    verdict = tested.groupBy(*key, "rank").agg(
+        F.sum(crosses.cast("int")).alias("n"), F.max(F.col("full") | on_edge | F.coalesce(near, F.lit(False))).alias("sure"))
+    return verdict.filter((F.col("n") % 2 == 1) | F.col("sure")).select(*key, "rank")
 
 
 def segment_squared_distance(x: Column, y: Column) -> Column:
@@ -175,20 +189,19 @@ def segment_squared_distance(x: Column, y: Column) -> Column:
     return ex * ex + ey * ey
 
 
-def within_shapes(points: DataFrame, shape_set: ShapeSet, key: list[str], lat: str = "lat",
+def within_shapes(points: DataFrame, index: ShapeIndex, key: list[str], lat: str = "lat",
                   lon: str = "lon") -> DataFrame:
     """Semi-join: the points covered by any shape."""
-    found = locate(points, shape_set, key, "_hit", lat, lon)
-    return found.filter(F.col("_hit").isNotNull()).drop("_hit")
+    return locate(points, index, key, "_hit", lat, lon).filter(F.col("_hit").isNotNull()).drop("_hit")
 
 
-def all_hits(points: DataFrame, shape_set: ShapeSet, key: list[str], lat: str = "lat",
+def all_hits(points: DataFrame, index: ShapeIndex, key: list[str], lat: str = "lat",
              lon: str = "lon") -> DataFrame:
     """Every (point, shape) pair, as key columns plus rank."""
-    size = shape_set.cell_degrees
     placed = (points.filter(valid_point(F.col(lat), F.col(lon)))
-              .withColumn("cx", _cell(F.col(lon), size)).withColumn("cy", _cell(F.col(lat), size)))
-    return _exact_hits(placed, shape_set, cover(shape_set), key, lat, lon).distinct()
+              .withColumn("cx", _cell(F.col(lon), index.cell_degrees))
+              .withColumn("cy", _cell(F.col(lat), index.cell_degrees)))
+    return _exact_hits(placed, index, key, lat, lon)
 
 
 def boxes_meeting(boxes: DataFrame, features: DataFrame, box_key: list[str], feature_key: list[str],

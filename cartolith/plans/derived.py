@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cartolith.operators.nearest import NearestIndex, build_nearest_index
 from cartolith.operators.raster import dem_blocks, landcover_blocks
-from cartolith.operators.shapes import ShapeSet, area_set, box_ring
+from cartolith.operators.shapes import ShapeIndex, area_set, box_ring, build_shape_index
 from cartolith.params import LANDCOVER_CLASSES
 
 # Expressions that read the same in both dialects.
@@ -192,12 +192,12 @@ class Tables:
         return dem_blocks(self.dem_tiles)
 
     @cached_property
-    def country_shapes(self) -> ShapeSet:
-        return area_set(self.countries, F.col("id"), ["id", "iso_code", "name"], cell_degrees=1.0)
+    def country_shapes(self) -> ShapeIndex:
+        return build_shape_index(area_set(self.countries, F.col("id"), ["id", "iso_code", "name"]))
 
     @cached_property
-    def region_shapes(self) -> ShapeSet:
-        return area_set(self.regions, F.col("id"), ["id", "name"], cell_degrees=1.0)
+    def region_shapes(self) -> ShapeIndex:
+        return build_shape_index(area_set(self.regions, F.col("id"), ["id", "name"]))
 
     @cached_property
     def city_rank(self):

@@ -12,7 +12,7 @@ from cartolith.functions.noise import cell_smooth
 from cartolith.functions.vertical import round_half_up, to_y
 from cartolith.functions.water import place_water
 from cartolith.operators.raster import elevation_at, footprint_mean, landcover_at
-from cartolith.operators.shapes import ShapeSet
+from cartolith.operators.shapes import ShapeIndex
 from cartolith.operators.shaping import shape_surface
 from cartolith.operators.water import water_column_at
 from cartolith.params import TerrainParams
@@ -33,7 +33,7 @@ class TerrainSources:
     """
 
     dem: DataFrame | None = None
-    water: ShapeSet | None = None
+    water: ShapeIndex | None = None
     landcover: DataFrame | None = None
     has_ocean: bool = False
     has_bathymetry: bool = False
@@ -177,7 +177,7 @@ def base_height(terrain: DataFrame) -> DataFrame:
     return terrain.select("bx", "bz", top.alias("base_height"))
 
 
-def whereami(points: DataFrame, countries: ShapeSet | None, regions: ShapeSet | None, cities, dem: DataFrame | None,
+def whereami(points: DataFrame, countries: ShapeIndex | None, regions: ShapeIndex | None, cities, dem: DataFrame | None,
              key: list[str]) -> DataFrame:
     """Answer "where am I" for every point: elevation, country, region and nearest city with
     its geodesic distance and direction. Inputs that are missing leave their columns NULL."""
