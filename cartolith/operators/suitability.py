@@ -336,14 +336,24 @@ SITE_RADII = {"DESERT_RUIN": 4, "JUNGLE_SHRINE": 4, "WATCHTOWER": 3, "CRYPT": 2,
               "SNOW_SHELTER": 3, "MOUNTAIN_HUT": 3, "SHIPWRECK": 4}
 
 
-def site_suitability(terrain: DataFrame, spacing: int = 12, chance: float = 0.6) -> DataFrame:
-    """Candidate sites with their kind and flattest footprint."""
+# Free blocks a kind needs above its floor, and below it for the deepest one.
+SITE_HEADROOM = {"DESERT_RUIN": 3, "JUNGLE_SHRINE": 6, "WATCHTOWER": 4, "CRYPT": 6, "CAMP": 4, "STONE_CIRCLE": 4,
+                 "SNOW_SHELTER": 4, "MOUNTAIN_HUT": 5, "SHIPWRECK": 5}
+SITE_DEPTH = 11
+
+
+def site_suitability(terrain: DataFrame, min_y: int, max_y: int, spacing: int = 12, chance: float = 0.6) -> DataFrame:
+    """Candidate sites with their kind and flattest footprint; sites too near the world's floor or
+    ceiling are left out."""
     centres = chunk_centres(terrain).filter("land_biome IS NOT NULL")
     sites = site_chunks(centres, spacing, chance).withColumn("kind", site_kind(F.col("land_biome"), F.col("coast"), F.col("kind_roll")))
     kinds = sites.filter("kind IS NOT NULL").select(
-        "cx", "cz", "kind", "land_biome", _value_of(F.col("kind"), SITE_RADII).alias("radius"), (F.col("kind") == "SHIPWRECK").alias("wreck"))
+        "cx", "cz", "kind", "land_biome", _value_of(F.col("kind"), SITE_RADII).cast("int").alias("radius"),
+        _value_of(F.col("kind"), SITE_HEADROOM).cast("int").alias("headroom"), (F.col("kind") == "SHIPWRECK").alias("wreck"))
     found = flattest_footprint(terrain, kinds.select("cx", "cz", "radius", "wreck"))
-    return kinds.select("cx", "cz", "kind", "land_biome").join(found, ["cx", "cz"])
+    placed = kinds.select("cx", "cz", "kind", "land_biome", "headroom").join(found, ["cx", "cz"])
+    fits = (F.col("floor_y") - SITE_DEPTH - 2 > min_y) & (F.col("floor_y") + F.col("headroom") + 2 < max_y - 1)
+    return placed.filter(fits).drop("headroom")
 
 
 # Mineral bands as (name, mineral, vein size, count, lowest, highest, triangular, extends down).

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("lookups",)
+_MODULES = ("lookups", "scalars")
 
 
 def registered_queries():

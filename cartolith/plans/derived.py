@@ -20,10 +20,9 @@ from cartolith.params import LANDCOVER_CLASSES
 LAT = "(({k}) * 7919 % 170000) / 1e3 - 85e0"
 LON = "(({k}) * 104729 % 360000) / 1e3 - 180e0"
 POINTS = f"SELECT c_custkey AS id, {LAT.format(k='c_custkey')} AS lat, {LON.format(k='c_custkey')} AS lon FROM {{customer}}"
-# Shipments: one point per order line, for throughput.
-LINE_KEY = "l_orderkey * 8 + l_linenumber"
-LINE_POINTS = (f"SELECT l_orderkey, l_linenumber, {LAT.format(k=LINE_KEY)} AS lat, {LON.format(k=LINE_KEY)} AS lon "
-               "FROM {lineitem}")
+# Shipments: one point per order line, lines at the same spot counted together.
+LINE_POINTS = (f"SELECT spot, {LAT.format(k='spot')} AS lat, {LON.format(k='spot')} AS lon, count(*) AS shipments "
+               "FROM (SELECT l_orderkey * 8 + l_linenumber AS spot FROM {lineitem}) l GROUP BY spot")
 NATION_BOXES = """
 SELECT n_nationkey AS id, concat('C', chr(cast(65 + n_nationkey AS int))) AS iso_code, n_name AS name, n_regionkey,
        -85e0 + 34 * cast(floor(n_nationkey / 5e0) AS int) AS min_lat, -180e0 + 72 * (n_nationkey % 5) AS min_lon,
