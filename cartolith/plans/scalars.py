@@ -81,15 +81,15 @@ def to_grid(t: Tables) -> DataFrame:
 
 @registered("chunk_bounds", _P + f"""
 , c AS (SELECT id, cast(floor({_EAST}) AS int) >> 4 AS cx, cast(floor({_SOUTH}) AS int) >> 4 AS cz FROM points)
-SELECT id, round(51 - degrees((cz * 16 + 16) * 1000 / 6378137e0), 6) + 0e0 AS min_lat, round(51 - degrees(cz * 16 * 1000 / 6378137e0), 6) + 0e0 AS max_lat
-FROM c WHERE cz BETWEEN -270 AND 970""")
+SELECT id, round(greatest(51 - degrees((cz * 16 + 16) * 1000 / 6378137e0), -90), 6) + 0e0 AS min_lat, round(least(51 - degrees(cz * 16 * 1000 / 6378137e0), 90), 6) + 0e0 AS max_lat
+FROM c""")
 def chunk_bounds(t: Tables) -> DataFrame:
-    """Latitude bounds of each customer's chunk (chunks that touch the poles are left to the clamp)."""
+    """Latitude bounds of each customer's chunk."""
     grid = Grid(TerrainParams())
     x, z = grid.to_grid(F.col("lat"), F.col("lon"))
     keyed = t.points.select("id", coords.chunk_of(coords.block_of(x)).alias("cx"), coords.chunk_of(coords.block_of(z)).alias("cz"))
     box = grid.chunk_bounds(F.col("cx"), F.col("cz"))
-    return keyed.filter("cz BETWEEN -270 AND 970").select("id", _r(box[0], 6).alias("min_lat"), _r(box[2], 6).alias("max_lat"))
+    return keyed.select("id", _r(box[0], 6).alias("min_lat"), _r(box[2], 6).alias("max_lat"))
 
 
 @registered("extent_clamp", _P + """
