@@ -179,7 +179,7 @@ def projected_rings(shapes: DataFrame, group: str, grid: Grid, tolerance: float
     """
     outline = dissolve_edges(shapes, group)
 
-    def stitch(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def stitch(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rings = _stitch(pdf[["x1", "y1", "x2", "y2"]])
         rows = []
         for i, ring in enumerate(rings):
@@ -193,7 +193,7 @@ def projected_rings(shapes: DataFrame, group: str, grid: Grid, tolerance: float
     x, z = grid.to_grid(F.col("lat"), F.col("lon"))
     blocks = vertices.select(group, "ring", "n", F.floor(x).cast("int").alias("x"), F.floor(z).cast("int").alias("z"))
 
-    def shorten(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def shorten(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         points = pdf.sort_values("n")[["x", "z"]].to_numpy()
         fresh = np.ones(len(points), dtype=bool)
         fresh[1:] = (points[1:] != points[:-1]).any(axis=1)

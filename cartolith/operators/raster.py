@@ -6,10 +6,14 @@ stays small whatever the tile resolution, and a popular tile spreads over many j
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cartolith.functions.climate import landcover_from_code
 from cartolith.functions.coords import clamp_latitude, tile_lat, tile_lon
+from cartolith.params import LANDCOVER_CLASSES
+from cartolith.session import materialise
 
 BLOCK = 128
 # Fixed values of the two lookups.
@@ -114,14 +118,13 @@ def footprint_mean(points: DataFrame, blocks: DataFrame, key: list[str], out: st
                            clamp_latitude(y - F.col(lat_span) / 2.0).alias("_s"),
                            clamp_latitude(y + F.col(lat_span) / 2.0).alias("_n"),
                            (x - F.col(lon_span) / 2.0).alias("_w"), (x + F.col(lon_span) / 2.0).alias("_e")))
-    home = F.struct(tile_lat(F.col("_lat")).alias("lat_deg"), tile_lon(F.col("_lon")).alias("lon_deg"))
-    touched = F.flatten(F.transform(
-        F.sequence(tile_lat(F.col("_s")), tile_lat(F.col("_n"))),
-        lambda a: F.transform(F.sequence(tile_lon(F.col("_w")), tile_lon(F.col("_e"))),
-                              lambda o: F.struct(a.alias("lat_deg"), o.alias("lon_deg")))))
-    tiles = F.when(F.col("_box"), F.array_union(touched, F.array(home))).otherwise(F.array(home))
-    spread = (boxed.withColumn("_t", F.explode(tiles)).select("*", "_t.lat_deg", "_t.lon_deg")
-              .withColumn("_home", F.col("_t") == home).drop("_t")
+    # a box always reaches the tile of its own centre
+    def tiles_of(tile, low: str, high: str, mid: str) -> Column:
+        return F.explode(F.when(F.col("_box"), F.sequence(tile(F.col(low)), tile(F.col(high)))).otherwise(F.array(tile(F.col(mid)))))
+
+    spread = (boxed.withColumn("lat_deg", tiles_of(tile_lat, "_s", "_n", "_lat"))
+              .withColumn("lon_deg", tiles_of(tile_lon, "_w", "_e", "_lon"))
+              .withColumn("_home", (F.col("lat_deg") == tile_lat(F.col("_lat"))) & (F.col("lon_deg") == tile_lon(F.col("_lon"))))
               .join(dem_catalog(blocks), TILE, "left"))
 
     step_x, step_y = F.lit(1.0) / (F.col("width") - 1), F.lit(1.0) / (F.col("height") - 1)
@@ -135,24 +138,22 @@ def footprint_mean(points: DataFrame, blocks: DataFrame, key: list[str], out: st
               .withColumn("_gx", gx).withColumn("_gy", gy)
               .withColumn("_any", F.col("_box") & (F.col("_x0") <= F.col("_x1")) & (F.col("_y0") <= F.col("_y1"))))
 
-    def block_no(value: Column) -> Column:
-        return F.floor(value / F.col("block")).cast("int")
-
-    center = F.struct(_block_of(F.col("_gy"), "height").alias("block_y"), _block_of(F.col("_gx"), "width").alias("block_x"))
-    inside = F.flatten(F.transform(
-        F.sequence(block_no(F.col("_y0")), block_no(F.col("_y1"))),
-        lambda b: F.transform(F.sequence(block_no(F.col("_x0")), block_no(F.col("_x1"))),
-                              lambda a: F.struct(b.alias("block_y"), a.alias("block_x")))))
-    at_home = F.when(F.col("_home") & F.col("width").isNotNull(), F.array(center)).otherwise(
-        F.array().cast("array<struct<block_y:int,block_x:int>>"))
-    wanted = F.when(F.coalesce(F.col("_any"), F.lit(False)), F.array_union(inside, at_home)).otherwise(at_home)
-    aimed = (ranged.withColumn("_b", F.explode_outer(wanted)).select("*", "_b.block_y", "_b.block_x")
-             .withColumn("_mid", F.col("_home") & (F.col("_b") == center)).drop("_b"))
+    def blocks_of(lo: str, hi: str, mid: Column) -> Column:
+        """Blocks that hold the sampled range, and at home the one under the centre."""
+        first = F.when(F.col("_any"), F.floor(F.col(lo) / F.col("block")).cast("int"))
+        last = F.when(F.col("_any"), F.floor(F.col(hi) / F.col("block")).cast("int"))
+        centre = F.when(F.col("_home"), mid)
+        low, high = F.least(first, centre), F.greatest(last, centre)
+        return F.explode_outer(F.when(low.isNotNull() & high.isNotNull(), F.sequence(low, high)))
+
+    mid_x, mid_y = _block_of(F.col("_gx"), "width"), _block_of(F.col("_gy"), "height")
+    aimed = (ranged.withColumn("block_y", blocks_of("_y0", "_y1", mid_y)).withColumn("block_x", blocks_of("_x0", "_x1", mid_x))
+             .withColumn("_mid", F.col("_home") & (F.col("block_x") == mid_x) & (F.col("block_y") == mid_y)))
     met = aimed.join(blocks.select(*BLOCK_KEY, "samples"), BLOCK_KEY, "left")
 
     def axis(lo: str, hi: str, block: str, dimension: str) -> tuple[Column, Column, Column]:
         """First, last and stride of the sampled positions that this block owns."""
-        stride = F.floor((F.col(hi) - F.col(lo)) / SAMPLES_PER_AXIS).cast("int") + 1
+        stride = F.floor(F.greatest(F.col(hi) - F.col(lo), F.lit(0)) / SAMPLES_PER_AXIS).cast("int") + 1
         begin = F.col(block) * F.col("block")
         skipped = F.ceil(F.greatest(begin - F.col(lo), F.lit(0)) / stride).cast("int")
         return F.col(lo) + skipped * stride, F.least(F.col(hi), begin + F.col("block") - 1), stride
@@ -172,8 +173,9 @@ def footprint_mean(points: DataFrame, blocks: DataFrame, key: list[str], out: st
                .withColumn("_n_v", F.size("_v"))
                .withColumn("_bil", F.when(F.col("_mid") & F.col("samples").isNotNull(),
                                           _interpolated(F.col("_gx"), F.col("_gy")))))
-    total = partial.groupBy(*key).agg(
-        F.first("_rest").alias("_rest"), F.sum("_sum").alias("_sum"),
+    # the other columns travel in the grouping key, which keeps the aggregation hash-based
+    total = partial.groupBy(*key, "_rest").agg(
+        F.sum("_sum").alias("_sum"),
         F.sum(F.when(F.col("_n_v") > 0, F.col("_n_v"))).alias("_cnt"), F.max("_bil").alias("_bil"))
     mean = F.coalesce(F.when(F.col("_cnt") > 0, F.col("_sum") / F.col("_cnt")), F.col("_bil"))
     return total.select(*key, "_rest.*", mean.alias(out)).select(*points.columns, out)
@@ -190,11 +192,23 @@ def landcover_blocks(grids: DataFrame, block: int = BLOCK) -> DataFrame:
                     "block_y", "block_x", _cut(F.col("classes"), F.col("width"), x0, x1, y0, y1).alias("classes")))
 
 
-def landcover_at(points: DataFrame, blocks: DataFrame, key: list[str], out: str = "landcover",
-                 lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """Add the land-cover class: the first known one over the grids in file-name order.
+@dataclass(frozen=True)
+class LandcoverIndex:
+    """Grid blocks with the order in which the grids of a cell are asked.
+
+    ``single`` says that no cell lists two grids and none is huge, so that a point needs no
+    grouping over several answers.
+    """
+
+    blocks: DataFrame
+    listed: DataFrame
+    single: bool
+
+
+def build_landcover_index(blocks: DataFrame) -> LandcoverIndex:
+    """List grids under the degree cells they cover, in file-name order.
 
-    Grids spanning more than 4096 degree cells are asked last and indexed by coarse cells.
+    Grids spanning more than 4096 degree cells are asked last and listed under coarse cells.
     """
     header = blocks.filter("block_y = 0 AND block_x = 0").select(
         "file_name", "south", "west", "north", "east", "width", "height", "block")
@@ -206,20 +220,28 @@ def landcover_at(points: DataFrame, blocks: DataFrame, key: list[str], out: str
     def cells(low: Column, high: Column) -> Column:
         return F.explode(F.sequence(F.floor(low / unit).cast("int"), F.floor(high / unit).cast("int")))
 
-    listed = (header.withColumn("_late", huge.cast("int")).withColumn("_cy", cells(s, n)).withColumn("_cx", cells(w, e)))
-    y, x = F.col(lat), F.col(lon)
+    in_cell = Window.partitionBy("_late", "_cy", "_cx").orderBy("file_name")
+    listed = materialise(header.withColumn("_late", huge.cast("int")).withColumn("_cy", cells(s, n)).withColumn("_cx", cells(w, e))
+                         .withColumn("_turn", F.row_number().over(in_cell)), "grids")
+    return LandcoverIndex(blocks, listed, listed.filter("_late = 1 OR _turn > 1").isEmpty())
+
+
+def landcover_at(points: DataFrame, index: LandcoverIndex, key: list[str], out: str = "landcover",
+                 lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Add the land-cover class: the first known one over the grids in their order."""
     rest = [c for c in points.columns if c not in key]
+    y, x = F.col("_lat"), F.col("_lon")
 
     def point_cell(late: int) -> Column:
         size = HUGE_CELL_DEGREES if late else 1
-        return F.struct(F.lit(late).alias("_late"), F.floor(y / size).cast("int").alias("_cy"),
-                        F.floor(x / size).cast("int").alias("_cx"))
-
-    probe = (points.select(*key, F.struct(*rest).alias("_rest"), y.alias("_lat"), x.alias("_lon")))
-    y, x = F.col("_lat"), F.col("_lon")
-    probed = probe.withColumn("_k", F.explode(F.array(point_cell(0), point_cell(1)))).select(
-        *key, "_rest", "_lat", "_lon", "_k.*")
-    met = probed.join(listed, ["_late", "_cy", "_cx"], "left")
+        return F.struct(F.lit(late).alias("_late"), F.floor(y / size).cast("int").alias("_cy"), F.floor(x / size).cast("int").alias("_cx"))
+
+    probe = points.select(*key, F.struct(*rest).alias("_rest"), F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))
+    if index.single:
+        probed = probe.withColumn("_k", point_cell(0))
+    else:
+        probed = probe.withColumn("_k", F.explode(F.array(point_cell(0), point_cell(1))))
+    met = probed.select(*key, "_rest", "_lat", "_lon", "_k.*").join(index.listed, ["_late", "_cy", "_cx"], "left")
     inside = y.between(F.col("south"), F.col("north")) & x.between(F.col("west"), F.col("east"))
     px = F.least(F.col("width") - 1, ((x - F.col("west")) / (F.col("east") - F.col("west")) * F.col("width")).cast("int"))
     py = F.least(F.col("height") - 1,
@@ -227,16 +249,21 @@ def landcover_at(points: DataFrame, blocks: DataFrame, key: list[str], out: str
     aimed = (met.withColumn("_px", F.when(inside, px)).withColumn("_py", F.when(inside, py))
              .withColumn("block_x", F.floor(F.col("_px") / F.col("block")).cast("int"))
              .withColumn("block_y", F.floor(F.col("_py") / F.col("block")).cast("int"))
-             .select(*key, "_rest", "_late", "file_name", "width", "block", "block_x", "block_y", "_px", "_py"))
-    found = aimed.join(blocks.select("file_name", "block_x", "block_y", "classes"),
+             .select(*key, "_rest", "_late", "_turn", "file_name", "width", "block", "block_x", "block_y", "_px", "_py"))
+    found = aimed.join(index.blocks.select("file_name", "block_x", "block_y", "classes"),
                        ["file_name", "block_y", "block_x"], "left")
     row = F.least(F.col("block"), F.col("width") - F.col("block_x") * F.col("block"))
     spot = (F.col("_py") - F.col("block_y") * F.col("block")) * row + F.col("_px") - F.col("block_x") * F.col("block")
     cls = F.get("classes", spot.cast("int"))
-    known = F.when(cls != "UNKNOWN", F.struct("_late", "file_name", cls.alias("cls")))
-    best = (found.withColumn("_known", known).groupBy(*key)
-            .agg(F.first("_rest").alias("_rest"), F.min("_known").alias("_best")))
-    return best.select(*key, "_rest.*", F.coalesce("_best.cls", F.lit("UNKNOWN")).alias(out)).select(*points.columns, out)
+    if index.single:
+        return found.select(*key, "_rest.*", F.coalesce(cls, F.lit("UNKNOWN")).alias(out)).select(*points.columns, out)
+    names = F.array(*[F.lit(c) for c in LANDCOVER_CLASSES])
+    number = F.array_position(names, cls) - 1
+    # turn and class share one number, so that the first known class is a plain minimum
+    code = (F.col("_late").cast("bigint") * (1 << 40)) + F.col("_turn").cast("bigint") * 16 + number
+    best = (found.withColumn("_code", F.when(number > 0, code)).groupBy(*key, "_rest").agg(F.min("_code").alias("_best")))
+    label = F.coalesce(F.get(names, (F.col("_best") % 16).cast("int")), F.lit("UNKNOWN"))
+    return best.select(*key, "_rest.*", label.alias(out)).select(*points.columns, out)
 
 
 def merge_bathymetry(land: DataFrame, bathymetry: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
 """Point-in-shape joins.
 
-Every shape is turned into grid cells, so that lookups are equi-joins on a cell. A cell that
-lies wholly inside its best-ranked shape answers by itself; only points in cells that a
-shape's border crosses take the exact test. Nothing is packed per shape or per cell, so a
-shape with very many vertices, or a cell with very many shapes, spreads over many rows.
+Every shape is turned into grid cells, so that a lookup is one equi-join on a cell and points are
+neither grouped nor shuffled when the cell table is small. A cell that lies wholly inside its
+best-ranked shape answers by itself. A cell that borders cross lists its candidates with the few
+segments that matter inside it, and each point is tested against those. Cells where such a list
+would grow beyond a limit are not listed at all: their points go through a join on single
+segments instead, so no row ever holds an unbounded list.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from cartolith.functions.coords import valid_point
 from cartolith.session import materialise
 
 BANDS_PER_CELL = 8
+MAX_LISTED = 1024
+FAR_EAST = 1e6
 _GROW = 1e-9
 
 
@@ -40,12 +44,12 @@ def area_set(polygons: DataFrame, rank: Column, value: list, cell_degrees: float
 
 
 def ring_segments(shapes: DataFrame) -> DataFrame:
-    """One row per segment of every ring or path: rank, radius, x1, y1, x2, y2."""
-    rings = shapes.select("rank", "radius", F.explode("rings").alias("ring")).filter(F.size("ring") >= 2)
-    steps = rings.select("rank", "radius", F.explode(F.arrays_zip(
-        F.slice("ring", 1, F.size("ring") - 1).alias("a"), F.slice("ring", 2, F.size("ring") - 1).alias("b")
-    )).alias("s"))
-    return steps.select("rank", "radius", F.col("s.a.lon").alias("x1"), F.col("s.a.lat").alias("y1"),
+    """One row per segment of every ring or path: rank, radius, ring, seq, x1, y1, x2, y2."""
+    rings = shapes.select("rank", "radius", F.posexplode("rings").alias("ring", "points")).filter(F.size("points") >= 2)
+    steps = rings.select("rank", "radius", "ring", F.posexplode(F.arrays_zip(
+        F.slice("points", 1, F.size("points") - 1).alias("a"), F.slice("points", 2, F.size("points") - 1).alias("b")
+    )).alias("seq", "s"))
+    return steps.select("rank", "radius", "ring", "seq", F.col("s.a.lon").alias("x1"), F.col("s.a.lat").alias("y1"),
                         F.col("s.b.lon").alias("x2"), F.col("s.b.lat").alias("y2"))
 
 
@@ -68,10 +72,8 @@ def _touched_cells(segments: DataFrame, size: float, margin: Column) -> DataFram
 
     left = y_at(F.col("cx") * F.lit(size) - F.col("_m"))
     right = y_at((F.col("cx") + 1) * F.lit(size) + F.col("_m"))
-    lo = F.coalesce(F.least(left, right), F.least("y1", "y2"))
-    hi = F.coalesce(F.greatest(left, right), F.greatest("y1", "y2"))
-    lo, hi = F.when(slope.isNull(), F.least("y1", "y2")).otherwise(lo), \
-        F.when(slope.isNull(), F.greatest("y1", "y2")).otherwise(hi)
+    lo = F.when(slope.isNull(), F.least("y1", "y2")).otherwise(F.least(left, right))
+    hi = F.when(slope.isNull(), F.greatest("y1", "y2")).otherwise(F.greatest(left, right))
     return wide.withColumn("cy", F.explode(F.sequence(_cell(lo - F.col("_m"), size), _cell(hi + F.col("_m"), size))))
 
 
@@ -98,16 +100,18 @@ def _interior_cells(segments: DataFrame, size: float) -> DataFrame:
 class ShapeIndex:
     """Lookup tables of a shape set, written once and used by many lookups.
 
-    ``settled``: cells where one shape answers for every point, and cells that stay open.
+    ``cells``: per cell the settled ``value``, or the ``listed`` candidates with their segments,
+    or neither with ``long`` set where lists would be too long.
     ``covered``: shapes per cell with a flag for cells wholly inside.
-    ``segments``: border segments by shape and latitude band.
+    ``segments``: border segments by shape and latitude band, for the exact test by join.
     """
 
-    settled: DataFrame
+    cells: DataFrame
     covered: DataFrame
     segments: DataFrame
     values: DataFrame
     cell_degrees: float
+    has_long: bool
 
 
 def cover(shape_set: ShapeSet) -> DataFrame:
@@ -122,20 +126,76 @@ def cover(shape_set: ShapeSet) -> DataFrame:
     return marked.select("rank", "cx", "cy", (~F.col("rim")).alias("full"))
 
 
-def build_shape_index(shape_set: ShapeSet) -> ShapeIndex:
+def _local_segments(pairs: DataFrame, segments: DataFrame, size: float) -> DataFrame:
+    """Segments that decide whether a point of a border cell lies in an area.
+
+    The test casts a ray to the east, so segments west of the cell do not matter. A run of
+    consecutive segments east of the cell is crossed an odd number of times exactly when its two
+    ends lie on different sides of the ray, so one far-away segment between its ends stands for
+    the run.
+    """
+    rows = segments.withColumn("cy", F.explode(F.sequence(_cell(F.least("y1", "y2"), size), _cell(F.greatest("y1", "y2"), size))))
+    met = pairs.join(rows, ["rank", "cy"]).filter(F.greatest("x1", "x2") >= F.col("cx") * F.lit(size))
+    is_east = F.least("x1", "x2") > (F.col("cx") + 1) * F.lit(size)
+    near = met.filter(~is_east).select("cx", "cy", "rank", "x1", "y1", "x2", "y2")
+    along = Window.partitionBy("rank", "cx", "cy", "ring").orderBy("seq")
+    runs = (met.filter(is_east).withColumn("run", F.col("seq") - F.row_number().over(along))
+            .groupBy("cx", "cy", "rank", "ring", "run").agg(F.min_by("y1", "seq").alias("y1"), F.max_by("y2", "seq").alias("y2")))
+    far = runs.filter("y1 <> y2").select("cx", "cy", "rank", F.lit(FAR_EAST).alias("x1"), "y1", F.lit(FAR_EAST).alias("x2"), "y2")
+    return near.unionByName(far)
+
+
+def build_shape_index(shape_set: ShapeSet, max_listed: int = MAX_LISTED) -> ShapeIndex:
+    """Work out the cells of a shape set and write them to the shared folder."""
     size = shape_set.cell_degrees
     band = size / BANDS_PER_CELL
     covered = materialise(cover(shape_set), "cover")
     values = shape_set.shapes.select("rank", "value")
-    cells = covered.groupBy("cx", "cy").agg(
+    state = covered.groupBy("cx", "cy").agg(
         F.min("rank").alias("_any"), F.min(F.when(F.col("full"), F.col("rank"))).alias("_full"))
-    settled = (cells.withColumn("rank", F.when(F.col("_any") == F.col("_full"), F.col("_any")))
-               .join(values, "rank", "left").select("cx", "cy", F.col("rank").isNull().alias("open"), "value"))
+    settled = state.filter(F.col("_any") == F.col("_full")).select("cx", "cy", F.col("_any").alias("rank"))
+    contested = state.filter(F.col("_full").isNull() | (F.col("_any") != F.col("_full"))).select("cx", "cy")
+
+    pairs = covered.join(contested, ["cx", "cy"])
+    segments = ring_segments(shape_set.shapes)
+    areas = _local_segments(pairs.filter(~F.col("full")).select("rank", "cx", "cy"), segments.filter(F.col("radius").isNull()), size)
+    lines = _touched_cells(segments.filter(F.col("radius").isNotNull()), size, F.col("radius") + _GROW)
+    tests = areas.withColumn("radius", F.lit(None).cast("double")).unionByName(
+        lines.select("cx", "cy", "rank", "x1", "y1", "x2", "y2", "radius"))
+    tests = materialise(tests, "tests")
+    counts = (tests.select("cx", "cy").unionByName(pairs.select("cx", "cy")).groupBy("cx", "cy").agg(F.count("*").alias("n")))
+    long = counts.filter(F.col("n") > max_listed).select("cx", "cy")
+    has_long = not long.isEmpty()
+    short_tests = tests.join(long, ["cx", "cy"], "left_anti") if has_long else tests
+    short_pairs = pairs.join(long, ["cx", "cy"], "left_anti") if has_long else pairs
+    lists = short_tests.groupBy("cx", "cy", "rank").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2", "radius")).alias("segments"))
+    listed = (short_pairs.join(lists, ["cx", "cy", "rank"], "left").filter(F.col("full") | F.col("segments").isNotNull())
+              .join(values, "rank").groupBy("cx", "cy")
+              .agg(F.sort_array(F.collect_list(F.struct("rank", "value", "full", "segments"))).alias("listed")))
+    parts = [settled.join(values, "rank").select("cx", "cy", "value"), listed]
+    if has_long:
+        parts.append(long.withColumn("long", F.lit(True)))
+    cells = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    if not has_long:
+        cells = cells.withColumn("long", F.lit(None).cast("boolean"))
     reach = F.coalesce("radius", F.lit(0.0))
     reach = F.when(reach > 0.0, reach + _GROW).otherwise(0.0)
-    banded = ring_segments(shape_set.shapes).withColumn("band", F.explode(F.sequence(
+    banded = segments.withColumn("band", F.explode(F.sequence(
         _cell(F.least("y1", "y2") - reach, band), _cell(F.greatest("y1", "y2") + reach, band))))
-    return ShapeIndex(materialise(settled, "settled"), covered, materialise(banded, "segments"), values, size)
+    return ShapeIndex(materialise(cells, "cells"), covered, banded.drop("ring", "seq"), values, size, has_long)
+
+
+def _tests(x: Column, y: Column, s) -> tuple[Column, Column]:
+    """Does the eastward ray cross the segment; does the point lie on it or within its radius?"""
+    dx, dy = s("x2") - s("x1"), s("y2") - s("y1")
+    side = (x - s("x1")) * dy - (y - s("y1")) * dx
+    area = s("radius").isNull()
+    on_edge = (area & (side == 0.0) & x.between(F.least(s("x1"), s("x2")), F.greatest(s("x1"), s("x2")))
+               & y.between(F.least(s("y1"), s("y2")), F.greatest(s("y1"), s("y2"))))
+    straddles = (s("y1") <= y) != (s("y2") <= y)
+    crosses = area & straddles & F.when(dy > 0, side < 0.0).otherwise(side > 0.0)
+    near = segment_squared_distance(x, y, s) <= s("radius") * s("radius")
+    return crosses, on_edge | F.coalesce(near, F.lit(False))
 
 
 def locate(points: DataFrame, index: ShapeIndex, key: list[str], out: str,
@@ -145,14 +205,24 @@ def locate(points: DataFrame, index: ShapeIndex, key: list[str], out: str,
     ``key`` must identify a point. Points outside every shape, and invalid ones, get NULL.
     """
     size = index.cell_degrees
-    ok = valid_point(F.col(lat), F.col(lon))
-    placed = points.withColumn("cx", F.when(ok, _cell(F.col(lon), size))) \
-                   .withColumn("cy", F.when(ok, _cell(F.col(lat), size)))
-    looked = placed.join(index.settled.withColumnRenamed("value", out), ["cx", "cy"], "left")
-    is_open = F.coalesce("open", F.lit(False))
-    easy = looked.filter(~is_open).select(*points.columns, out)
-
-    hard = looked.filter(is_open).select("cx", "cy", *points.columns)
+    x, y = F.col(lon), F.col(lat)
+    ok = valid_point(y, x)
+    placed = points.withColumn("cx", F.when(ok, _cell(x, size))).withColumn("cy", F.when(ok, _cell(y, size)))
+    looked = placed.join(index.cells.withColumnRenamed("value", "_value"), ["cx", "cy"], "left")
+
+    def holds(c: Column) -> Column:
+        crossing = F.size(F.filter(c["segments"], lambda s: _tests(x, y, lambda f: s[f])[0]))
+        return c["full"] | (crossing % 2 == 1) | F.exists(c["segments"], lambda s: _tests(x, y, lambda f: s[f])[1])
+
+    # candidates are sorted by rank, so the first that holds wins
+    first = F.get(F.filter("listed", lambda c: F.coalesce(holds(c), F.lit(False))), F.lit(0))
+    found = F.when(F.col("listed").isNull(), F.col("_value")).otherwise(first["value"])
+    if not index.has_long:
+        return looked.select(*points.columns, found.alias(out))
+
+    by_join = F.coalesce("long", F.lit(False))
+    easy = looked.filter(~by_join).select(*points.columns, found.alias(out))
+    hard = looked.filter(by_join).select("cx", "cy", *points.columns)
     winners = (_exact_hits(hard, index, key, lat, lon).groupBy(*key).agg(F.min("rank").alias("rank"))
                .join(index.values, "rank").select(*key, F.col("value").alias(out)))
     return easy.unionByName(hard.join(winners, key, "left").select(*points.columns, out))
@@ -165,27 +235,19 @@ def _exact_hits(placed: DataFrame, index: ShapeIndex, key: list[str], lat: str,
         *key, "_x", "_y", "rank", "full", F.when(~F.col("full"), F.col("rank")).alias("_test"),
         _cell(F.col("_y"), index.cell_degrees / BANDS_PER_CELL).alias("band"))
     tested = pairs.join(index.segments.withColumnRenamed("rank", "_test"), ["_test", "band"], "left")
-    x, y = F.col("_x"), F.col("_y")
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    side = (x - F.col("x1")) * dy - (y - F.col("y1")) * dx
-    area = F.col("radius").isNull()
-    on_edge = (area & (side == 0.0) & x.between(F.least("x1", "x2"), F.greatest("x1", "x2"))
-               & y.between(F.least("y1", "y2"), F.greatest("y1", "y2")))
-    straddles = (F.col("y1") <= y) != (F.col("y2") <= y)
-    crosses = area & straddles & F.when(dy > 0, side < 0.0).otherwise(side > 0.0)
-    near = segment_squared_distance(x, y) <= F.col("radius") * F.col("radius")
+    crosses, sure = _tests(F.col("_x"), F.col("_y"), F.col)
     verdict = tested.groupBy(*key, "rank").agg(
-        F.sum(crosses.cast("int")).alias("n"), F.max(F.col("full") | on_edge | F.coalesce(near, F.lit(False))).alias("sure"))
+        F.sum(crosses.cast("int")).alias("n"), F.max(F.col("full") | sure).alias("sure"))
     return verdict.filter((F.col("n") % 2 == 1) | F.col("sure")).select(*key, "rank")
 
 
-def segment_squared_distance(x: Column, y: Column) -> Column:
-    """Squared planar distance of a point to the segment x1,y1-x2,y2 of the same row."""
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+def segment_squared_distance(x: Column, y: Column, s) -> Column:
+    """Squared planar distance of a point to the segment x1,y1-x2,y2 read through ``s``."""
+    dx, dy = s("x2") - s("x1"), s("y2") - s("y1")
     length = dx * dx + dy * dy
-    along = ((x - F.col("x1")) * dx + (y - F.col("y1")) * dy) / F.when(length > 0.0, length)
+    along = ((x - s("x1")) * dx + (y - s("y1")) * dy) / F.when(length > 0.0, length)
     t = F.coalesce(F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
-    ex, ey = x - (F.col("x1") + dx * t), y - (F.col("y1") + dy * t)
+    ex, ey = x - (s("x1") + dx * t), y - (s("y1") + dy * t)
     return ex * ex + ey * ey
 
 

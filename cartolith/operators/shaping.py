@@ -10,8 +10,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from cartolith.functions.noise import cell_smooth_np
 
@@ -34,24 +34,30 @@ def with_halo(columns: DataFrame, reach: int, patch: int = PATCH) -> DataFrame:
 
 def map_patches(columns: DataFrame, needed: list[str], reach: int, kernel: Callable[["Patch"], dict],
                 added: dict[str, str], patch: int = PATCH) -> DataFrame:
-    """Run a numpy kernel per patch; it returns one 2-D array per added column."""
-    names = list(added)
-    schema = "bx int, bz int, " + ", ".join(f"{n} {t}" for n, t in added.items())
+    """Run a numpy kernel per patch; it returns one 2-D array per added column.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = Patch(pdf, needed, reach)
+    Whole rows travel through Arrow untouched, so nothing has to be joined back. Halo copies
+    carry only what the kernel reads.
+    """
+    kept = [c for c in columns.columns if c not in ("bx", "bz", *needed)]
+    types = {"int": (pa.int32(), T.IntegerType()), "boolean": (pa.bool_(), T.BooleanType())}
+    schema = T.StructType([*columns.schema.fields, *[T.StructField(n, types[kind][1]) for n, kind in added.items()]])
+
+    def run(table: pa.Table) -> pa.Table:
+        grid = Patch(table, needed, reach)
         results = kernel(grid)
-        own = pdf["_own"].to_numpy()
-        out = {"bx": pdf["bx"].to_numpy()[own], "bz": pdf["bz"].to_numpy()[own]}
-        for name in names:
-            values = results[name][grid.row, grid.col][own]
-            out[name] = pd.Series(values) if values.dtype == bool else pd.Series(values, dtype="Int64").mask(
-                values == Patch.MISSING)
-        return pd.DataFrame(out)
+        mask = table["_own"].to_numpy()
+        own = table.filter(pa.array(mask)).select(names)
+        for name, kind in added.items():
+            values = results[name][grid.row, grid.col][mask]
+            gaps = values == Patch.MISSING if values.dtype != bool else None
+            own = own.append_column(name, pa.array(values, mask=gaps).cast(types[kind][0]))
+        return own
 
-    spread = with_halo(columns.select("bx", "bz", *needed), reach, patch)
-    made = spread.groupBy("_px", "_pz").applyInPandas(run, schema)
-    return columns.join(made, ["bx", "bz"])
+    names = columns.columns
+    spread = with_halo(columns, reach, patch)
+    light = spread.select("_px", "_pz", "_own", "bx", "bz", *needed, *[F.when(F.col("_own"), F.col(c)).alias(c) for c in kept])
+    return light.groupBy("_px", "_pz").applyInArrow(run, schema)
 
 
 class Patch:
@@ -59,23 +65,23 @@ class Patch:
 
     MISSING = np.iinfo(np.int64).min
 
-    def __init__(self, pdf: pd.DataFrame, needed: list[str], reach: int):
-        bx, bz = pdf["bx"].to_numpy(), pdf["bz"].to_numpy()
+    def __init__(self, table: pa.Table, needed: list[str], reach: int):
+        bx, bz = table["bx"].to_numpy().astype(np.int64), table["bz"].to_numpy().astype(np.int64)
         self.x0, self.z0, self.reach = bx.min() - reach, bz.min() - reach, reach
         self.col, self.row = bx - self.x0, bz - self.z0
         self.shape = (int(self.row.max()) + reach + 1, int(self.col.max()) + reach + 1)
         self.present = np.zeros(self.shape, dtype=bool)
         self.present[self.row, self.col] = True
-        self._pdf, self._needed = pdf, needed
+        self._table = table
 
     def ints(self, name: str) -> np.ndarray:
         grid = np.full(self.shape, self.MISSING, dtype=np.int64)
-        grid[self.row, self.col] = self._pdf[name].to_numpy()
+        grid[self.row, self.col] = self._table[name].to_numpy()
         return grid
 
     def flags(self, name: str) -> np.ndarray:
         grid = np.zeros(self.shape, dtype=bool)
-        grid[self.row, self.col] = self._pdf[name].to_numpy(dtype=bool)
+        grid[self.row, self.col] = self._table[name].to_numpy()
         return grid
 
 

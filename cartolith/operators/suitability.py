@@ -299,7 +299,7 @@ def flattest_footprint(terrain: DataFrame, radii: DataFrame) -> DataFrame:
     """
     size = 16
 
-    def best(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def best(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         y = np.zeros((size, size), dtype=np.int64)
         wet = np.zeros((size, size), dtype=bool)
         lx, lz = pdf["bx"].to_numpy() % size, pdf["bz"].to_numpy() % size

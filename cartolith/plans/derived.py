@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cartolith.operators.nearest import NearestIndex, build_nearest_index
-from cartolith.operators.raster import dem_blocks, landcover_blocks
+from cartolith.operators.raster import LandcoverIndex, build_landcover_index, dem_blocks, landcover_blocks
 from cartolith.operators.shapes import ShapeIndex, area_set, box_ring, build_shape_index
 from cartolith.params import LANDCOVER_CLASSES
 
@@ -20,6 +20,7 @@ from cartolith.params import LANDCOVER_CLASSES
 LAT = "(({k}) * 7919 % 170000) / 1e3 - 85e0"
 LON = "(({k}) * 104729 % 360000) / 1e3 - 180e0"
 POINTS = f"SELECT c_custkey AS id, {LAT.format(k='c_custkey')} AS lat, {LON.format(k='c_custkey')} AS lon FROM {{customer}}"
+LINE_KEY = "l_orderkey * 8 + l_linenumber"
 # Shipments: one point per order line, lines at the same spot counted together.
 LINE_POINTS = (f"SELECT spot, {LAT.format(k='spot')} AS lat, {LON.format(k='spot')} AS lon, count(*) AS shipments "
                "FROM (SELECT l_orderkey * 8 + l_linenumber AS spot FROM {lineitem}) l GROUP BY spot")
@@ -237,8 +238,8 @@ class Tables:
             F.col("max_lon").alias("east"), "width", "height", classes.alias("classes"))
 
     @cached_property
-    def landcover(self) -> DataFrame:
-        return landcover_blocks(self.landcover_tiles)
+    def landcover(self) -> LandcoverIndex:
+        return build_landcover_index(landcover_blocks(self.landcover_tiles))
 
     @cached_property
     def positions(self) -> DataFrame:

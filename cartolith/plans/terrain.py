@@ -11,7 +11,7 @@ from cartolith.functions.coords import Grid
 from cartolith.functions.noise import cell_smooth
 from cartolith.functions.vertical import round_half_up, to_y
 from cartolith.functions.water import place_water
-from cartolith.operators.raster import elevation_at, footprint_mean, landcover_at
+from cartolith.operators.raster import LandcoverIndex, elevation_at, footprint_mean, landcover_at
 from cartolith.operators.shapes import ShapeIndex
 from cartolith.operators.shaping import shape_surface
 from cartolith.operators.water import water_column_at
@@ -34,7 +34,7 @@ class TerrainSources:
 
     dem: DataFrame | None = None
     water: ShapeIndex | None = None
-    landcover: DataFrame | None = None
+    landcover: LandcoverIndex | None = None
     has_ocean: bool = False
     has_bathymetry: bool = False
     constant_landcover: str = "UNKNOWN"

@@ -37,9 +37,7 @@ def health_decisions(snapshots: DataFrame, policy: HealthPolicy, key: str = "ser
     rows = snapshots.withColumn("_b", F.date_trunc(bucket, "ts")).withColumn("_good", F.when(F.col("reason").isNull(), F.col("ts")))
     bad_at = F.when(F.col("reason").isNotNull(), F.col("ts"))
     last_bad = rows.groupBy(key, "_b").agg(F.max(bad_at).alias("_last_bad"))
-    tails = (rows.join(last_bad, [key, "_b"])
-             .filter(F.col("_last_bad").isNull() | (F.col("ts") > F.col("_last_bad")) | (F.col("ts") == F.col("_last_bad")))
-             .groupBy(key, "_b").agg(F.max("_last_bad").alias("_last_bad"), F.min(F.when(
+    tails = (rows.join(last_bad, [key, "_b"]).groupBy(key, "_b").agg(F.max("_last_bad").alias("_last_bad"), F.min(F.when(
                  F.col("_last_bad").isNull() | (F.col("ts") > F.col("_last_bad")), F.col("_good"))).alias("_tail")))
     along = Window.partitionBy(key).orderBy("_b")
     runs = tails.withColumn("_run", F.sum(F.col("_last_bad").isNotNull().cast("int")).over(along))
