@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("lookups", "scalars", "reference_data", "raster_data", "worlds", "feeds")
+_MODULES = ("lookups", "scalars", "reference_data", "raster_data", "worlds", "feeds", "imports")
 
 
 def registered_queries():

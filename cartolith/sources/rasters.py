@@ -138,30 +138,51 @@ def _decoded(files: DataFrame, decode, schema: str) -> DataFrame:
     return files.mapInPandas(run, schema)
 
 
+def decode_hgt(files: DataFrame) -> DataFrame:
+    """Tile rows from .hgt contents (path, content)."""
+    return _decoded(files, _decode_hgt, TILE_SCHEMA)
+
+
+def decode_dem_tiles(files: DataFrame) -> DataFrame:
+    """Tile rows from prepared elevation contents (path, content)."""
+    return _decoded(files, _decode_dem, TILE_SCHEMA)
+
+
+def decode_landcover_grids(files: DataFrame) -> DataFrame:
+    """Grid rows from prepared land-cover contents (path, content)."""
+    return _decoded(files, _decode_grid, GRID_SCHEMA)
+
+
+def _decode_header(path: str, data: bytes) -> dict:
+    row = _dem_header(path, len(data), data[:DEM_HEADER_BYTES])
+    row.pop("_void", None)
+    row.pop("_scale", None)
+    return row
+
+
+def decode_headers(files: DataFrame) -> DataFrame:
+    """Tile rows without samples."""
+    return _decoded(files, _decode_header, TILE_SCHEMA.rsplit(", ", 1)[0])
+
+
 def read_hgt(spark: SparkSession, folder: str) -> DataFrame:
     """Tile rows of a folder of .hgt files."""
-    return _decoded(_files(spark, folder, "*.hgt"), _decode_hgt, TILE_SCHEMA)
+    return decode_hgt(_files(spark, folder, "*.hgt"))
 
 
 def read_dem_tiles(spark: SparkSession, folder: str, pattern: str = "*.tfdem") -> DataFrame:
     """Tile rows of a folder of prepared elevation files."""
-    return _decoded(_files(spark, folder, pattern), _decode_dem, TILE_SCHEMA)
+    return decode_dem_tiles(_files(spark, folder, pattern))
 
 
 def tile_catalogue(spark: SparkSession, folder: str, pattern: str = "*.tfdem") -> DataFrame:
     """What each prepared elevation file holds, without its samples, ordered by cell."""
-    def header(path: str, data: bytes) -> dict:
-        row = _dem_header(path, len(data), data[:DEM_HEADER_BYTES])
-        row.pop("_void", None)
-        row.pop("_scale", None)
-        return row
-    schema = TILE_SCHEMA.rsplit(", ", 1)[0]
-    return _decoded(_files(spark, folder, pattern), header, schema).orderBy("lat_deg", "lon_deg", "path")
+    return decode_headers(_files(spark, folder, pattern)).orderBy("lat_deg", "lon_deg", "path")
 
 
 def read_landcover_grids(spark: SparkSession, folder: str, pattern: str = "*.tflc") -> DataFrame:
     """Grid rows of a folder of prepared land-cover files."""
-    return _decoded(_files(spark, folder, pattern), _decode_grid, GRID_SCHEMA)
+    return decode_landcover_grids(_files(spark, folder, pattern))
 
 
 def tile_inventory(tiles: DataFrame, dataset: str) -> DataFrame:
