@@ -30,30 +30,68 @@ def _wrapped_gap(a: Column, b: Column) -> Column:
     return F.abs(F.pmod(a - b + 180.0, F.lit(360.0)) - 180.0)
 
 
-def _bounds() -> tuple[Column, Column]:
-    """Squared flat distance between a place and its cell: least and greatest possible."""
+def _cell_box() -> dict[str, Column]:
+    """Edges of the row's cell and the range of the longitude shrink factor inside it."""
     size = F.lit(BASE_DEGREES) / F.pow(F.lit(2.0), F.col("level"))
-    south = F.col("cy") * size - 90.0
-    north = south + size
-    mid = (F.col("cx") + 0.5) * size - 180.0
+    south, west = F.col("cy") * size - 90.0, F.col("cx") * size - 180.0
+    north, east = south + size, west + size
     cos_s, cos_n = F.cos(F.radians(south)), F.cos(F.radians(north))
-    cos_lo = F.greatest(F.least(cos_s, cos_n), F.lit(0.0))
-    cos_hi = F.when((south <= 0) & (north >= 0), 1.0).otherwise(F.greatest(cos_s, cos_n))
-    lat_lo = F.greatest(F.lit(0.0), south - F.col("p_lat"), F.col("p_lat") - north)
-    lat_hi = F.greatest(F.abs(F.col("p_lat") - south), F.abs(F.col("p_lat") - north))
+    high = F.when((south <= 0) & (north >= 0), 1.0).otherwise(F.greatest(cos_s, cos_n))
+    return {"_s": south, "_n": north, "_w": west, "_e": east, "_lo": F.greatest(F.least(cos_s, cos_n), F.lit(0.0)), "_hi": high}
+
+
+def _distance_range() -> tuple[Column, Column]:
+    """Squared flat distance between a place and its cell: least and greatest possible."""
+    half, mid = (F.col("_e") - F.col("_w")) / 2.0, (F.col("_e") + F.col("_w")) / 2.0
+    lat_lo = F.greatest(F.lit(0.0), F.col("_s") - F.col("p_lat"), F.col("p_lat") - F.col("_n"))
+    lat_hi = F.greatest(F.abs(F.col("p_lat") - F.col("_s")), F.abs(F.col("p_lat") - F.col("_n")))
     gap = _wrapped_gap(F.col("p_lon"), mid)
-    lon_lo = F.greatest(F.lit(0.0), gap - size / 2.0) * cos_lo
-    lon_hi = F.least(F.lit(180.0), gap + size / 2.0) * cos_hi
+    lon_lo = F.greatest(F.lit(0.0), gap - half) * F.col("_lo")
+    lon_hi = F.least(F.lit(180.0), gap + half) * F.col("_hi")
     return lat_lo * lat_lo + lon_lo * lon_lo, lat_hi * lat_hi + lon_hi * lon_hi
 
 
+def _beaten_by(rival: str) -> Column:
+    """Is the rival nearer than the row's place everywhere in the cell?
+
+    The difference of two squared distances is linear in latitude and, but for the shrink
+    factor, in longitude, so its least value is found at the edges. Places that could be nearer
+    the other way around the globe are left undecided.
+    """
+    half, mid = (F.col("_e") - F.col("_w")) / 2.0, (F.col("_e") + F.col("_w")) / 2.0
+
+    def beside(lon: Column) -> Column:
+        return mid + F.pmod(lon - mid + 180.0, F.lit(360.0)) - 180.0
+
+    yp, yq = F.col("p_lat"), F.col(f"{rival}_lat")
+    xp, xq = beside(F.col("p_lon")), beside(F.col(f"{rival}_lon"))
+    in_lat = F.least(*[(yp - yq) * (yp + yq - F.col(edge) * 2.0) for edge in ("_s", "_n")])
+    in_lon = F.least(*[(xp - xq) * (xp + xq - F.col(edge) * 2.0) for edge in ("_w", "_e")])
+    shrink = F.when(in_lon >= 0, F.col("_lo")).otherwise(F.col("_hi"))
+    clear = (F.abs(xp - mid) + half <= 180.0) & (F.abs(xq - mid) + half <= 180.0)
+    return clear & (in_lat + in_lon * shrink * shrink > F.col("_high") * 1e-12 + 1e-15)
+
+
 def _prune(rows: DataFrame) -> DataFrame:
-    """Drop places that some other place beats everywhere in the cell."""
-    low, high = _bounds()
-    scored = rows.withColumn("_low", low).withColumn("_high", high)
-    limit = scored.groupBy(*_CELL).agg(F.min("_high").alias("_limit"))
-    kept = scored.join(limit, _CELL).filter(F.col("_low") <= F.col("_limit") * (1.0 + 1e-9) + 1e-12)
-    return kept.drop("_low", "_high", "_limit")
+    """Drop places that some other place beats everywhere in the cell.
+
+    The rivals are the places nearest to the corners and the middle of the cell, so only places
+    whose own region reaches into the cell stay, also when a far crowd lies in one direction.
+    """
+    boxed = rows.select("*", *[c.alias(n) for n, c in _cell_box().items()])
+    low, high = _distance_range()
+    scored = boxed.withColumn("_low", low).withColumn("_high", high)
+    middle = ((F.col("_s") + F.col("_n")) / 2.0, (F.col("_w") + F.col("_e")) / 2.0)
+    spots = [middle, *[(F.col(a), F.col(b)) for a in ("_s", "_n") for b in ("_w", "_e")]]
+    # plain numbers keep the aggregation hash-based; both halves of a rival come from the same row
+    best = []
+    for i, (y, x) in enumerate(spots):
+        d = flat_squared_degrees(y, x, F.col("p_lat"), F.col("p_lon"))
+        best += [F.min_by("p_lat", d).alias(f"_q{i}_lat"), F.min_by("p_lon", d).alias(f"_q{i}_lon")]
+    limits = scored.groupBy(*_CELL).agg(F.min("_high").alias("_limit"), *best)
+    beaten = reduce(lambda a, b: a | b, [_beaten_by(f"_q{i}") for i in range(len(spots))])
+    kept = scored.join(limits, _CELL).filter((F.col("_low") <= F.col("_limit") * (1.0 + 1e-9) + 1e-12) & ~beaten)
+    return kept.select(*rows.columns)
 
 
 def build_nearest_index(places: DataFrame, rank: Column, value: list, lat: str = "lat",
