@@ -279,9 +279,9 @@ def text_keys(t: Tables) -> DataFrame:
 
 
 @registered("human_text", """
-SELECT o_orderkey, CASE WHEN o_custkey * 3 >= 1000 THEN printf('%.1f km', o_custkey * 3 / 1000e0) ELSE printf('%.0f m', o_custkey * 3e0) END AS distance FROM orders""")
+SELECT o_orderkey, CASE WHEN o_custkey * 3 + 0.7e0 >= 1000 THEN printf('%.1f km', (o_custkey * 3 + 0.7e0) / 1000e0) ELSE printf('%.0f m', o_custkey * 3 + 0.7e0) END AS distance FROM orders""")
 def human_text(t: Tables) -> DataFrame:
-    return t.base("orders").select("o_orderkey", text.distance_text((F.col("o_custkey") * 3).cast("double")).alias("distance"))
+    return t.base("orders").select("o_orderkey", text.distance_text(F.col("o_custkey") * 3 + 0.7).alias("distance"))
 
 
 @registered("spiral_cells", """

@@ -169,11 +169,14 @@ def surface_materials(t: Tables) -> DataFrame:
 
 @registered("column_layers", _MADE + """
 , s AS (SELECT *, greatest(least(y, 319), -56) AS sy, greatest(least(level, 319), -56) AS wy FROM g)
-SELECT bx, bz, -64 AS y_from, -57 AS y_to, 'BEDROCK' AS material FROM s UNION ALL SELECT bx, bz, -56, sy - 4, 'STONE' FROM s UNION ALL SELECT bx, bz, sy - 3, sy - 1, 'DIRT' FROM s
-UNION ALL SELECT bx, bz, sy, sy, 'GRASS_BLOCK' FROM s UNION ALL SELECT bx, bz, sy + 1, wy, 'WATER' FROM s WHERE wet AND wy > sy""")
+, l AS (SELECT bx, bz, -64 AS y_from, -57 AS y_to, 'BEDROCK' AS material FROM s UNION ALL SELECT bx, bz, -56, sy - 4, 'STONE' FROM s UNION ALL SELECT bx, bz, sy - 3, sy - 1, 'DIRT' FROM s
+UNION ALL SELECT bx, bz, sy, sy, 'GRASS_BLOCK' FROM s UNION ALL SELECT bx, bz, sy + 1, wy, 'WATER' FROM s WHERE wet AND wy > sy)
+SELECT bx >> 4 AS cx, bz >> 4 AS cz, material, count(*) AS layers, sum(y_from)::bigint AS y_from, sum(y_to)::bigint AS y_to FROM l GROUP BY 1, 2, 3""")
 def column_layers(t: Tables) -> DataFrame:
     ground = made_up(t).withColumn("top", F.lit("GRASS_BLOCK")).withColumn("filler", F.lit("DIRT"))
-    return tp.column_layers(ground, PARAMS).select("bx", "bz", "y_from", "y_to", "material")
+    layers = tp.column_layers(ground, PARAMS)
+    return layers.groupBy(F.shiftright("bx", 4).alias("cx"), F.shiftright("bz", 4).alias("cz"), "material").agg(
+        F.count("*").alias("layers"), F.sum("y_from").alias("y_from"), F.sum("y_to").alias("y_to"))
 
 
 @registered("base_height", _MADE + " SELECT bx, bz, cast(CASE WHEN wet THEN greatest(y, level) ELSE y END AS int) AS base_height FROM g")
@@ -264,12 +267,14 @@ _BANDS = ", ".join(f"('{b[0]}', '{b[1]}', {b[3]}e0, {b[4]}, {b[5]}, {str(b[6]).l
 , bands(band, mineral, cnt, lo, hi, tri, least_m) AS (VALUES {_BANDS})
 , x AS (SELECT bx, bz, y, (y - 60) * 150e0 AS m, b.*, greatest(lo, -56) AS a, least(hi, y) AS z, hi - lo AS span, (hi - lo) // 2 AS half FROM g, bands b WHERE least(hi, y) >= greatest(lo, -56) AND (least_m IS NULL OR (y - 60) * 150e0 >= least_m))
 , w AS (SELECT *, (SELECT count(*) FROM range(half + 1) i(i), range(span - half + 1) j(j) WHERE i.i + j.j BETWEEN a - lo AND z - lo) AS ways FROM x WHERE tri)
-SELECT bx, bz, band, mineral, round(cnt / 256 * (z - a + 1) / (span + 1), 9) + 0e0 AS expected_veins FROM x WHERE NOT tri
-UNION ALL SELECT bx, bz, band, mineral, round(cnt / 256 * ways / ((half + 1) * (span - half + 1)), 9) + 0e0 FROM w""")
+, v AS (SELECT bx, bz, band, mineral, cnt / 256 * (z - a + 1) / (span + 1) AS e FROM x WHERE NOT tri
+UNION ALL SELECT bx, bz, band, mineral, cnt / 256 * ways / ((half + 1) * (span - half + 1)) FROM w)
+SELECT bx >> 4 AS cx, bz >> 4 AS cz, band, mineral, count(*) AS columns_hit, round(sum(e), 6) + 0e0 AS expected_veins FROM v GROUP BY 1, 2, 3, 4""")
 def expected_minerals(t: Tables) -> DataFrame:
     ground = made_up(t).withColumn("elevation_m", (F.col("surface_y") - 60) * 150.0)
     found = suitability.expected_minerals(ground, -56, 63, 320)
-    return found.select("bx", "bz", "band", "mineral", (F.round("expected_veins", 9) + 0.0).alias("expected_veins"))
+    return found.groupBy(F.shiftright("bx", 4).alias("cx"), F.shiftright("bz", 4).alias("cz"), "band", "mineral").agg(
+        F.count("*").alias("columns_hit"), (F.round(F.sum("expected_veins"), 6) + 0.0).alias("expected_veins"))
 
 
 @registered("chunk_counts", "SELECT o_orderkey, cast(floor(o_totalprice / 1e5) + CASE WHEN (o_custkey % 97) / 97e0 < o_totalprice / 1e5 - floor(o_totalprice / 1e5) THEN 1 ELSE 0 END AS int) AS n FROM orders")
