@@ -10,6 +10,7 @@ import json
 import os
 import sys
 import time
+from dataclasses import replace
 
 ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
@@ -58,7 +59,7 @@ def main() -> None:
     timed("footprint_mean", lambda: drain(raster.footprint_mean(boxed, dem, ["id"])))
     timed("whereami", lambda: drain(tp.whereami(lines, countries, None, cities, dem, ["id"])))
 
-    inputs = timed("index_water", lambda: worlds.sources(t, True))
+    inputs = timed("index_water", lambda: replace(worlds.sources(t, True), dem=dem))
     chunks = materialise(worlds.chunks(t), "chunks")
     rows["columns"] = chunks.count() * 256
     timed("terrain", lambda: drain(tp.build_terrain(chunks, inputs, worlds.PARAMS)))

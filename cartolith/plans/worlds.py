@@ -269,12 +269,12 @@ _BANDS = ", ".join(f"('{b[0]}', '{b[1]}', {b[3]}e0, {b[4]}, {b[5]}, {str(b[6]).l
 , w AS (SELECT *, (SELECT count(*) FROM range(half + 1) i(i), range(span - half + 1) j(j) WHERE i.i + j.j BETWEEN a - lo AND z - lo) AS ways FROM x WHERE tri)
 , v AS (SELECT bx, bz, band, mineral, cnt / 256 * (z - a + 1) / (span + 1) AS e FROM x WHERE NOT tri
 UNION ALL SELECT bx, bz, band, mineral, cnt / 256 * ways / ((half + 1) * (span - half + 1)) FROM w)
-SELECT bx >> 4 AS cx, bz >> 4 AS cz, band, mineral, count(*) AS columns_hit, round(sum(e), 6) + 0e0 AS expected_veins FROM v GROUP BY 1, 2, 3, 4""")
+SELECT bx >> 4 AS cx, bz >> 4 AS cz, band, mineral, count(*) AS columns_hit, round(sum(e), 9) + 0e0 AS expected_veins FROM v GROUP BY 1, 2, 3, 4""")
 def expected_minerals(t: Tables) -> DataFrame:
     ground = made_up(t).withColumn("elevation_m", (F.col("surface_y") - 60) * 150.0)
     found = suitability.expected_minerals(ground, -56, 63, 320)
     return found.groupBy(F.shiftright("bx", 4).alias("cx"), F.shiftright("bz", 4).alias("cz"), "band", "mineral").agg(
-        F.count("*").alias("columns_hit"), (F.round(F.sum("expected_veins"), 6) + 0.0).alias("expected_veins"))
+        F.count("*").alias("columns_hit"), (F.round(F.sum("expected_veins"), 9) + 0.0).alias("expected_veins"))
 
 
 @registered("chunk_counts", "SELECT o_orderkey, cast(floor(o_totalprice / 1e5) + CASE WHEN (o_custkey % 97) / 97e0 < o_totalprice / 1e5 - floor(o_totalprice / 1e5) THEN 1 ELSE 0 END AS int) AS n FROM orders")

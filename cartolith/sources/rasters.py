@@ -18,6 +18,8 @@ from cartolith.params import LANDCOVER_CLASSES
 DEM_MAGIC, DEM_HEADER_BYTES = 0x5446444D, 64
 LANDCOVER_MAGIC, LANDCOVER_HEADER = 0x54464C43, ">iHddddii"
 INT16_VOID = -32768
+# Input bytes decoded before their rows are handed on.
+OUTPUT_BYTES = 4 * 1024 * 1024
 
 TILE_SCHEMA = ("path string, bytes bigint, lat_deg int, lon_deg int, width int, height int, encoding string, "
                "bathymetry boolean, status string, samples array<float>")
@@ -130,11 +132,20 @@ def _decode_grid(path: str, data: bytes) -> dict:
 def _decoded(files: DataFrame, decode, schema: str) -> DataFrame:
     columns = [part.strip().split(" ")[0] for part in schema.split(", ")]
 
+    def frame(rows: list[dict]) -> pd.DataFrame:
+        return pd.DataFrame(rows).reindex(columns=columns).astype(object).where(lambda v: v.notna(), None)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, size = [], 0
         for batch in batches:
-            for path, data in zip(batch["path"], batch["content"]):  # one file is one row
-                yield pd.DataFrame([decode(path, bytes(data))]).reindex(columns=columns).astype(object).where(
-                    lambda v: v.notna(), None)
+            for path, data in zip(batch["path"], batch["content"]):
+                rows.append(decode(path, bytes(data)))
+                size += len(data)
+                if size > OUTPUT_BYTES:  # large tiles leave one by one, small ones together
+                    yield frame(rows)
+                    rows, size = [], 0
+        if rows:
+            yield frame(rows)
     return files.mapInPandas(run, schema)
 
 
