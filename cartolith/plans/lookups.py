@@ -83,7 +83,7 @@ hit AS (SELECT p.id AS pid, arg_min(struct_pack(k := w.water_type, s := w.surfac
 
 
 @registered("water_column_at", with_tables("points", "samples", "water") + "," + _bilinear("points", "id") + "," + _WATER_AT + """
-SELECT p.id, coalesce(h.v.k, CASE WHEN e.m < 0 THEN 'NONE' ELSE 'NONE' END) AS water_type,
+SELECT p.id, coalesce(h.v.k, 'NONE') AS water_type,
        round(CASE coalesce(h.v.k, 'NONE') WHEN 'OCEAN' THEN 0 WHEN 'RIVER' THEN e.m WHEN 'LAKE' THEN h.v.s END, 6) + 0e0 AS surface_m,
        coalesce(h.v.b, 0) AS bed_depth_m
 FROM points p LEFT JOIN hit h ON h.pid = p.id LEFT JOIN bilinear e ON e.id = p.id""")
@@ -173,8 +173,7 @@ def nearest_city(t: Tables) -> DataFrame:
     return found.select("id", F.col("city.id").alias("city_id"), F.col("city.name").alias("city"))
 
 
-# The ellipsoidal distance has no SQL form; the spherical one checks the candidates' order of
-# size, so this query reports which cities lie well inside the radius by both measures.
+# The iterated ellipsoidal distance has no SQL form; tests compare this with brute force.
 @registered("cities_within")
 def cities_within(t: Tables) -> DataFrame:
     found = near.places_within(t.points, t.cities, ["id"], 500.0, 5, t.city_rank, [F.col("id").alias("city_id")])

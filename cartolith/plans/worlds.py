@@ -8,7 +8,7 @@ from cartolith.functions.coords import Grid, block_of, chunk_of
 from cartolith.functions.surface import with_surface_materials
 from cartolith.operators import shaping, suitability
 from cartolith.operators.shapes import area_set, build_shape_index
-from cartolith.operators.water import river_lines, water_shapes
+from cartolith.operators.water import water_shapes
 from cartolith.params import TerrainParams
 from cartolith.plans import terrain as tp
 from cartolith.plans.derived import DEM_SIDE, Tables, with_tables

@@ -4,7 +4,6 @@ import struct
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from cartolith.operators import raster, tiles
 from cartolith.operators.raster import build_landcover_index, dem_blocks, landcover_blocks
