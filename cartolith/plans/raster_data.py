@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from cartolith.functions import coords
 from cartolith.operators import raster, tiles
 from cartolith.plans.derived import Tables, with_tables
 from cartolith.plans.registry import registered
