@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from cartolith.llm import simhash
+from cartolith.llm import embedding_dedup, language, pivot_search, simhash
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
+    "op3_embedding_near_dedup": embedding_dedup.op3_embedding_near_dedup,
+    "op7_pivot_top_k": pivot_search.op7_pivot_top_k,
+    "op9_language_id": language.op9_language_id,
 }
 
 ORACLES: dict[str, str] = {}
