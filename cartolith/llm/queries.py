@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from cartolith.llm import embedding_dedup, language, pivot_search, simhash
+from cartolith.llm import embedding_dedup, language, packing, pivot_search, simhash, token_counts
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_embedding_near_dedup": embedding_dedup.op3_embedding_near_dedup,
     "op7_pivot_top_k": pivot_search.op7_pivot_top_k,
     "op9_language_id": language.op9_language_id,
+    "op4_token_counts": token_counts.op4_token_counts,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {}
