@@ -176,7 +176,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_column: str = "text") ->
     """docs with lang_pred, lang_score and lang_rejected; every whole text is read, and nothing else of a row.
 
     Null texts, texts without a letter, and any text if the model knows no language get ``und``, score 0, rejected. All
-    other columns, repeated rows and order of rows are left as they are; docs must not have these three columns already.
+    other columns and repeated rows are left as they are; columns of these three names are replaced.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = None
@@ -208,6 +208,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_column: str = "text") ->
                                              [*batch.schema.names, "lang_pred", "lang_score", "lang_rejected"])
 
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_rejected", T.BooleanType())]
+    docs = docs.drop("lang_pred", "lang_score", "lang_rejected")
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cartolith.llm import embedding_dedup, language, packing, pivot_search, simhash, token_counts
+from cartolith.llm import embedding_dedup, language, packing, pivot_search, secrets, simhash, token_counts
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op7_pivot_top_k": pivot_search.op7_pivot_top_k,
     "op9_language_id": language.op9_language_id,
     "op4_token_counts": token_counts.op4_token_counts,
+    "op5_secret_scans": secrets.op5_secret_scans,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
