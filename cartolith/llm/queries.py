@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cartolith.llm import embedding_dedup, language, packing, pivot_search, secrets, simhash, token_counts
+from cartolith.llm import embedding_dedup, language, licences, packing, pivot_search, secrets, simhash, token_counts, url_lists
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
@@ -11,7 +11,12 @@ QUERIES = {
     "op9_language_id": language.op9_language_id,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_secret_scans": secrets.op5_secret_scans,
+    "op1_url_filters": url_lists.op1_url_filters,
+    "op6_license_scans": licences.op6_license_scans,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_url_filters": url_lists.OP1_SQL,
+    "op6_license_scans": licences.OP6_SQL,
+}
