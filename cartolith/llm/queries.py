@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cartolith.llm import embedding_dedup, language, licences, packing, pivot_search, secrets, simhash, token_counts, url_lists
+from cartolith.llm import embedding_dedup, language, licences, mixing, packing, pivot_search, secrets, simhash, token_counts, url_lists
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_secret_scans": secrets.op5_secret_scans,
     "op1_url_filters": url_lists.op1_url_filters,
     "op6_license_scans": licences.op6_license_scans,
+    "op8_source_mixing": mixing.op8_source_mixing,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
