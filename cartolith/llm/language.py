@@ -86,7 +86,7 @@ def _averaged(rows: list) -> np.ndarray:
 
 
 def train(samples: list, labels: list[str], check: list, check_labels: list[str], width: int = 16,
-          epochs: int = 12, rate: float = 20.0, batch: int = 32, lost: float = 0.0, margin: float = 0.75, seed: int = 3) -> LanguageModel:
+          steps: int = 1500, rate: float = 20.0, batch: int = 32, lost: float = 0.0, margin: float = 0.75, seed: int = 3) -> LanguageModel:
     """Stochastic gradient descent on averaged counts, then temperature and rejection on the second sample.
 
     The rejection score is ``margin`` times the score below which the share ``lost`` of the second sample lies. An empty first sample gives a model that knows
@@ -97,6 +97,7 @@ def train(samples: list, labels: list[str], check: list, check_labels: list[str]
         return LanguageModel((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)
     wanted = np.array([languages.index(x) for x in labels])
     rng = np.random.default_rng(seed)
+    epochs = max(12, -(-steps * batch // len(samples)))  # small samples are read more often
     embedding = rng.normal(0, 0.3, (BUCKETS, width)).astype(np.float32)
     layer = rng.normal(0, 0.3, (width, len(languages))).astype(np.float32)
     bias = np.zeros(len(languages), np.float32)

@@ -102,21 +102,19 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, names: tuple[str, ...], mo
     seen = [share.get(n, 0) + 1.0 for n in names]
     prior = tuple(math.log(s / seen[0]) for s in seen[1:])
     scored = sample.where("check").select("domain", *[s.alias(f"s{i}") for i, s in enumerate(_odds(ratios, F.col("words")))])
-    grid = [2.0 ** (i / 2) for i in range(0, 19)]
+    grid = [2.0 ** (i / 2) for i in range(0, 17)]
     weight = F.coalesce(*[F.when(F.col("domain") == n, F.lit(share.get(n, 0) + 1.0)) for n in names])
 
-    def loss(heat: list[float]) -> Column:
-        p = _softmax([F.col(f"s{i}") / heat[i] + prior[i] for i in range(len(ratios))])
-        own = F.coalesce(*[F.when(F.col("domain") == n, p[i]) for i, n in enumerate(names)])
-        return F.avg(-weight * F.log(F.greatest(own, F.lit(1e-9))))
-
     heat = [4.0] * len(ratios)
     scored = materialise(scored, "scored")
     for _ in range(2):  # one temperature after the other
         for i in range(len(heat)):
-            losses = scored.agg(*[loss([*heat[:i], t, *heat[i + 1:]]).alias(f"l{j}") for j, t in enumerate(grid)]).first()
-            if losses[0] is not None:
-                heat[i] = grid[min(range(len(grid)), key=lambda j: losses[j])]
+            p = _softmax([F.col(f"s{j}") / (F.col("t") if j == i else heat[j]) + prior[j] for j in range(len(ratios))])
+            own = F.coalesce(*[F.when(F.col("domain") == n, p[j]) for j, n in enumerate(names)])
+            losses = (scored.withColumn("t", F.explode(F.array(*map(F.lit, grid)))).groupBy("t")
+                      .agg(F.avg(-weight * F.log(F.greatest(own, F.lit(1e-9)))).alias("loss")).collect())
+            if losses:
+                heat[i] = min((r.loss, r.t) for r in losses)[1]
     return Domains(names, ratios, prior, tuple(heat))
 
 
