@@ -27,7 +27,7 @@ class Domains:
 
     names: tuple[str, ...]
     ratios: tuple[tuple[float, ...], ...]  # for every domain but the first, by bucket
-    prior: tuple[float, ...]  # log odds against the first domain
+    prior: tuple[float, ...]  # log odds against the first domain of a text without telling words
     temperatures: tuple[float, ...]  # one for every ratio
 
 
@@ -82,7 +82,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, names: tuple[str, ...], mo
     """Word model of ``names`` from at most ``most`` labelled documents per domain (a bounded sample by a hash of the id).
 
     Only words whose share differs between a domain and the first by more than ``sure`` standard errors count. A third of
-    the sample fits the temperatures that make the odds probabilities. Without labels all odds are even.
+    the sample fits the temperatures and log odds that make them probabilities. Without labels all odds are even.
     """
     share = {r.domain: r.n for r in labelled.where(F.col("domain").isin(*names)).groupBy("domain").agg(F.count("*").alias("n")).collect()}
     chance = {n: min(1.0, 1.2 * most / max(1, share.get(n, 0))) for n in names}
@@ -105,17 +105,23 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, names: tuple[str, ...], mo
     grid = [2.0 ** (i / 2) for i in range(0, 17)]
     weight = F.coalesce(*[F.when(F.col("domain") == n, F.lit(share.get(n, 0) + 1.0)) for n in names])
 
-    heat = [4.0] * len(ratios)
+    heat, bias = [4.0] * len(ratios), list(prior)
     scored = materialise(scored, "scored")
-    for _ in range(2):  # one temperature after the other
-        for i in range(len(heat)):
-            p = _softmax([F.col(f"s{j}") / (F.col("t") if j == i else heat[j]) + prior[j] for j in range(len(ratios))])
-            own = F.coalesce(*[F.when(F.col("domain") == n, p[j]) for j, n in enumerate(names)])
-            losses = (scored.withColumn("t", F.explode(F.array(*map(F.lit, grid)))).groupBy("t")
-                      .agg(F.avg(-weight * F.log(F.greatest(own, F.lit(1e-9)))).alias("loss")).collect())
-            if losses:
-                heat[i] = min((r.loss, r.t) for r in losses)[1]
-    return Domains(names, ratios, prior, tuple(heat))
+
+    def best_of(values: list[float], odds) -> float | None:
+        """The value of the column t, out of ``values``, for which the odds fit the second sample best."""
+        p = _softmax([odds(j) for j in range(len(ratios))])
+        own = F.coalesce(*[F.when(F.col("domain") == n, p[j]) for j, n in enumerate(names)])
+        losses = (scored.withColumn("t", F.explode(F.array(*map(F.lit, values)))).groupBy("t")
+                  .agg(F.avg(-weight * F.log(F.greatest(own, F.lit(1e-9)))).alias("loss")).collect())
+        return min((r.loss, r.t) for r in losses)[1] if losses else None
+
+    for _ in range(3):  # one number after the other
+        for i in range(len(ratios)):
+            heat[i] = best_of(grid, lambda j: F.col(f"s{j}") / (F.col("t") if j == i else heat[j]) + bias[j]) or heat[i]
+            found = best_of([prior[i] + x / 2 for x in range(-12, 7)], lambda j: F.col(f"s{j}") / heat[j] + (F.col("t") if j == i else bias[j]))
+            bias[i] = bias[i] if found is None else found
+    return Domains(names, ratios, tuple(bias), tuple(heat))
 
 
 def _with_posteriors(docs: DataFrame, model: Domains, text_column: str) -> DataFrame:
