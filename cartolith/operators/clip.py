@@ -17,13 +17,6 @@ def keep_meeting(features: DataFrame, box: tuple[float, float, float, float]) ->
                            & (F.col("min_lon") <= east) & (F.col("max_lon") >= west))
 
 
-def tiles_meeting(tiles: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
-    """Degree cells that share more than an edge with the box."""
-    south, west, north, east = box
-    return tiles.filter((F.col("lon_deg") < east) & (F.col("lon_deg") + 1.0 > west)
-                        & (F.col("lat_deg") < north) & (F.col("lat_deg") + 1.0 > south))
-
-
 def _cut(points: np.ndarray, axis: int, limit: float, keep_below: bool) -> np.ndarray:
     """Sutherland-Hodgman against one half plane."""
     if len(points) == 0:

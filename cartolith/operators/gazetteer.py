@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cartolith.functions.text import blank_to_null, lookup_key
 from cartolith.operators.ordering import first_per_key, top_per_key, with_global_row_number
 
-MAX_NAMES = 12
 
 
 def population_order() -> list[Column]:
@@ -106,26 +105,27 @@ def search_countries(queries: DataFrame, countries: DataFrame, limit: int, query
 
 
 def country_anchor(countries: DataFrame, cities: DataFrame) -> DataFrame:
-    """Position of the most populous capital, else the centre of the country's box."""
+    """Position of the most populous capital, else the centre of the country's box; ties go to the first by name and id."""
     seat = (cities.filter("capital").groupBy("country_id")
-            .agg(F.max_by(F.struct("lat", "lon"), F.struct("population", "id")).alias("_s")))
+            .agg(F.min_by(F.struct("lat", "lon"), F.struct(-F.col("population"), "name", "id")).alias("_s")))
     joined = countries.join(seat.withColumnRenamed("country_id", "id"), "id", "left")
     return joined.select("id", F.coalesce("_s.lat", (F.col("min_lat") + F.col("max_lat")) / 2.0).alias("lat"),
                          F.coalesce("_s.lon", (F.col("min_lon") + F.col("max_lon")) / 2.0).alias("lon"))
 
 
-def alternate_names(cities: DataFrame, alternates: str = "alternate_names", ascii_name: str = "ascii_name") -> DataFrame:
-    """Names of each city: the plain one first, then the listed ones, distinct, at most twelve."""
+def alternate_names(cities: DataFrame, alternates: str = "alternate_names", ascii_name: str = "ascii_name", most: int | None = None) -> DataFrame:
+    """Names of each city: the plain one first, then the listed ones, distinct; all of them unless ``most`` is given."""
     listed = F.transform(F.split(F.coalesce(F.col(alternates), F.lit("")), ","), blank_to_null)
-    names = F.slice(F.array_distinct(F.array_compact(F.concat(F.array(blank_to_null(F.col(ascii_name))), listed))), 1, MAX_NAMES)
+    names = F.array_distinct(F.array_compact(F.concat(F.array(blank_to_null(F.col(ascii_name))), listed)))
+    names = names if most is None else F.slice(names, 1, most)
     return cities.select(F.lit("city").alias("entity_type"), F.col("id").alias("entity_id"),
                          F.posexplode(names).alias("position", "name"))
 
 
-def select_city_markers(cities: DataFrame, limit: int, min_population: int = 0) -> DataFrame:
-    """All capitals, plus the most populous other cities."""
-    rest = (cities.filter(~F.col("capital") & (F.col("population") >= min_population))
-            .orderBy(*population_order()).limit(limit))
+def select_city_markers(cities: DataFrame, limit: int | None = None, min_population: int = 0) -> DataFrame:
+    """All capitals, plus the other cities, only the most populous ones if a limit is given."""
+    rest = cities.filter(~F.col("capital") & (F.col("population") >= min_population))
+    rest = rest if limit is None else rest.orderBy(*population_order()).limit(limit)
     return cities.filter("capital").unionByName(rest)
 
 
@@ -137,11 +137,12 @@ def boundary_coverage(countries: DataFrame) -> DataFrame:
                          F.coalesce(F.max("max_lon"), F.lit(180.0)).alias("max_lon"))
 
 
-def capitals_per_country(countries: DataFrame, cities: DataFrame, examples: int = 10) -> DataFrame:
-    """Number of capitals of each country with some of their names."""
+def capitals_per_country(countries: DataFrame, cities: DataFrame, examples: int | None = None) -> DataFrame:
+    """Number of capitals of each country with their names, only the first ``examples`` if given."""
     capitals = cities.filter("capital").select("country_id", F.col("name").alias("city"), F.col("id").alias("city_id"))
     counts = capitals.groupBy("country_id").agg(F.count("*").alias("capitals"))
-    shown = (top_per_key(capitals, ["country_id"], [F.asc("city_id")], examples).groupBy("country_id")
+    listed = capitals if examples is None else top_per_key(capitals, ["country_id"], [F.asc("city_id")], examples)
+    shown = (listed.groupBy("country_id")
              .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("city_id", "city"))), lambda s: s["city"]),
                                ", ").alias("names")))
     return (countries.select(F.col("id").alias("country_id"), "name").join(counts, "country_id", "left")

@@ -45,7 +45,7 @@ def region_markers(regions: DataFrame, countries: DataFrame, namespace: str) ->
         F.lit("REGION").alias("type"), lat.alias("lat"), lon.alias("lon"), F.coalesce("_country", F.lit("")).alias("detail"))
 
 
-def build_markers(countries: DataFrame, regions: DataFrame, cities: DataFrame, namespace: str, city_limit: int = 2000,
+def build_markers(countries: DataFrame, regions: DataFrame, cities: DataFrame, namespace: str, city_limit: int | None = None,
                   min_population: int = 0, with_cities: bool = True, with_labels: bool = True) -> DataFrame:
     """All markers of one namespace."""
     empty = country_markers(countries.limit(0), namespace)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cartolith.operators.gazetteer import boundary_coverage, capitals_per_country
-from cartolith.operators.shapes import ShapeIndex, _interior_cells, _touched_cells, all_hits, ring_area, ring_segments
+from cartolith.operators.shapes import ShapeIndex, _touched_cells, all_hits, ring_area, ring_segments
 
 OVERLAP_TOLERANCE = 0.01
 
@@ -35,23 +37,80 @@ def duplicate_names(countries: DataFrame) -> DataFrame:
     return _finding(dup, "warning", "duplicate_name", F.col("k"), F.format_string("appears %d times", F.col("n")))
 
 
-def overlap_shares(shapes: DataFrame, cell_degrees: float) -> DataFrame:
-    """Share of the smaller shape's cells that two shapes hold in common.
+def _crossings(edges: np.ndarray, middle: float) -> np.ndarray:
+    """Where the edges (x1, y1, x2, y2), upward, meet a latitude; pairs of them bound the inside."""
+    x1, y1, x2, y2 = edges[(edges[:, 1] < middle) & (edges[:, 3] > middle)].T
+    return np.sort(x1 + (middle - y1) * (x2 - x1) / (y2 - y1))
 
-    Areas are counted in cells whose centre lies inside, so the share is exact only up to the
-    cell size along the borders.
-    """
-    cells = _interior_cells(ring_segments(shapes).filter(F.col("radius").isNull()), cell_degrees)
-    sizes = cells.groupBy("rank").agg(F.count("*").alias("n"))
-    a, b = cells.select(F.col("rank").alias("a"), "cx", "cy"), cells.select(F.col("rank").alias("b"), "cx", "cy")
-    shared = a.join(b, ["cx", "cy"]).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    return (shared.join(sizes.select(F.col("rank").alias("a"), F.col("n").alias("na")), "a")
-            .join(sizes.select(F.col("rank").alias("b"), F.col("n").alias("nb")), "b")
-            .select("a", "b", (F.col("shared") / F.least("na", "nb")).alias("share")))
 
+def _shared_area(a: np.ndarray, b: np.ndarray) -> float:
+    """Area that two shapes share, from their edges within one band of latitude.
 
-def overlapping_countries(shapes: DataFrame, cell_degrees: float, tolerance: float = OVERLAP_TOLERANCE) -> DataFrame:
-    found = overlap_shares(shapes, cell_degrees).filter(F.col("share") > tolerance)
+    Between two neighbouring latitudes at which an edge ends or edges of both shapes cross, the common width changes
+    linearly, so its value in the middle times the height is exact.
+    """
+    levels = [a[:, 1], a[:, 3], b[:, 1], b[:, 3]]
+    slope_b, base_b = (b[:, 2] - b[:, 0]) / (b[:, 3] - b[:, 1]), b[:, 0] - b[:, 1] * (b[:, 2] - b[:, 0]) / (b[:, 3] - b[:, 1])
+    for x1, y1, x2, y2 in a:
+        slope = (x2 - x1) / (y2 - y1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            y = (base_b - (x1 - y1 * slope)) / (slope - slope_b)
+        levels.append(y[(y > y1) & (y < y2) & (y > b[:, 1]) & (y < b[:, 3])])
+    levels = np.unique(np.concatenate(levels))
+    area = 0.0
+    for low, high in zip(levels, levels[1:]):
+        p, q = _crossings(a, (low + high) / 2), _crossings(b, (low + high) / 2)
+        if len(p) > 1 and len(q) > 1:
+            p, q = p[:len(p) // 2 * 2].reshape(-1, 2), q[:len(q) // 2 * 2].reshape(-1, 2)
+            width = np.minimum(p[:, None, 1], q[None, :, 1]) - np.maximum(p[:, None, 0], q[None, :, 0])
+            area += float(np.maximum(width, 0.0).sum()) * (high - low)
+    return area
+
+
+def overlap_shares(shapes: DataFrame, band_degrees: float = 1.0, reach_degrees: float = 10.0) -> DataFrame:
+    """(a, b, share): common area of two shapes as a share of the smaller one's, for all pairs that share any area.
+
+    Areas are exact in square degrees, whatever the size of a shape. Edges are cut into bands of latitude; shapes meet in a
+    band and a stretch of longitude, and a task holds the edges of two shapes in one band. Lines have no area.
+    """
+    segments = ring_segments(shapes).filter(F.col("radius").isNull() & (F.col("y1") != F.col("y2")))
+    up = F.col("y1") < F.col("y2")
+    oriented = segments.select("rank", *[F.when(up, F.col(c)).otherwise(F.col(d)).alias(c) for c, d in (("x1", "x2"), ("y1", "y2"), ("x2", "x1"), ("y2", "y1"))])
+    size = F.lit(band_degrees)
+    banded = oriented.withColumn("band", F.explode(F.sequence(F.floor(F.col("y1") / size), F.floor(F.col("y2") / size))))
+    low, high = F.col("band") * size, (F.col("band") + 1) * size
+
+    def at(y: Column) -> Column:
+        return F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+
+    edges = banded.select("rank", "band", F.when(F.col("y1") < low, at(low)).otherwise(F.col("x1")).alias("x1"), F.greatest("y1", low).alias("y1"),
+                          F.when(F.col("y2") > high, at(high)).otherwise(F.col("x2")).alias("x2"), F.least("y2", high).alias("y2")).filter("y1 < y2")
+    spans = (edges.groupBy("rank", "band").agg(F.min(F.least("x1", "x2")).alias("west"), F.max(F.greatest("x1", "x2")).alias("east"))
+             .withColumn("stretch", F.explode(F.sequence(F.floor(F.col("west") / reach_degrees), F.floor(F.col("east") / reach_degrees)))))
+    one, other = (spans.select(F.col("rank").alias(n), "band", "stretch", F.col("west").alias(f"{n}_west"), F.col("east").alias(f"{n}_east")) for n in "ab")
+    pairs = one.join(other, ["band", "stretch"]).filter("a < b AND a_west < b_east AND b_west < a_east").select("a", "b", "band").distinct()
+    corners = ["x1", "y1", "x2", "y2"]
+    sides = [pairs.join(edges.withColumnRenamed("rank", n), [n, "band"]).select("a", "b", "band", F.lit(n).alias("side"), *corners) for n in "ab"]
+
+    def piece(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        p, q = (rows.loc[rows.side == n, corners].to_numpy() for n in "ab")
+        return pd.DataFrame([[key[0], key[1], _shared_area(p, q)]], columns=["a", "b", "area"])
+
+    def own(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        p = rows[corners].to_numpy()
+        return pd.DataFrame([[key[0], _shared_area(p, p)]], columns=["rank", "area"])
+
+    kind = shapes.schema["rank"].dataType.simpleString()
+    shared = (sides[0].unionByName(sides[1]).groupBy("a", "b", "band").applyInPandas(piece, f"a {kind}, b {kind}, area double")
+              .groupBy("a", "b").agg(F.sum("area").alias("shared")).filter("shared > 0"))
+    areas = edges.groupBy("rank", "band").applyInPandas(own, f"rank {kind}, area double").groupBy("rank").agg(F.sum("area").alias("area"))
+    return (shared.join(areas.select(F.col("rank").alias("a"), F.col("area").alias("area_a")), "a")
+            .join(areas.select(F.col("rank").alias("b"), F.col("area").alias("area_b")), "b")
+            .select("a", "b", (F.col("shared") / F.least("area_a", "area_b")).alias("share")))
+
+
+def overlapping_countries(shapes: DataFrame, tolerance: float = OVERLAP_TOLERANCE) -> DataFrame:
+    found = overlap_shares(shapes).filter(F.col("share") > tolerance)
     return _finding(found, "error", "country_overlap", F.concat_ws("/", "a", "b"),
                     F.format_string("overlap by %.1f%% of the smaller one", F.col("share") * 100.0))
 
@@ -116,13 +175,13 @@ def invalid_geometry(features: DataFrame, cell_degrees: float = 0.25) -> DataFra
 
 
 def validate(countries: DataFrame, regions: DataFrame, cities: DataFrame, country_index: ShapeIndex,
-             shapes: DataFrame, overlap_cell: float = 1.0) -> DataFrame:
+             shapes: DataFrame) -> DataFrame:
     """All checks as one frame."""
     empty = countries.agg(F.count("*").alias("n")).filter("n = 0")
     return reduce(DataFrame.unionByName, [
         _finding(empty, "warning", "no_countries", F.lit("countries"), F.lit("lookups will find nothing")),
         cities_outside_coverage(countries, cities), duplicate_iso(countries), duplicate_names(countries),
-        overlapping_countries(shapes, overlap_cell), orphan_regions(countries, regions),
+        overlapping_countries(shapes), orphan_regions(countries, regions),
         misplaced_regions(countries, regions), capital_findings(countries, cities),
         cities_outside_country(countries, country_index, cities)])
 

@@ -11,7 +11,6 @@ DEM_RESOLUTIONS = {"30": 10, "90": 30}
 LANDCOVER_STEP, LANDCOVER_SOUTH, LANDCOVER_NORTH = 3, -60, 84
 BATHYMETRY_STEP = 90
 BYTES_PER_CHUNK = 15 * 1024
-PROBES_PER_AXIS = 64
 
 
 def _steps(low: Column, high: Column, step: int, first: int, last: int) -> Column:
@@ -86,27 +85,6 @@ def required_tiles(points: DataFrame, lat: str = "lat", lon: str = "lon") -> Dat
     return points.select(tile_lat(F.col(lat)).alias("lat_deg"), tile_lon(F.col(lon)).alias("lon_deg")).distinct()
 
 
-def extent_probes(spark, extent: Extent, grid: Grid, per_axis: int = PROBES_PER_AXIS) -> DataFrame:
-    """Probe points of an extent in whole steps from its corner, about so many per axis."""
-    def axis(low: int, high: int) -> tuple[int, int]:
-        step = max(1, (high - low) // per_axis)
-        return step, (high - low) // step + 1
-    (step_x, nx), (step_z, nz) = axis(extent.min_x, extent.max_x), axis(extent.min_z, extent.max_z)
-    cells = spark.range(nx * nz)
-    x = F.lit(extent.min_x) + F.floor(F.col("id") / nz) * step_x
-    z = F.lit(extent.min_z) + F.col("id") % nz * step_z
-    lat, lon = grid.to_geographic(x.cast("double"), z.cast("double"))
-    return cells.select(lat.alias("lat"), lon.alias("lon"))
-
-
-def extent_of_box(grid: Grid, min_lat: Column, min_lon: Column, max_lat: Column, max_lon: Column):
-    """Block extent of a geographic box, rounded outward: min_x, min_z, max_x, max_z."""
-    x0, z0 = grid.to_grid(max_lat, min_lon)
-    x1, z1 = grid.to_grid(min_lat, max_lon)
-    return (F.floor(F.least(x0, x1)).cast("int"), F.floor(F.least(z0, z1)).cast("int"),
-            F.ceil(F.greatest(x0, x1)).cast("int"), F.ceil(F.greatest(z0, z1)).cast("int"))
-
-
 def missing_tiles(required: DataFrame, catalog: DataFrame) -> DataFrame:
     return required.join(catalog.select("lat_deg", "lon_deg"), ["lat_deg", "lon_deg"], "left_anti")
 
@@ -143,7 +121,7 @@ def dataset_fingerprint(files: DataFrame, root: str) -> DataFrame:
 
     The digest is sequential by definition; it sees only names and sizes, never contents.
     """
-    relative = F.regexp_replace("path", f"^(file:)?/*{root.strip('/')}/", "")
+    relative = F.regexp_replace("path", rf"^(file:)?/*\Q{root.strip('/')}\E/", "")
     entry = F.concat(relative, F.lit("="), F.col("length").cast("string"), F.lit("\0"))
     return files.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(entry)), ""), 256).alias("fingerprint"))
 

@@ -107,7 +107,7 @@ def _some_capitals(t: Tables) -> DataFrame:
 
 
 @registered("country_anchor", with_tables("countries", "cities") + f", k AS ({_FEW_CAPITALS})" + """
-, s AS (SELECT country_id, arg_max(struct_pack(lat := lat, lon := lon), struct_pack(p := population, i := id)) AS v FROM k WHERE capital GROUP BY 1)
+, s AS (SELECT country_id, arg_min(struct_pack(lat := lat, lon := lon), struct_pack(p := -population, n := name, i := id)) AS v FROM k WHERE capital GROUP BY 1)
 SELECT c.id, round(coalesce(s.v.lat, (c.min_lat + c.max_lat) / 2), 6) + 0e0 AS lat, round(coalesce(s.v.lon, (c.min_lon + c.max_lon) / 2), 6) + 0e0 AS lon FROM countries c LEFT JOIN s ON s.country_id = c.id""")
 def country_anchor(t: Tables) -> DataFrame:
     found = gaz.country_anchor(t.countries, _some_capitals(t))
@@ -122,7 +122,7 @@ SELECT id AS entity_id, cast(row_number() OVER (PARTITION BY id ORDER BY i) - 1
 def alternate_names(t: Tables) -> DataFrame:
     cities = t._sql("""SELECT p_partkey AS id, p_name AS ascii_name, concat_ws(',', p_brand, ' ', p_type, p_name, p_brand,
         concat(p_type, ' ', cast(p_size AS string)), cast(p_size AS string), p_name) AS alternate_names FROM {part}""", "part")
-    return gaz.alternate_names(cities).select("entity_id", "position", "name")
+    return gaz.alternate_names(cities, most=12).select("entity_id", "position", "name")
 
 
 _MARKED = ", sel AS (SELECT * FROM cities WHERE capital UNION ALL (SELECT * FROM cities WHERE NOT capital AND population >= 1000 ORDER BY population DESC, name, id LIMIT 50))"
@@ -231,19 +231,34 @@ def cities_outside_coverage(t: Tables) -> DataFrame:
     return quality.cities_outside_coverage(t.countries, t.cities.withColumn("lat", F.col("lat") * 1.2))
 
 
-_CELL = 0.9371
+_TINY = 0.03  # half the width of the small squares, in degrees
 
 
 @registered("overlapping_countries", with_tables("edges") + f"""
-, cells AS (SELECT x.i AS cx, y.j AS cy, (x.i + 0.5e0) * {_CELL}e0 AS lon, (y.j + 0.5e0) * {_CELL}e0 AS lat FROM range(-200, 200) x(i), range(-100, 100) y(j))
-, hit AS (SELECT e.id, c.cx, c.cy FROM cells c JOIN edges e ON c.lat BETWEEN least(e.y1, e.y2) AND greatest(e.y1, e.y2) GROUP BY ALL HAVING sum(CASE WHEN (e.y1 <= c.lat) <> (e.y2 <= c.lat)
-  AND c.lon < e.x1 + (c.lat - e.y1) * (e.x2 - e.x1) / (e.y2 - e.y1) THEN 1 ELSE 0 END) % 2 = 1)
-, n AS (SELECT id, count(*) AS n FROM hit GROUP BY id)
-SELECT a.id AS a, b.id AS b, round(count(*)::double / least(any_value(na.n), any_value(nb.n)), 9) + 0e0 AS share FROM hit a JOIN hit b ON a.cx = b.cx AND a.cy = b.cy AND a.id < b.id
-JOIN n na ON na.id = a.id JOIN n nb ON nb.id = b.id GROUP BY a.id, b.id""")
+, small AS (SELECT id + 1000 AS id, (min_lon + max_lon) / 2 AS x, (min_lat + max_lat) / 2 AS y FROM countries UNION ALL SELECT id + 2000, (min_lon + max_lon) / 2 + 0.04e0, (min_lat + max_lat) / 2 FROM countries)
+, every AS (SELECT id, x1, y1, x2, y2 FROM edges UNION ALL SELECT id, x + u * {_TINY}e0, y + v * {_TINY}e0, x + w * {_TINY}e0, y + z * {_TINY}e0 FROM small, (VALUES (-1, -1, 1, -1), (1, -1, 1, 1), (1, 1, -1, 1), (-1, 1, -1, -1)) s(u, v, w, z))
+, e AS (SELECT id, CASE WHEN y1 < y2 THEN x1 ELSE x2 END AS xa, least(y1, y2) AS ya, CASE WHEN y1 < y2 THEN x2 ELSE x1 END AS xb, greatest(y1, y2) AS yb FROM every WHERE y1 <> y2)
+, box AS (SELECT id, min(least(xa, xb)) AS w, max(greatest(xa, xb)) AS e, min(ya) AS s, max(yb) AS n FROM e GROUP BY id)
+, pr AS (SELECT a.id AS a, b.id AS b FROM box a JOIN box b ON a.id <= b.id AND a.w < b.e AND b.w < a.e AND a.s < b.n AND b.s < a.n)
+, ys AS (SELECT a, b, ya AS y FROM pr JOIN e ON e.id = a OR e.id = b UNION SELECT a, b, yb FROM pr JOIN e ON e.id = a OR e.id = b
+  UNION SELECT a, b, y FROM (SELECT a, b, p.ya AS pa, p.yb AS pb, q.ya AS qa, q.yb AS qb, (q.xa - p.xa + p.ya * (p.xb - p.xa) / (p.yb - p.ya) - q.ya * (q.xb - q.xa) / (q.yb - q.ya)) / nullif((p.xb - p.xa) / (p.yb - p.ya) - (q.xb - q.xa) / (q.yb - q.ya), 0) AS y
+    FROM pr JOIN e p ON p.id = a JOIN e q ON q.id = b AND a < b) z WHERE y > pa AND y < pb AND y > qa AND y < qb)
+, sl AS (SELECT a, b, y AS y0, lead(y) OVER (PARTITION BY a, b ORDER BY y) AS y1 FROM ys)
+, cr AS (SELECT sl.a, sl.b, y0, y1, e.id, xa + ((y0 + y1) / 2 - ya) * (xb - xa) / (yb - ya) AS x FROM sl JOIN e ON (e.id = sl.a OR e.id = sl.b) AND ya < (y0 + y1) / 2 AND yb > (y0 + y1) / 2)
+, rn AS (SELECT *, row_number() OVER (PARTITION BY a, b, y0, id ORDER BY x) AS k FROM cr)
+, iv AS (SELECT p.a, p.b, p.y0, p.y1, p.id, p.x AS lo, q.x AS hi FROM rn p JOIN rn q ON p.a = q.a AND p.b = q.b AND p.y0 = q.y0 AND p.id = q.id AND q.k = p.k + 1 WHERE p.k % 2 = 1)
+, ar AS (SELECT p.a, p.b, sum(greatest(0, least(p.hi, q.hi) - greatest(p.lo, q.lo)) * (p.y1 - p.y0)) AS area FROM iv p JOIN iv q ON p.a = q.a AND p.b = q.b AND p.y0 = q.y0 AND p.id = p.a AND q.id = q.b GROUP BY p.a, p.b)
+SELECT s.a, s.b, round(s.area / least(x.area, y.area), 6) + 0e0 AS share FROM ar s JOIN ar x ON x.a = s.a AND x.b = s.a JOIN ar y ON y.a = s.b AND y.b = s.b WHERE s.a < s.b AND s.area / least(x.area, y.area) > {quality.OVERLAP_TOLERANCE}""")
 def overlapping_countries(t: Tables) -> DataFrame:
-    found = quality.overlap_shares(shapes.area_set(t.countries, F.col("id"), ["id"]).shapes, _CELL)
-    return found.select("a", "b", (F.round("share", 9) + 0.0).alias("share"))
+    """Countries with two small squares each, 0.06 degrees wide, that overlap each other by a third and their country wholly."""
+    def square(number: int, shift: float) -> DataFrame:
+        x, y = (F.col("min_lon") + F.col("max_lon")) / 2 + shift, (F.col("min_lat") + F.col("max_lat")) / 2
+        ring = F.array(*[F.struct((x + u * _TINY).alias("lon"), (y + v * _TINY).alias("lat")) for u, v in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))])
+        return t.countries.select((F.col("id") + number).alias("id"), F.array(ring).alias("rings"))
+
+    every = t.countries.select("id", "rings").unionByName(square(1000, 0.0)).unionByName(square(2000, 0.04))
+    found = quality.overlap_shares(shapes.area_set(every, F.col("id"), ["id"]).shapes).filter(F.col("share") > quality.OVERLAP_TOLERANCE)
+    return found.select("a", "b", (F.round("share", 6) + 0.0).alias("share"))
 
 
 @registered("orphan_regions", with_tables("regions") + """
@@ -278,7 +293,7 @@ def invalid_geometry(t: Tables) -> DataFrame:
 @registered("validation_verdict")
 def validation_verdict(t: Tables) -> DataFrame:
     """All checks in one frame, counted; each check has its own SQL counterpart above."""
-    findings = quality.validate(t.countries, t.regions, t.cities, t.country_shapes, shapes.area_set(t.countries, F.col("id"), ["id"]).shapes, _CELL)
+    findings = quality.validate(t.countries, t.regions, t.cities, t.country_shapes, shapes.area_set(t.countries, F.col("id"), ["id"]).shapes)
     return quality.verdict(findings, strict=True)
 
 

@@ -197,11 +197,12 @@ def read_landcover_grids(spark: SparkSession, folder: str, pattern: str = "*.tfl
 
 
 def tile_inventory(tiles: DataFrame, dataset: str) -> DataFrame:
-    """Provenance rows of decoded tiles, one per dataset and cell."""
-    return (tiles.filter("status = 'ok'")
+    """Provenance rows of decoded tiles, one per dataset and cell: of several files the first by path."""
+    usable = tiles.filter("status = 'ok'")
+    first = usable.groupBy("lat_deg", "lon_deg").agg(F.min("path").alias("path"))
+    return (usable.join(first, ["lat_deg", "lon_deg", "path"], "left_semi")
             .select(F.lit(dataset).alias("dataset"), "lat_deg", "lon_deg", F.element_at(F.split("path", "/"), -1).alias("file"),
-                    "width", "height", "encoding", "bytes", F.sha2(F.to_json("samples"), 256).alias("checksum"))
-            .dropDuplicates(["dataset", "lat_deg", "lon_deg"]))
+                    "width", "height", "encoding", "bytes", F.sha2(F.to_json("samples"), 256).alias("checksum")))
 
 
 def parse_ascii_grids(texts: DataFrame) -> DataFrame:

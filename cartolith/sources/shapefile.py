@@ -47,7 +47,7 @@ def decode_record(content: bytes) -> tuple[int, str, list, list]:
     part_count, point_count = struct.unpack_from("<ii", content, 36)
     starts = np.frombuffer(content, "<i4", part_count, 44).tolist() + [point_count]
     points = np.frombuffer(content, "<f8", point_count * 2, 44 + 4 * part_count).reshape(-1, 2)
-    parts, roles = [], []
+    parts, roles, broken = [], [], 0
     for begin, end in zip(starts, starts[1:]):
         part = points[begin:end]
         if kind in AREA_TYPES and len(part) > 2 and (part[0] != part[-1]).any():
@@ -55,7 +55,10 @@ def decode_record(content: bytes) -> tuple[int, str, list, list]:
         if len(part) >= (4 if kind in AREA_TYPES else 2):
             parts.append([(float(x), float(y)) for x, y in part])
             roles.append(_part_role(part) if kind in AREA_TYPES else "line")
-    return kind, "ok" if parts else "empty", parts, roles
+        else:
+            broken += 1
+    status = f"malformed parts: {broken}" if broken else "ok" if parts else "empty"
+    return kind, status, parts, roles
 
 
 class _Reader(DataSourceReader):
@@ -63,17 +66,21 @@ class _Reader(DataSourceReader):
         self.path, self.per_task = _local(path), per_task
         self.stem = os.path.splitext(self.path)[0]
 
+    def _count(self) -> int:
+        return (os.path.getsize(self.stem + ".shx") - 100) // 8
+
     def partitions(self):
-        count = (os.path.getsize(self.stem + ".shx") - 100) // 8
+        count = self._count()
         return [RecordRange(i, min(i + self.per_task, count)) for i in range(0, count, self.per_task)] or [RecordRange(0, 0)]
 
     def _table(self, part: RecordRange) -> Iterator[dict]:
         """Attributes of the records, blank values left out."""
         if not os.path.exists(self.stem + ".dbf"):
-            yield from ({} for _ in range(part.first, part.last))
-            return
+            raise FileNotFoundError(f"{self.stem}.dbf: filters on attributes would let every record through without it")
         with open(self.stem + ".dbf", "rb") as table:
             head = table.read(32)
+            if struct.unpack_from("<I", head, 4)[0] != self._count():
+                raise ValueError(f"{self.stem}.dbf and its index disagree on the number of records")
             start, size = struct.unpack_from("<HH", head, 8)
             raw = table.read(start - 33)
             fields = [(raw[i:i + 11].split(b"\0")[0].decode("ascii", "replace"), raw[i + 16]) for i in range(0, len(raw) - 31, 32)]

@@ -138,12 +138,6 @@ def made_by_people(props: Column) -> Column:
     return F.exists(values, lambda v: F.coalesce(v.contains(MADE_BY_PEOPLE[0]) | v.contains(MADE_BY_PEOPLE[1]), F.lit(False)))
 
 
-def any_attribute_made_by_people(props: Column) -> Column:
-    """The same test over every attribute, for record tables without known names."""
-    return F.exists(F.map_values(props), lambda v: F.coalesce(
-        F.lower(v).contains(MADE_BY_PEOPLE[0]) | F.lower(v).contains(MADE_BY_PEOPLE[1]), F.lit(False)))
-
-
 def water_features(features: DataFrame, blocks_per_km: float = 1.0) -> DataFrame:
     """Water bodies from decoded features; unusable ones keep a reject_reason."""
     p = F.col("properties")

@@ -17,11 +17,6 @@ KEY = "town_uuid"
 COLUMNS = ["town_uuid", "town_name", "latitude", "longitude", "elevation", "country_id", "region_id", "updated_at", "deleted"]
 
 
-def with_position(events: DataFrame, grid: Grid, x: str = "x", z: str = "z") -> DataFrame:
-    lat, lon = grid.to_geographic(F.col(x), F.col(z))
-    return events.withColumn("lat", lat).withColumn("lon", lon)
-
-
 def enrich(events: DataFrame, countries: ShapeIndex, regions: ShapeIndex, dem: DataFrame | None, key: list[str]) -> DataFrame:
     """Rows for the town table from events with a position (lat, lon), ``updated_at`` and ``deleted``."""
     found = locate(locate(events, countries, key, "_c"), regions, key, "_r")

@@ -127,9 +127,9 @@ def test_noise_in_sql(spark):
 
 
 def test_text(spark):
-    got = values(spark, [("Testland", True, 1234), (None, True, 0), ("Testland", False, 0)], "c string, k boolean, p bigint",
+    got = values(spark, [("Quadria", True, 1234), (None, True, 0), ("Quadria", False, 0)], "c string, k boolean, p bigint",
                  city_detail(F.col("c"), F.col("k"), F.col("p")))
-    assert [r[0] for r in got] == ["Capital of Testland -- population 1,234", "Capital", "Testland"]
+    assert [r[0] for r in got] == ["Capital of Quadria -- population 1,234", "Capital", "Quadria"]
     assert values(spark, [(999.4,), (1500.0,)], "m double", distance_text(F.col("m"))) == [("999 m",), ("1.5 km",)]
     assert values(spark, [(" de ",), ("-99",)], "c string", iso_code(F.col("c"))) == [("DE",), (None,)]
 

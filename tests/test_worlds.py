@@ -6,7 +6,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from cartolith.operators import gazetteer, publish, shaping
+from cartolith.operators import gazetteer, publish, quality, shaping
 from cartolith.operators.shapes import area_set, build_shape_index
 from cartolith.params import TerrainParams
 from cartolith.plans.terrain import TerrainSources, build_terrain, column_layers, sample_columns
@@ -70,19 +70,20 @@ def test_layers_cover_each_column_once(spark):
 
 
 def test_cities_and_markers(spark):
-    cities = spark.createDataFrame([(1, "München", 48.1, 11.6, 1_500_000, 1, False), (2, "Small Munich", 10.0, 10.0, 100, 1, False),
-                                    (3, "Capital", 1.0, 1.0, 100_000, 1, True)], "id int, name string, lat double, lon double, population bigint, country_id int, capital boolean")
-    names = spark.createDataFrame([(i, "city", 1, n) for i, n in enumerate(("Muenchen", "Munich", "Monaco di Baviera"))], "id int, entity_type string, entity_id int, name string")
-    asked = spark.createDataFrame([(q,) for q in ("Munich", "muenchen", "Nowhere", " münchen ")], "query string")
-    assert {r["query"]: r.city_id for r in gazetteer.find_city(asked, cities, names).collect()} == {"Munich": 1, "muenchen": 1, "Nowhere": None, " münchen ": 1}
-    found = gazetteer.search_cities(spark.createDataFrame([("muni",)], "query string"), cities, names, 5).collect()
+    cities = spark.createDataFrame([(1, "Ostrübingen", 48.1, 11.6, 1_500_000, 1, False), (2, "Lower Ostrubing", 10.0, 10.0, 100, 1, False),
+                                    (3, "Seat", 1.0, 1.0, 100_000, 1, True), (7, "Zweitseat", 3.0, 3.0, 100_000, 1, True)], "id int, name string, lat double, lon double, population bigint, country_id int, capital boolean")
+    names = spark.createDataFrame([(i, "city", 1, n) for i, n in enumerate(("Ostruebingen", "Ostrubing", "Ostrubinga Bassa"))], "id int, entity_type string, entity_id int, name string")
+    asked = spark.createDataFrame([(q,) for q in ("Ostrubing", "ostruebingen", "Noplace", " ostrübingen ")], "query string")
+    assert {r["query"]: r.city_id for r in gazetteer.find_city(asked, cities, names).collect()} == {"Ostrubing": 1, "ostruebingen": 1, "Noplace": None, " ostrübingen ": 1}
+    found = gazetteer.search_cities(spark.createDataFrame([("ostrubing",)], "query string"), cities, names, 5).collect()
     assert [r.city_id for r in found] == [1]
-    countries = spark.createDataFrame([(1, "TL", "Testland", 0.0, 0.0, 2.0, 2.0)], "id int, iso_code string, name string, min_lat double, min_lon double, max_lat double, max_lon double")
+    countries = spark.createDataFrame([(1, "QD", "Quadria", 0.0, 0.0, 2.0, 2.0)], "id int, iso_code string, name string, min_lat double, min_lon double, max_lat double, max_lon double")
     regions = spark.createDataFrame([(1, 1, "North", 1.0, 0.0, 2.0, 2.0)], "id int, country_id int, name string, min_lat double, min_lon double, max_lat double, max_lon double")
     marks = {r.id: r for r in publish.build_markers(countries, regions, cities, "n:", city_limit=1).collect()}
-    assert set(marks) == {"n:country/1", "n:region/1", "n:capital/3", "n:city/1"}
-    assert marks["n:capital/3"].detail == "Capital of Testland -- population 100,000"
-    assert gazetteer.country_anchor(countries, cities).first().lat == 1.0
+    assert set(marks) == {"n:country/1", "n:region/1", "n:capital/3", "n:capital/7", "n:city/1"}
+    assert marks["n:capital/3"].detail == "Capital of Quadria -- population 100,000"
+    assert gazetteer.country_anchor(countries, cities).first().lat == 1.0  # of two equally large capitals the first by name
+    assert publish.build_markers(countries, regions, cities, "n:").count() == 6  # no limit unless asked for
 
 
 def test_simplified_ring_keeps_its_corners():
@@ -143,13 +144,33 @@ def test_shapefile_source(spark, tmp_path):
     rows = {r.rec_no: r for r in spark.read.format("shapefile").option("recordsPerTask", "2").load(str(tmp_path / "k.shp")).collect()}
     assert len(rows) == 3 and rows[0].part_roles == ["shell", "hole"] and rows[1].attributes == {"KIND": "k1"}
     assert rows[1].parts[0][0] == rows[1].parts[0][-1]
+    write_shapefile(tmp_path / "m", [[shell, hole[:2]]])
+    broken = spark.read.format("shapefile").load(str(tmp_path / "m.shp")).first()
+    assert broken.status == "malformed parts: 1" and broken.part_roles == ["shell"]
+    (tmp_path / "m.dbf").unlink()
+    with pytest.raises(Exception, match="m.dbf"):
+        spark.read.format("shapefile").load(str(tmp_path / "m.shp")).collect()
+
+
+def test_overlap_areas_are_exact(spark):
+    def square(x, y, size):
+        return [[(x, y), (x + size, y), (x + size, y + size), (x, y + size), (x, y)]]
+    triangle = [[(0.0, 10.0), (4.0, 10.0), (0.0, 14.0), (0.0, 10.0)]]
+    holed = square(20.0, 0.0, 4.0) + [[(21.0, 1.0), (21.0, 3.0), (23.0, 3.0), (23.0, 1.0), (21.0, 1.0)]]
+    rows = [(1, square(0.0, 0.0, 2.0)), (2, square(1.0, 1.0, 2.0)), (3, square(2.0, 0.0, 1.0)), (4, square(0.01, 0.01, 0.03)), (5, square(0.01, 0.01, 0.03)),
+            (6, triangle), (7, square(0.0, 10.0, 4.0)), (8, square(2.0, 12.0, 3.0)), (9, holed), (10, square(20.0, 0.0, 4.0)), (11, square(21.5, 1.5, 1.0))]
+    table = spark.createDataFrame(rows, "rank int, rings array<array<struct<lon:double,lat:double>>>").withColumn("radius", F.lit(None).cast("double"))
+    got = {(r.a, r.b): round(r.share, 9) for r in quality.overlap_shares(table, 0.7).collect()}
+    assert {pair: share for pair, share in got.items() if share > 1e-9} == {
+        (1, 2): 0.25, (1, 4): 1.0, (1, 5): 1.0, (4, 5): 1.0, (6, 7): 1.0, (7, 8): round(4 / 9, 9), (9, 10): 1.0, (10, 11): 1.0}
+    assert {r.entity for r in quality.overlapping_countries(table).collect()} == {f"{a}/{b}" for (a, b), share in got.items() if share > 0.01}
 
 
 def test_gazetteer_lines(spark, tmp_path):
-    good = "\t".join(["1", "München", "Munich", "a,b", "48.1", "11.6", "P", "PPLC", "DE", "", "", "", "", "", "1500000", "", "", "", ""])
+    good = "\t".join(["1", "Ostrübingen", "Ostrubing", "a,b", "48.1", "11.6", "P", "PPLC", "DE", "", "", "", "", "", "1500000", "", "", "", ""])
     (tmp_path / "c.txt").write_text(f"{good}\n\n# note\nshort\tline\n")
     rows = vectors.read_geonames(spark, str(tmp_path / "c.txt")).orderBy("ordinal").collect()
-    assert [(r.name, r.capital, r.reject_reason) for r in rows][0] == ("München", True, None)
+    assert [(r.name, r.capital, r.reject_reason) for r in rows][0] == ("Ostrübingen", True, None)
     assert rows[1].reject_reason == "fewer than 15 columns" and len(rows) == 2
 
 
