@@ -45,6 +45,7 @@ def main() -> None:
 
     timed("warm_up", lambda: t.line_points.agg(F.sum("shipments")).collect())
     countries = timed("index_countries", lambda: t.country_shapes)
+    regions = timed("index_regions", lambda: t.region_shapes)
     cities = timed("index_cities", lambda: t.city_index)
     dem = timed("index_dem", lambda: materialise(t.dem, "dem"))
 
@@ -57,12 +58,12 @@ def main() -> None:
     timed("nearest_city", lambda: drain(near.nearest(lines, cities, "city")))
     timed("elevation_at", lambda: drain(raster.elevation_at(lines, dem)))
     timed("footprint_mean", lambda: drain(raster.footprint_mean(boxed, dem, ["id"])))
-    timed("whereami", lambda: drain(tp.whereami(lines, countries, None, cities, dem, ["id"])))
+    timed("whereami", lambda: drain(tp.whereami(lines, countries, regions, cities, dem, ["id"])))
 
     inputs = timed("index_water", lambda: replace(worlds.sources(t, True), dem=dem))
     chunks = materialise(worlds.chunks(t), "chunks")
     rows["columns"] = chunks.count() * 256
-    timed("terrain", lambda: drain(tp.build_terrain(chunks, inputs, worlds.PARAMS)))
+    timed("terrain", lambda: drain(tp.build_terrain(chunks, inputs, replace(worlds.PARAMS, detail=1.0))))
 
     rates = {name: round(rows["points"] / times[name]) for name in ("country_at", "nearest_city", "elevation_at", "footprint_mean", "whereami")}
     rates["terrain_columns"] = round(rows["columns"] / times["terrain"])

@@ -107,8 +107,19 @@ def dissolve_edges(shapes: DataFrame, group: str) -> DataFrame:
             .select(group, F.col("a.x").alias("x1"), F.col("a.y").alias("y1"), F.col("b.x").alias("x2"), F.col("b.y").alias("y2")))
 
 
+def open_ends(shapes: DataFrame, group: str) -> DataFrame:
+    """Points (group, x, y, edges) where a dissolved outline does not close: an odd number of its segments ends there.
+
+    They show where members were not digitised edge by edge. Chains between open ends belong to no ring.
+    """
+    outline = dissolve_edges(shapes, group)
+    ends = F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))
+    points = outline.select(group, F.explode(ends).alias("p")).groupBy(group, "p.x", "p.y").agg(F.count("*").alias("edges"))
+    return points.filter("edges % 2 = 1")
+
+
 def _stitch(edges: pd.DataFrame) -> list[list[tuple[float, float]]]:
-    """Closed rings from undirected segments."""
+    """Closed rings from undirected segments; see :func:`open_ends` for chains that do not close."""
     ends: dict[tuple, list[tuple[int, tuple]]] = {}
     for i, (x1, y1, x2, y2) in enumerate(edges.sort_values(["x1", "y1", "x2", "y2"]).itertuples(index=False, name=None)):
         ends.setdefault((x1, y1), []).append((i, (x2, y2)))

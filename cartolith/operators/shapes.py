@@ -43,6 +43,19 @@ def area_set(polygons: DataFrame, rank: Column, value: list, cell_degrees: float
                                     F.lit(None).cast("double").alias("radius")), cell_degrees)
 
 
+def line_center_lat(paths: Column) -> Column:
+    """Latitude of the length-weighted centre of a set of paths; that of the first point if they have no length."""
+    def steps(points: Column) -> Column:
+        n = F.greatest(F.size(points) - 1, F.lit(0))
+        return F.zip_with(F.slice(points, 1, n), F.slice(points, 2, n), lambda a, b: F.struct(
+            F.hypot(b["lon"] - a["lon"], b["lat"] - a["lat"]).alias("length"), ((a["lat"] + b["lat"]) / 2.0).alias("lat")))
+
+    center = F.aggregate(F.flatten(F.transform(paths, steps)), F.struct(F.lit(0.0).alias("length"), F.lit(0.0).alias("moment")),
+                         lambda t, s: F.struct((t["length"] + s["length"]).alias("length"), (t["moment"] + s["length"] * s["lat"]).alias("moment")),
+                         lambda t: F.when(t["length"] > 0, t["moment"] / t["length"]))
+    return F.coalesce(center, F.get(F.transform(F.flatten(paths), lambda p: p["lat"]), F.lit(0)))
+
+
 def ring_segments(shapes: DataFrame) -> DataFrame:
     """One row per segment of every ring or path: rank, radius, ring, seq, x1, y1, x2, y2."""
     rings = shapes.select("rank", "radius", F.posexplode("rings").alias("ring", "points")).filter(F.size("points") >= 2)

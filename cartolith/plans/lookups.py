@@ -102,8 +102,10 @@ def sea_level_water(t: Tables) -> DataFrame:
 
 
 _RIVER_SQL = """
-, seg AS (SELECT id, x1, y1, x2, y2, discharge_cms, (y1 + y3) / 2 AS mid FROM rivers
-          UNION ALL SELECT id, x2, y2, x3, y3, discharge_cms, (y1 + y3) / 2 FROM rivers),
+, len AS (SELECT *, sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) AS l1, sqrt(pow(x3 - x2, 2) + pow(y3 - y2, 2)) AS l2 FROM rivers),
+mids AS (SELECT *, (l1 * (y1 + y2) / 2 + l2 * (y2 + y3) / 2) / (l1 + l2) AS mid FROM len),
+seg AS (SELECT id, x1, y1, x2, y2, discharge_cms, mid FROM mids
+          UNION ALL SELECT id, x2, y2, x3, y3, discharge_cms, mid FROM mids),
 wide AS (SELECT *, greatest(1000e0, 7.2 * sqrt(discharge_cms)) / (greatest(0.01, abs(cos(radians(mid)))) * (2.0 * 111320e0)) * 12 AS r FROM seg),
 near AS (SELECT p.id AS pid, w.id AS wid, w.r,
          least(greatest(coalesce(((p.lon - x1) * (x2 - x1) + (p.lat - y1) * (y2 - y1)) / nullif((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1), 0), 0), 0), 1) AS u,

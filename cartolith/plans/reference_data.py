@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from cartolith.operators import clip, gazetteer as gaz, ordering, publish, quality, shapes
 from cartolith.plans.derived import SQL, Tables, with_tables
@@ -309,6 +309,23 @@ _DISSOLVE = with_tables("regions") + """
 , e AS (SELECT r.country_id, v.* FROM regions r, LATERAL (SELECT * FROM (VALUES (r.min_lon, r.min_lat, r.max_lon, r.min_lat), (r.max_lon, r.min_lat, r.max_lon, r.max_lat), (r.min_lon, r.max_lat, r.max_lon, r.max_lat), (r.min_lon, r.min_lat, r.min_lon, r.max_lat)) q(x1, y1, x2, y2)) v)"""
 
 
+_CUT = _DISSOLVE.replace("FROM regions r,", "FROM (SELECT *, row_number() OVER (PARTITION BY country_id ORDER BY id) AS k FROM regions) r,").replace(") v)", ") v WHERE NOT (r.k = 1 AND v.y1 = v.y2 AND v.y1 = r.min_lat))")
+
+
+@registered("dissolve_open_ends", _CUT + """
+, o AS (SELECT country_id, x1, y1, x2, y2 FROM e GROUP BY ALL HAVING count(*) % 2 = 1)
+SELECT country_id, x, y, count(*) AS edges FROM (SELECT country_id, x1 AS x, y1 AS y FROM o UNION ALL SELECT country_id, x2, y2 FROM o) GROUP BY ALL HAVING count(*) % 2 = 1""")
+def dissolve_open_ends(t: Tables) -> DataFrame:
+    """Regions, of which the first of each country has lost its southern edge and is a path of three edges."""
+    first = Window.partitionBy("country_id").orderBy("id")
+    ring = F.col("rings")[0]
+    west, east = F.col("min_lon"), F.col("max_lon")
+    path = F.array(*[F.struct(x.alias("lon"), y.alias("lat")) for x, y in ((east, F.col("min_lat")), (east, F.col("max_lat")), (west, F.col("max_lat")), (west, F.col("min_lat")))])
+    cut = t.regions.withColumn("k", F.row_number().over(first)).withColumn("rings", F.array(F.when(F.col("k") == 1, path).otherwise(ring)))
+    base = shapes.area_set(cut, F.col("id"), ["id"]).shapes.join(t.regions.select(F.col("id").alias("rank"), "country_id"), "rank")
+    return publish.open_ends(base, "country_id")
+
+
 @registered("dissolved_edges", _DISSOLVE + " SELECT country_id, x1, y1, x2, y2 FROM e GROUP BY ALL HAVING count(*) % 2 = 1")
 def dissolved_edges(t: Tables) -> DataFrame:
     """Outline of each country from its regions."""

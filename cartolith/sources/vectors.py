@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from cartolith.functions import water as fw
 from cartolith.functions.text import blank_to_null
 from cartolith.operators.ordering import first_per_key, with_global_row_number
-from cartolith.operators.shapes import ring_area, rings_box
+from cartolith.operators.shapes import line_center_lat, ring_area, rings_box
 
 _FEATURE = "struct<type:string, properties:map<string,string>, geometry:struct<type:string, coordinates:string>>"
 _POSITIONS = {"LineString": "array<array<double>>", "MultiLineString": "array<array<array<double>>>",
@@ -155,7 +155,7 @@ def water_features(features: DataFrame, blocks_per_km: float = 1.0) -> DataFrame
         fw.bed_depth_m(F.col("water_type"), p, width).alias("bed_depth_m"),
         fw.surface_elevation_m(F.col("water_type"), p).alias("surface_elevation_m"),
         F.when(F.col("water_type") == "RIVER", discharge).otherwise(0.0).alias("discharge_cms"), line.alias("is_line"),
-        F.when(line, fw.river_radius_degrees(width, (south + north) / 2.0)).alias("radius_deg"), "rings")
+        F.when(line, fw.river_radius_degrees(width, line_center_lat(F.col("rings")))).alias("radius_deg"), "rings")
 
 
 def split_rejects(df: DataFrame, fail_fast: bool = False) -> tuple[DataFrame, DataFrame]:
