@@ -20,7 +20,7 @@ _CONTRACTIONS = {"'s", "'t", "'re", "'ve", "'m", "'ll", "'d"}
 _UNSAFE = re.compile("[^\t\n\r\x20-\x7e¡-ÿ]")
 _SPACE = re.compile("[\t\n\r ]+")
 WORD_END = "</w>"
-KEPT = 400_000  # chunks kept per worker; all are dropped and collected anew beyond it
+KEPT = 400_000  # chunks, and words, per generation of a worker's cache; the last two generations are kept
 
 
 def is_plain(text: str) -> bool:
@@ -59,6 +59,14 @@ class _Pool:
         self.bounds[number] = self.used, self.used + n
         self.used += n
 
+    def take_over(self, chunk: str, older: "_Pool") -> bool:
+        number = older.at.get(chunk)
+        if number is None:
+            return False
+        lo, hi = older.bounds[number]
+        self.add(chunk, older.values[lo:hi])
+        return True
+
     def spans(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = self.bounds[np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))]
         return found[:, 0], found[:, 1]
@@ -76,15 +84,17 @@ class WordBpe:
         vocab = model["model"]["vocab"]
         self.special = [t["content"] for t in model["added_tokens"]]
         self.ends_word = np.zeros(max([*vocab.values(), *(t["id"] for t in model["added_tokens"])]) + 1, bool)
-        self.inner: dict[str, int] = {}
-        self.final: dict[str, int] = {}
+        byte_of = {c: b for b, c in enumerate(_byte_letters())}
+        self.tree: list = [{}, -1, -1]  # by byte: the next node; the token that ends here inside a word, and at its end
         for token, number in vocab.items():
-            if token.endswith(WORD_END) and token != WORD_END:
-                self.final[token[:-len(WORD_END)]] = number
-                self.ends_word[number] = True
-            else:
-                self.inner[token] = number
-        self.longest = max(map(len, vocab))
+            ends = token.endswith(WORD_END) and token != WORD_END
+            self.ends_word[number] = ends
+            letters = token[:-len(WORD_END)] if ends else token
+            if all(c in byte_of for c in letters):
+                node = self.tree
+                for c in letters:
+                    node = node[0].setdefault(byte_of[c], [{}, -1, -1])
+                node[2 if ends else 1] = number
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
         for rank, merge in enumerate(model["model"]["merges"]):
@@ -94,22 +104,29 @@ class WordBpe:
             self.parts.setdefault(vocab[a + b], (*pair, rank))
         rule = model["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.splitter = pre_tokenizers.Split(Regex(rule), behavior="removed", invert=True)
-        self.letters = _byte_letters()
         self._stable: dict[int, bool] = {}
         self._spines: dict[tuple[int, int], list] = {}
-        self.word_ids: dict[str, list[int]] = {}
-        self.word_counts: dict[str, tuple] = {}
-        self.ids, self.prefixes = _Pool(), _Pool()
+        self.word_ids, self.older_word_ids = {}, {}  # word to bytes of ids
+        self.word_counts, self.older_word_counts = {}, {}
+        self.ids, self.older_ids = _Pool(), _Pool()
+        self.prefixes, self.older_prefixes = _Pool(), _Pool()
 
     # ids -------------------------------------------------------------------------------------------------------------
 
     def _learn_ids(self, texts: list[list[str]]) -> None:
+        if len(self.ids.at) > KEPT:
+            self.older_ids, self.ids = self.ids, _Pool()
+        if len(self.word_ids) > KEPT:
+            self.older_word_ids, self.word_ids = self.word_ids, {}
         missing = {c for chunks in texts for c in chunks if c not in self.ids.at}
-        if len(self.ids.at) + len(missing) > KEPT:
-            self.ids, self.word_ids = _Pool(), {}
-            missing = {c for chunks in texts for c in chunks}
-        cut = {c: _WORD.findall(c) for c in missing}
-        new = list(dict.fromkeys(w for words in cut.values() for w in words if w not in self.word_ids))
+        cut = {c: _WORD.findall(c) for c in missing if not self.ids.take_over(c, self.older_ids)}
+        new = []
+        for word in dict.fromkeys(w for words in cut.values() for w in words if w not in self.word_ids):
+            known = self.older_word_ids.get(word)
+            if known is None:
+                new.append(word)
+            else:
+                self.word_ids[word] = known
         for a in range(0, len(new), 1000):
             some = new[a:a + 1000]
             ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, np.int32)
@@ -117,9 +134,9 @@ class WordBpe:
             if len(ends) != len(some):
                 raise ValueError("the vocabulary does not mark word ends")
             for word, lo, hi in zip(some, [0, *ends[:-1].tolist()], ends.tolist()):
-                self.word_ids[word] = ids[lo:hi].tolist()
+                self.word_ids[word] = ids[lo:hi].tobytes()
         for chunk, words in cut.items():
-            self.ids.add(chunk, self.word_ids[words[0]] if len(words) == 1 else [i for w in words for i in self.word_ids[w]])
+            self.ids.add(chunk, np.frombuffer(b"".join([self.word_ids[w] for w in words]), np.int32))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts, as the library gives them without added special tokens."""
@@ -156,19 +173,16 @@ class WordBpe:
 
     def _is_stable(self, a: int, b: int) -> bool:
         """Whether the text of a followed by that of b is encoded as exactly a, b: no merge ever crosses the border."""
-        key = (a << 20) | b
-        known = self._stable.get(key)
-        if known is None:
-            if len(self._stable) > 2_000_000:
-                self._stable.clear()
-            known = True
-            for x, x_gone in self._spine(a, 1):
-                for y, y_gone in self._spine(b, 0):
-                    rank = self.rank.get((x, y))
-                    # of equal merges the left one comes first, so a tie with the right side crosses the border
-                    if rank is not None and rank < x_gone and rank <= y_gone:
-                        known = False
-            self._stable[key] = known
+        known = True
+        for x, x_gone in self._spine(a, 1):
+            for y, y_gone in self._spine(b, 0):
+                rank = self.rank.get((x, y))
+                # of equal merges the left one comes first, so a tie with the right side crosses the border
+                if rank is not None and rank < x_gone and rank <= y_gone:
+                    known = False
+        if len(self._stable) > 2_000_000:
+            self._stable.clear()
+        self._stable[(a << 20) | b] = known
         return known
 
     def word_prefixes(self, word: str) -> list[int]:
@@ -177,28 +191,42 @@ class WordBpe:
         last[j] is the last token of the first j bytes without a word end. An encoding is the one sequence whose
         neighbours are all stable, so the encoding of a longer prefix is that of a shorter one and one more token.
         """
-        sizes = [len(c.encode("utf-8")) for c in word]
-        s = "".join(self.letters[b] for b in word.encode("utf-8"))
-        inner, final, longest, stable = self.inner, self.final, self.longest, self._is_stable
-        last, count = [0] * (len(s) + 1), [0] * (len(s) + 1)
-        out, ends, at = [], set(), 0
-        for n in sizes:
-            at += n
-            ends.add(at)
-        for j in range(1, len(s) + 1):
-            low = max(0, j - longest)
-            for i in range(low, j):
-                token = inner.get(s[i:j])
-                if token is not None and (i == 0 or stable(last[i], token)):
-                    last[j], count[j] = token, count[i] + 1
+        raw = word.encode("utf-8")
+        n = len(raw)
+        last, count, whole = [-1] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        stable, root = self._stable, self.tree
+        for i in range(n):
+            before, tokens = last[i] << 20, count[i] + 1
+            node = root
+            for j in range(i + 1, n + 1):
+                node = node[0].get(raw[j - 1])
+                if node is None:
                     break
-            if j in ends:
-                for i in range(low, j):
-                    token = final.get(s[i:j])
-                    if token is not None and (i == 0 or stable(last[i], token)):
-                        out.append(count[i] + 1)
-                        break
-        return out
+                token = node[1]
+                if token >= 0 and last[j] < 0:
+                    fits = True
+                    if i:
+                        fits = stable.get(before | token)
+                        if fits is None:
+                            fits = self._is_stable(last[i], token)
+                    if fits:
+                        last[j], count[j] = token, tokens
+                token = node[2]
+                if token >= 0 and not whole[j]:
+                    fits = True
+                    if i:
+                        fits = stable.get(before | token)
+                        if fits is None:
+                            fits = self._is_stable(last[i], token)
+                    if fits:
+                        whole[j] = tokens
+        if n == len(word):
+            return whole[1:]
+        ends, at = [], 0
+        for c in word:
+            at += len(c.encode("utf-8"))
+            ends.append(whole[at])
+        return ends
 
     def _pieces(self, words: list[str]) -> list[int]:
         counts, before = [], 0
@@ -214,7 +242,8 @@ class WordBpe:
     def _whole(self, word: str) -> tuple:
         found = self.word_counts.get(word)
         if found is None:
-            found = self.word_counts[word] = tuple(self.word_prefixes(word))
+            found = self.older_word_counts.get(word) or tuple(self.word_prefixes(word))
+            self.word_counts[word] = found
         return found
 
     def _strange(self, chunk: str) -> list[int]:
@@ -252,10 +281,12 @@ class WordBpe:
         if not chunks:
             return np.zeros(len(points), np.int32)
         if len(self.prefixes.at) > KEPT:
-            self.prefixes, self.word_counts = _Pool(), {}
+            self.older_prefixes, self.prefixes = self.prefixes, _Pool()
+        if len(self.word_counts) > KEPT:
+            self.older_word_counts, self.word_counts = self.word_counts, {}
         for chunk in chunks:
             name = chunk if plain else "\n" + chunk  # the two ways must not share a key
-            if name not in self.prefixes.at:
+            if name not in self.prefixes.at and not self.prefixes.take_over(name, self.older_prefixes):
                 self.prefixes.add(name, self._pieces(_WORD.findall(chunk)) if plain else self._strange(chunk))
         lo, hi = self.prefixes.spans(chunks if plain else ["\n" + c for c in chunks])
         values = self.prefixes.values
