@@ -1,7 +1,7 @@
 """Token ids and prefix token counts of a byte-pair vocabulary with word ends, equal to its library's.
 
-The vocabulary's rules let text be cut at white space: no token spans it. Each white-space-free chunk is encoded once per
-worker and kept; a text is then a gather over its chunks. Texts made of Latin-1 letters, digits and signs take that path.
+The vocabulary's rules let text be cut into words, and at white space: no token spans a border. Each word (ids) or chunk without
+white space (prefix counts) is worked out once per worker and kept; a text is then a gather over its parts. Texts made of Latin-1 letters, digits and signs take that path.
 Any other text goes through the library (ids), or through the library's own normaliser and word splitter (prefix counts).
 """
 
@@ -59,6 +59,19 @@ class _Pool:
         self.bounds[number] = self.used, self.used + n
         self.used += n
 
+    def add_many(self, chunks: list[str], values: np.ndarray, ends: np.ndarray) -> None:
+        """The same for distinct new chunks, whose values follow each other and end at ``ends``."""
+        first, number = self.used, len(self.at)
+        while first + len(values) > len(self.values):
+            self.values = np.concatenate((self.values, np.zeros_like(self.values)))
+        while number + len(chunks) > len(self.bounds):
+            self.bounds = np.concatenate((self.bounds, np.zeros_like(self.bounds)))
+        self.values[first:first + len(values)] = values
+        self.bounds[number:number + len(chunks), 1] = first + ends
+        self.bounds[number:number + len(chunks), 0] = first + np.concatenate(([0], ends[:-1]))
+        self.at.update(zip(chunks, range(number, number + len(chunks))))
+        self.used += len(values)
+
     def take_over(self, chunk: str, older: "_Pool") -> bool:
         number = older.at.get(chunk)
         if number is None:
@@ -106,7 +119,6 @@ class WordBpe:
         self.splitter = pre_tokenizers.Split(Regex(rule), behavior="removed", invert=True)
         self._stable: dict[int, bool] = {}
         self._spines: dict[tuple[int, int], list] = {}
-        self.word_ids, self.older_word_ids = {}, {}  # word to bytes of ids
         self.word_counts, self.older_word_counts = {}, {}
         self.ids, self.older_ids = _Pool(), _Pool()
         self.prefixes, self.older_prefixes = _Pool(), _Pool()
@@ -116,27 +128,15 @@ class WordBpe:
     def _learn_ids(self, texts: list[list[str]]) -> None:
         if len(self.ids.at) > KEPT:
             self.older_ids, self.ids = self.ids, _Pool()
-        if len(self.word_ids) > KEPT:
-            self.older_word_ids, self.word_ids = self.word_ids, {}
-        missing = {c for chunks in texts for c in chunks if c not in self.ids.at}
-        cut = {c: _WORD.findall(c) for c in missing if not self.ids.take_over(c, self.older_ids)}
-        new = []
-        for word in dict.fromkeys(w for words in cut.values() for w in words if w not in self.word_ids):
-            known = self.older_word_ids.get(word)
-            if known is None:
-                new.append(word)
-            else:
-                self.word_ids[word] = known
+        known = self.ids.at
+        new = [w for w in set().union(*texts) if w not in known and not self.ids.take_over(w, self.older_ids)]
         for a in range(0, len(new), 1000):
             some = new[a:a + 1000]
             ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, np.int32)
             ends = np.flatnonzero(self.ends_word[ids]) + 1  # every word's last token carries the word end
             if len(ends) != len(some):
                 raise ValueError("the vocabulary does not mark word ends")
-            for word, lo, hi in zip(some, [0, *ends[:-1].tolist()], ends.tolist()):
-                self.word_ids[word] = ids[lo:hi].tobytes()
-        for chunk, words in cut.items():
-            self.ids.add(chunk, np.frombuffer(b"".join([self.word_ids[w] for w in words]), np.int32))
+            self.ids.add_many(some, ids, ends)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts, as the library gives them without added special tokens."""
@@ -146,9 +146,9 @@ class WordBpe:
             out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.int32)
         for a in range(0, len(plain), 64):
             some = plain[a:a + 64]
-            chunks = [texts[i].lower().split() for i in some]
-            self._learn_ids(chunks)
-            for i, own in zip(some, chunks):
+            words = [_WORD.findall(texts[i].lower()) for i in some]
+            self._learn_ids(words)
+            for i, own in zip(some, words):
                 lo, hi = self.ids.spans(own)
                 sizes = hi - lo
                 before = np.cumsum(sizes) - sizes

@@ -106,7 +106,7 @@ def test_several_shards_and_levels(spark):
     assert sorted(r.row for r in got) == list(range(len(lengths)))
     sizes, loads = np.array(lengths), []
     packing.best_fit(sizes, np.argsort(-sizes, kind="stable"), np.full(len(sizes), -1), loads, 100)  # all in one shard
-    assert check_places(got, 100) <= 1.005 * len(loads)
+    assert check_places(got, 100) <= 1.02 * len(loads)  # shards of 400 pieces cost a little
 
 
 def test_genetic_steps_keep_every_piece_and_improve():
