@@ -167,10 +167,15 @@ def fit(docs: DataFrame, most: int = 2400, id_column: str = "doc_id", text_colum
         side = int(fold == 2)
         samples[side].append((buckets.values.to_numpy(), counts.values.to_numpy()))
         labels[side].append(lang)
+    del rows
     if not samples[0]:  # too few rows for two samples
         samples, labels = (samples[1], []), (labels[1], [])
     order_ = sorted(range(len(labels[0])), key=lambda i: (labels[0][i], *(part.tobytes() for part in samples[0][i])))  # whatever order rows arrive in
-    return train([samples[0][i] for i in order_], [labels[0][i] for i in order_], samples[1], labels[1])
+    model = train([samples[0][i] for i in order_], [labels[0][i] for i in order_], samples[1], labels[1])
+    samples[0].clear()
+    samples[1].clear()
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_column: str = "text") -> DataFrame:

@@ -13,11 +13,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cartolith.session import materialise
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 15
 _WORDS, _TOKENS, _RATE = "__mix_words", "__mix_tokens", "__mix_rate"
 
 
@@ -39,7 +39,7 @@ def _words(text: Column) -> Column:
 
 def _numbers(values) -> Column:
     """A constant array of doubles, folded by the optimiser."""
-    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+    return F.split(F.lit(",".join("0" if x == 0 else repr(x) for x in values)), ",").cast("array<double>")
 
 
 def _odds(ratios, words: Column) -> list[Column]:
@@ -66,17 +66,6 @@ def quality_domains(labels: DataFrame) -> DataFrame:
         "doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").otherwise("poor").alias("domain"))
 
 
-def _ratios(own: list[int], first: list[int], smoothing: float, sure: float) -> tuple[float, ...]:
-    """Log ratio of a word's shares in two domains, by bucket; 0 where the difference may be chance."""
-    all_own, all_first = sum(own) + 1, sum(first) + 1
-    found = []
-    for a, b in zip(own, first):
-        gap = a / all_own - b / all_first
-        error = math.sqrt((a + b + smoothing) / (all_own + all_first) * (1 / all_own + 1 / all_first))
-        found.append(round(math.log((a + smoothing) / all_own) - math.log((b + smoothing) / all_first), 4) if abs(gap) > sure * error else 0.0)
-    return tuple(found)
-
-
 def fit_domains(docs: DataFrame, labelled: DataFrame, names: tuple[str, ...], most: int = 1500, id_column: str = "doc_id",
                 text_column: str = "text", smoothing: float = 1.0, sure: float = 4.0) -> Domains:
     """Word model of ``names`` from at most ``most`` labelled documents per domain (a bounded sample by a hash of the id).
@@ -85,20 +74,28 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, names: tuple[str, ...], mo
     the sample fits the temperatures and log odds that make them probabilities. Without labels all odds are even.
     """
     share = {r.domain: r.n for r in labelled.where(F.col("domain").isin(*names)).groupBy("domain").agg(F.count("*").alias("n")).collect()}
-    chance = {n: min(1.0, 1.2 * most / max(1, share.get(n, 0))) for n in names}
-    limit = F.coalesce(*[F.when(F.col("domain") == n, F.lit(chance[n])) for n in names])
-    picked = (labelled.where(F.col("domain").isin(*names)).withColumn("dice", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_003)) / 1_000_003)
-              .where(F.col("dice") < limit).select(F.col("doc_id").alias("id"), "domain"))
+    order = Window.partitionBy("domain").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id")
+    picked = (labelled.where(F.col("domain").isin(*names)).withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
+              .select(F.col("doc_id").alias("id"), "domain"))
     texts = (docs.where(F.col(text_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-             .join(picked, "id").groupBy("id", "domain").agg(F.min("text").alias("text")))
+             .join(F.broadcast(picked), "id")  # at most ``most`` ids per domain
+             .groupBy("id", "domain").agg(F.min("text").alias("text")))
     sample = materialise(texts.select("domain", (F.pmod(F.xxhash64("id", F.lit(12)), F.lit(3)) == 2).alias("check"), _words(F.col("text")).alias("words")), "sample")
-    counts = (sample.where("not check").select("domain", F.explode("words").alias("bucket")).groupBy("bucket")
-              .agg(*[F.count(F.when(F.col("domain") == n, 1)).alias(f"n{i}") for i, n in enumerate(names)]))
-    table = [[0] * BUCKETS for _ in names]
-    for row in counts.collect():  # at most a row per bucket
-        for i in range(len(names)):
-            table[i][row.bucket] = row[f"n{i}"]
-    ratios = tuple(_ratios(own, table[0], smoothing, sure) for own in table[1:])
+    counts = materialise(sample.where("not check").select("domain", F.explode("words").alias("bucket")).groupBy("bucket")
+                         .agg(*[F.count(F.when(F.col("domain") == n, 1)).alias(f"n{i}") for i, n in enumerate(names)]), "words")
+    totals = counts.agg(*[F.coalesce(F.sum(f"n{i}"), F.lit(0)) for i in range(len(names))]).first()
+    ratios = []
+    for i in range(1, len(names)):
+        own, first = F.col(f"n{i}"), F.col("n0")
+        all_own, all_first = totals[i] + 1, totals[0] + 1
+        error = F.sqrt((own + first + smoothing) / (all_own + all_first) * (1 / all_own + 1 / all_first))
+        telling = counts.where(F.abs(own / all_own - first / all_first) > sure * error).select(
+            "bucket", F.round(F.log((own + smoothing) / all_own) - F.log((first + smoothing) / all_first), 4).alias("ratio"))
+        row = [0.0] * BUCKETS
+        for r in telling.collect():  # a row per telling bucket, at most BUCKETS
+            row[r.bucket] = r.ratio
+        ratios.append(tuple(row))
+    ratios = tuple(ratios)
     seen = [share.get(n, 0) + 1.0 for n in names]
     prior = tuple(math.log(s / seen[0]) for s in seen[1:])
     scored = sample.where("check").select("domain", *[s.alias(f"s{i}") for i, s in enumerate(_odds(ratios, F.col("words")))])
@@ -197,8 +194,10 @@ def fit_rates(docs: DataFrame, model: Domains, targets: dict[str, float], text_c
         at = state.withColumn("__mix_s", _replay((F.col("r"), F.col("before")), steps[-fresh:], rate, ridge)) if fresh else (
             state.withColumn("__mix_s", F.struct("r", "before")))
         r, before = F.col("__mix_s")["r"], F.col("__mix_s")["before"]
+        # read by a row's own index, it stays out of the generated code, which is then compiled once for all steps
+        push = F.get(_numbers([momentum]), (F.col(_TOKENS) * 0).cast("int"))
         sums = at.agg(*[F.sum(r * F.col(c) * share) for c in p],
-                      *[F.sum((r + momentum * (r - before)) * F.col(c) * share) for c in p]).first()
+                      *[F.sum((r + push * (r - before)) * F.col(c) * share) for c in p]).first()
         now, seen = list(sums[:k]), list(sums[k:])
         if n == most or max(abs(a - b) for a, b in zip(now, aim)) < close:
             break
