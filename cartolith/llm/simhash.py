@@ -14,7 +14,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from cartolith.llm.components import connected_components, forest
+from cartolith.llm.components import connected_components
+from cartolith.llm.streams import numbers, sorted_groups
 from cartolith.session import materialise
 
 SEED = 42
@@ -74,20 +75,47 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.concatenate((starts, [len(keys)])))
 
 
-def _links_in_run(fps: np.ndarray, max_bits: int, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within one bucket, compared block by block."""
+def _links_in_run(fps: np.ndarray, max_bits: int, block: int = 1024, cut: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links within one bucket, or of those between fps[:cut] and fps[cut:].
+
+    Compared block by block; labels follow what is joined, so at most one edge per fingerprint is held at any time, and
+    blocks whose fingerprints are one part already are not compared.
+    """
+    label = np.arange(len(fps))
     left, right = [], []
-    for i in range(0, len(fps), block):
-        for j in range(i, len(fps), block):
-            near = np.bitwise_count(fps[i:i + block, None] ^ fps[None, j:j + block]) <= max_bits
-            if i == j:
-                near = np.triu(near, 1)
-            a, b = np.nonzero(near)
-            kept = forest(2 * block, a.tolist(), (b + block).tolist() if i != j else b.tolist())
-            left += [i + x for x, _ in kept]
-            right += [j + (y - block if i != j else y) for _, y in kept]
-    kept = forest(len(fps), left, right)
-    return fps[[a for a, _ in kept]], fps[[b for _, b in kept]]
+    middle = len(fps) if cut is None else cut
+    for i in range(0, middle, block):
+        mine = slice(i, min(i + block, middle))
+        for j in range(i if cut is None else cut, len(fps), block):
+            theirs = slice(j, j + block)
+            if (label[mine] == label[i]).all() and (label[theirs] == label[i]).all():
+                continue
+            near = np.bitwise_count(fps[mine, None] ^ fps[None, theirs]) <= max_bits
+            while True:
+                near &= label[mine, None] != label[None, theirs]
+                a = np.flatnonzero(near.any(axis=1))
+                if not len(a):
+                    break
+                a, b = i + a, j + near[a].argmax(axis=1)
+                names, at = np.unique(label[np.concatenate((a, b))], return_inverse=True)
+                parent = list(range(len(names)))
+
+                def root(x: int) -> int:
+                    while parent[x] != x:
+                        parent[x] = parent[parent[x]]
+                        x = parent[x]
+                    return x
+
+                for x, y, p, q in zip(a.tolist(), b.tolist(), at[:len(a)].tolist(), at[len(a):].tolist()):
+                    p, q = root(p), root(q)
+                    if p != q:
+                        parent[max(p, q)] = min(p, q)
+                        left.append(x)
+                        right.append(y)
+                table = np.arange(len(fps))
+                table[names] = names[[root(x) for x in range(len(names))]]
+                label = table[label]
+    return fps[np.array(left, np.int64)], fps[np.array(right, np.int64)]
 
 
 def bucket_links(max_bits: int):
@@ -120,7 +148,29 @@ def bucket_links(max_bits: int):
     return run
 
 
-def simhash_groups(docs: DataFrame, max_bits: int = 4, words: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def block_links(max_bits: int):
+    """Arrow function over rows (key, i, j, side, fp) sorted by the first three: a forest of the links of each block pair."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, 3):
+            side, fps = numbers(group.column("side")), numbers(group.column("fp")).view(np.uint64)
+            left, right = fps[side == 0], fps[side == 1]
+            same = group.column("i")[0].as_py() == group.column("j")[0].as_py()
+            x, y = _links_in_run(np.concatenate((left, right)), max_bits, cut=None if same else len(left))
+            yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)) for p in (x, y)], ["a", "b"])
+    return run
+
+
+def block_pairs(keyed: DataFrame, large: DataFrame, block: int) -> DataFrame:
+    """(key, i, j, side, fp): the rows of large buckets (key, n), once for every pair of blocks that holds their own."""
+    placed = (keyed.join(large.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "key")
+              .withColumn("own", F.pmod(F.xxhash64("fp"), "blocks").cast("int")))
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
+        F.least("own", o).alias("i"), F.greatest("own", o).alias("j"), F.when(F.col("own") <= o, 0).otherwise(1).alias("side")))
+    return placed.select("key", F.explode(pair).alias("p"), "fp").select("key", "p.i", "p.j", "p.side", "fp")
+
+
+def simhash_groups(docs: DataFrame, max_bits: int = 4, words: int = 4, id_column: str = "doc_id", text_column: str = "text",
+                   block: int = 1 << 15) -> DataFrame:
     """(id, fp, component_id, kept): groups of documents whose fingerprints are linked by at most ``max_bits`` bits.
 
     * one row per row of docs, repeated rows included; component_id is the smallest id reachable, kept is id = component_id
@@ -129,13 +179,20 @@ def simhash_groups(docs: DataFrame, max_bits: int = 4, words: int = 4, id_column
     * extra columns of docs are ignored; an empty table gives an empty result
 
     Equal fingerprints are one node from the start, so exact copies cost one row of a partial aggregate. Within a bucket
-    only a spanning forest leaves the task, never the pairs, and no bucket is cut short.
+    only a spanning forest leaves the task, never the pairs, and no bucket is cut short. Buckets of more than ``block``
+    fingerprints are dealt out as pairs of blocks, so that no task gathers more than about two blocks.
     """
     rows = materialise(fingerprints(docs, words, id_column, text_column), "fingerprints")
     nodes = materialise(rows.groupBy("fp").agg(F.min("id").alias("least_id")), "nodes")
     segments = max_bits // 2 + 1
-    links = (variants(nodes.select("fp"), segments).repartition("key").sortWithinPartitions("key")
-             .mapInArrow(bucket_links(max_bits), "a long, b long"))
+    keyed = variants(nodes.select("fp"), segments)
+    large = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block), "large")
+    some = large.limit(1).count() > 0
+    small = keyed.join(large, "key", "left_anti") if some else keyed
+    links = small.repartition("key").sortWithinPartitions("key").mapInArrow(bucket_links(max_bits), "a long, b long")
+    if some:
+        links = links.unionByName(block_pairs(keyed, large, block).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+                                  .mapInArrow(block_links(max_bits), "a long, b long"))
     linked = materialise(connected_components(links), "components")
     least = linked.join(nodes, F.col("node") == F.col("fp")).groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = linked.join(least, "component").select(F.col("node").alias("fp"), "component_id")

@@ -71,6 +71,29 @@ def test_large_bucket_is_linked_completely():
     assert links.num_rows == len(prints) - 1  # a spanning tree: pairs two bits around one centre are all linked
 
 
+def test_hot_buckets_are_dealt_out_as_block_pairs(spark):
+    from cartolith.llm.simhash import block_pairs, variants
+    rng = random.Random(6)
+    base = ["w%d" % rng.randrange(5000) for _ in range(1500)]
+    rows = []
+    for i in range(300):  # many different fingerprints under the same keys
+        own = list(base)
+        for _ in range(3):
+            own[rng.randrange(len(own))] = "edit%d" % rng.randrange(10**6)
+        rows.append((i, " ".join(own)))
+    rows += [(1000 + i, " ".join("x%d" % rng.randrange(10**6) for _ in range(40))) for i in range(50)]
+    prints = {n: fingerprint(t) for n, t in rows}
+    want = components(sorted(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 4)
+    got = {r.id: r.component_id for r in simhash_groups(documents(spark, rows), block=16).collect()}
+    assert got == want and len(set(prints.values())) > 100
+    fps = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in set(prints.values())], "fp long")
+    keyed = variants(fps, 3)
+    large = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 16")
+    dealt = block_pairs(keyed, large, 16)
+    assert dealt.groupBy("key", "i", "j").count().agg(F.max("count")).first()[0] < large.agg(F.max("n")).first()[0]
+    assert dealt.groupBy("key", "i", "j").count().agg(F.max("count")).first()[0] <= 4 * 16
+
+
 def test_embedding_groups_against_all_pairs(spark):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(60, 16))
