@@ -8,6 +8,7 @@ that bound until it passes the distance of the k-th best answer.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,35 +18,73 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from cartolith.llm.streams import matrix, numbers
 from cartolith.session import materialise
 
-LARGEST = 1 << 28  # components beyond it could leave the range of a long score
+LARGEST = 1 << 28  # vectors with a component beyond it are not indexed but compared with all others, in whole numbers of any size
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def _quantise(scale: int):
-    """(id, vec) to (id, dim, vec as ints), usable vectors only."""
+    """(id, vec) to (id, dim, vec as ints, wide), usable vectors only; wide is the vector itself where ints are too narrow."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, dims, vectors = [], [], []
+            ids, dims, vectors, wide = [], [], [], []
             for who, vector in zip(batch.column(0).to_pylist(), batch.column(1)):
                 vector = vector.as_py()
                 if who is None or not vector or any(x is None for x in vector):
                     continue
-                row = np.floor(scale * np.asarray(vector, np.float64))
-                if np.isfinite(row).all() and np.abs(row).max() < LARGEST:
-                    ids.append(who)
-                    dims.append(len(row))
-                    vectors.append(row.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(vectors, pa.list_(pa.int32()))],
-                                             ["id", "dim", "vec"])
+                given = np.asarray(vector, np.float64)
+                if not np.isfinite(given).all():
+                    continue
+                with np.errstate(over="ignore"):
+                    row = np.floor(scale * given)
+                narrow = np.abs(row).max() < LARGEST
+                ids.append(who)
+                dims.append(len(row))
+                vectors.append(row.astype(np.int32) if narrow else None)
+                wide.append(None if narrow else given)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(vectors, pa.list_(pa.int32())),
+                                              pa.array(wide, pa.list_(pa.float64()))], ["id", "dim", "vec", "wide"])
     return run
 
 
+def _whole(x: float, scale: int) -> int:
+    scaled = scale * x
+    return math.floor(scaled) if math.isfinite(scaled) else int(x) * scale
+
+
+def _integers(table: pa.Table, dim: int, scale: int) -> np.ndarray:
+    """Rows of (vec, wide) as a matrix of longs, or of Python integers if some row is wide."""
+    if "wide" not in table.column_names or table.column("wide").null_count == table.num_rows:
+        return matrix(table.column("vec"), dim, np.int64)
+    rows = np.empty((table.num_rows, dim), object)
+    for i, (narrow, wide) in enumerate(zip(table.column("vec").to_pylist(), table.column("wide").to_pylist())):
+        rows[i] = narrow if wide is None else [_whole(x, scale) for x in wide]
+    return rows
+
+
 def _inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer inner products; in doubles while every sum fits in 53 bits."""
+    """Exact integer inner products; in doubles while every sum fits in 53 bits, in Python integers where it may pass 63.
+
+    Products beyond the range of a long become its ends.
+    """
     if not len(a) or not len(b):
         return np.zeros((len(a), len(b)), np.int64)
-    if float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2.0 ** 53:
+    high, other = np.abs(a).max(axis=1), np.abs(b).max(axis=1)
+    bound = max(1, int(high.max())) * max(1, int(other.max())) * a.shape[1]  # no less than either
+    if bound < 1 << 53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a.astype(np.int64) @ b.astype(np.int64).T
+    if bound < 1 << 63:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    if len(a) == 1:
+        fits = np.array([int(high[0]) * int(x) * a.shape[1] < 1 << 63 for x in other]) & bool(high[0] < 1 << 63)
+        fits &= np.array([bool(x < 1 << 63) for x in other])
+        out = np.zeros((1, len(b)), np.int64)
+        if fits.any():
+            out[:, fits] = a.astype(np.int64) @ b[fits].astype(np.int64).T
+        mine = [int(x) for x in a[0]]
+        for j in np.flatnonzero(~fits):
+            out[0, j] = min(MOST, max(LEAST, sum(x * int(y) for x, y in zip(mine, b[j]))))
+        return out
+    return np.concatenate([_inner(a[i:i + 1], b) for i in range(len(a))])
 
 
 def _lifted(rows: np.ndarray, longest: float) -> np.ndarray:
@@ -103,23 +142,23 @@ def _open_rings(pivots, longest, rings: dict[int, tuple], first: int, until: int
     return run
 
 
-def _best(k: int):
+def _best(k: int, scale: int):
     """One block of candidates against one block of queries: at most k answers per query."""
     def run(candidates: pa.Table, queries: pa.Table) -> pa.Table:
         out = ([], [], [])
         if candidates.num_rows and queries.num_rows:
-            dim = len(candidates.column("vec")[0])
-            ids, rows = numbers(candidates.column("id")), matrix(candidates.column("vec"), dim, np.int64)
+            dim = candidates.column("dim")[0].as_py()
+            ids, rows = numbers(candidates.column("id")), _integers(candidates, dim, scale)
             order = np.argsort(ids, kind="stable")
             ids, rows = ids[order], rows[order]
-            who, wanted = numbers(queries.column("id")), matrix(queries.column("vec"), dim, np.int64)
+            who, wanted = numbers(queries.column("id")), _integers(queries, dim, scale)
             kth = queries.column("kth").to_numpy().astype(np.float64)
             for a in range(0, len(who), 256):
                 scores = _inner(wanted[a:a + 256], rows)
                 for i, row in enumerate(scores):
                     fit = np.flatnonzero((ids != who[a + i]) & ~(row < kth[a + i]))
                     if len(fit) > k:
-                        fit = fit[np.argsort(-row[fit], kind="stable")[:k]]
+                        fit = fit[np.argsort(~row[fit], kind="stable")[:k]]  # ~x falls as x rises, and has no overflow
                     out[0].append(np.full(len(fit), who[a + i]))
                     out[1].append(ids[fit])
                     out[2].append(row[fit])
@@ -135,8 +174,10 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, pivots:
     ``is_query`` is a condition on the column ``id``; candidates are all rows with another id. Exact: the pivots (a bounded
     sample by hash) and rings only decide how much is read.
 
-    * null or empty vectors, vectors with a null or non-finite component or one beyond 2**28 after scaling, and rows
-      without an id take no part; a query is compared with candidates of its own length only
+    * null or empty vectors, vectors with a null or non-finite component, and rows without an id take no part; a query is
+      compared with candidates of its own length only
+    * vectors with a component beyond 2**28 after scaling are compared exactly with all others, without the index; an
+      answer whose score does not fit a long (or is an end of its range) is an error, never left out
     * fewer than k candidates give all of them; a query without candidates has no rows
     * repeated ids: copies of a candidate row count once, different vectors under one id compete and the best one stays;
       a repeated query id gives the answers of all its vectors, best score per candidate
@@ -144,7 +185,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, pivots:
     """
     ints = T.ArrayType(T.IntegerType())
     narrow = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("vec"))
-    rows = materialise(narrow.mapInArrow(_quantise(scale), f"id long, dim int, vec {ints.simpleString()}"), "vectors")
+    every = materialise(narrow.mapInArrow(_quantise(scale), f"id long, dim int, vec {ints.simpleString()}, wide array<double>"), "vectors")
+    rows = every.where("wide is null").drop("wide")
     squares = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
     longest = {r.dim: float(np.sqrt(r.most)) for r in rows.groupBy("dim").agg(F.max(squares).alias("most")).collect()}
     by_hash = Window.partitionBy("dim").orderBy(F.xxhash64("id"), "id")
@@ -176,25 +218,53 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, pivots:
     split = F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
     candidates = index.withColumn("q", split).select(*cell, "id", "vec")
     parts = index.select("dim", "pivot", "ring", F.col("part").alias("piece")).distinct()
-    answers, done, size = None, 0, 8
+    done, size = 0, 8
     most = max([0, *(len(v[0]) for v in known.values())])
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+    def best_of(found: DataFrame) -> DataFrame:
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return materialise(found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k), "answers")
+
+    def with_kth(answers: DataFrame) -> DataFrame:
+        # a little lower than the score, which a double may round up
+        kth = answers.where(F.col("rank") == k).select(F.col("query_id").alias("id"), (
+            F.col("score").cast("double") - F.abs(F.col("score").cast("double")) * 1e-15).alias("kth"))
+        return wanted.join(kth, "id", "left")
+
+    wide = every.where("wide is not null")
+    answers = None
+    if wide.limit(1).count():
+        asking = every.where(is_query).withColumn("kth", F.lit(None).cast("double"))
+        spread = max(1, -(-every.count() // block))
+        found = None
+        for theirs, asked in ((wide, asking), (every.where("wide is null"), asking.where("wide is not null"))):
+            a = (theirs.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(spread)).cast("int"))
+                 .withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))))
+            b = (asked.withColumn("q", F.pmod(F.xxhash64("id"), F.lit(spread)).cast("int"))
+                 .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))))
+            some = (a.groupBy("dim", "part", "q").cogroup(b.groupBy("dim", "part", "q"))
+                    .applyInArrow(_best(k, scale), "query_id long, vec_id long, score long"))
+            found = some if found is None else found.unionByName(some)
+        answers = best_of(found)
+        queries = with_kth(answers)
+        answers = answers.drop("rank")
     while done < most:
         opened = queries.mapInArrow(_open_rings(at, longest, known, done, done + size), "id long, dim int, pivot int, ring int, vec array<int>, kth double")
         asked = (opened.join(parts, ["dim", "pivot", "ring"]).withColumn("q", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int"))
                  .withColumn("part", F.col("piece")).select(*cell, "id", "vec", "kth"))
         found = (candidates.groupBy(*cell).cogroup(asked.groupBy(*cell))
-                 .applyInArrow(_best(k), "query_id long, vec_id long, score long"))
+                 .applyInArrow(_best(k, scale), "query_id long, vec_id long, score long"))
         found = found if answers is None else found.unionByName(answers)
-        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-        answers = materialise(found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k), "answers")
-        kth = answers.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("kth"))
-        queries = wanted.join(kth, "id", "left")
+        answers = best_of(found)
+        queries = with_kth(answers)
         answers = answers.drop("rank")
         done, size = done + size, 8 * size
     if answers is None:
         answers = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score long")
-    return answers.select("query_id", F.row_number().over(place).cast("int").alias("rank"), "vec_id", "score")
+    fits = ~F.col("score").isin(LEAST, MOST)
+    score = F.when(fits, F.col("score")).otherwise(F.raise_error(F.lit("the score of an answer does not fit a long")).cast("long"))
+    return answers.select("query_id", F.row_number().over(place).cast("int").alias("rank"), "vec_id", score.alias("score"))
 
 
 def op7_pivot_top_k(spark, sf_dir: str) -> DataFrame:

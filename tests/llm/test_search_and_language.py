@@ -41,6 +41,32 @@ def test_top_k_against_all_pairs(spark):
     assert few == brute({i: ints[i] for i in range(3)}, [0], 10)
 
 
+def test_top_k_keeps_long_vectors(spark):
+    rng = np.random.default_rng(8)
+    data = rng.normal(size=(200, 8))
+    data[[3, 40, 77]] *= 2.0 ** 22  # beyond 2**28 after scaling; 40 is a query too
+    data[50] = 0.0
+    data[120] = [1e307] + [0.0] * 7  # finite, but not after scaling; of products with it only that with 50 fits a long
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(data)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    fitting = table.where("vec_id <> 120")
+    ints = {i: np.array([int(np.floor(1024 * x)) for x in v], object) for i, v in rows if i != 120}
+    got = answers(top_k(fitting, F.col("id") % 10 == 0, k=7, pivots=6, rings=5, block=64))
+    assert got == brute(ints, [i for i in ints if i % 10 == 0], 7)
+    assert any(i in (3, 40, 77) for a in got.values() for i, _ in a)
+    zero = answers(top_k(table, F.col("id") == 50, k=300))
+    assert zero == {50: [(i, 0) for i in range(200) if i != 50]}
+    with pytest.raises(Exception, match="does not fit"):
+        top_k(table.where("vec_id >= 119"), F.col("id") == 120, k=1).collect()
+
+
+def test_inner_products_leave_63_bits(spark):
+    from cartolith.llm.pivot_search import _inner
+    high = np.full((2, 128), 1 << 28, np.int64)
+    high[1, 1:] = 0
+    assert _inner(high, high).tolist() == [[(1 << 63) - 1, 1 << 56], [1 << 56, 1 << 56]]
+
+
 @pytest.fixture(scope="module")
 def learned(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
