@@ -43,7 +43,7 @@ ADDED = (
     Rule("github", r"(gh[pousr]_)([A-Za-z0-9]+)", least_value=36),
     Rule("slack", r"(xox[abprs]-)([A-Za-z0-9-]+)", least_value=10),
     Rule("jwt", r"(eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.)([A-Za-z0-9_-]+)", least_value=10),
-    Rule("url", r"([a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9_.-]{1,64}:)([^\s:@/]{6,128})(?=@)"),
+    Rule("url", r"([a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9_.-]++:)([^\s:@/]{6,}+)(?=@)"),  # a longer scheme is entered at a later letter
 )
 RULES = BASE + ADDED
 

@@ -120,3 +120,14 @@ def test_licences(spark):
             assert by_id[i] == hashlib.md5(licences.canonical_text(text).encode()).hexdigest()
     assert licences.license_scan(docs.limit(0)).count() == 0
     assert {r.license for r in licences.license_scan(docs, known={}).collect()} == {None}
+
+
+def test_url_credentials_of_any_length(spark):
+    rows = [(1, "see https://me:" + "s" * 1000 + "@host end"), (2, "https://" + "u" * 300 + ":" + "a.b-c" * 400 + "@h"),
+            (3, "averyveryveryverylongscheme+x://me:secret1@host"), (4, "https://me:" + "s" * 1000 + " host"), (5, "https://me:short@host")]
+    found = secrets.find_secrets(documents(spark, rows))
+    got = {r.doc_id: r for r in found.select("doc_id", F.size("secret_spans").alias("n"),
+                                             secrets.redacted(F.col("text"), F.col("secret_spans")).alias("clean")).collect()}
+    assert {i: r.n for i, r in got.items()} == {1: 1, 2: 1, 3: 1, 4: 0, 5: 0}
+    assert got[1].clean == "see https://me:[secret]@host end" and got[2].clean == "https://" + "u" * 300 + ":[secret]@h"
+    assert got[3].clean.endswith("://me:[secret]@host")
