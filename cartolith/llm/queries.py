@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cartolith.llm import embedding_dedup, language, licences, mixing, packing, pivot_search, secrets, simhash, token_counts, url_lists
+from cartolith.llm import collocations, embedding_dedup, language, licences, mixing, packing, pivot_search, secrets, simhash, token_counts, url_lists
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
@@ -15,9 +15,11 @@ QUERIES = {
     "op6_license_scans": licences.op6_license_scans,
     "op8_source_mixing": mixing.op8_source_mixing,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 ORACLES: dict[str, str] = {
     "op1_url_filters": url_lists.OP1_SQL,
     "op6_license_scans": licences.OP6_SQL,
+    "op13_collocations": collocations.OP13_SQL,
 }
