@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cartolith.session import materialise
 
 UNKNOWN = "und"
-_SLICE = 4 << 20  # bytes of text cut into words at a time; one longer text is a slice of its own
+_SLICE = 1 << 20  # bytes of text cut into words at a time; one longer text is a slice of its own
+_ROWS = 1 << 15  # phrases per Arrow batch sent back
 
 
 # one shard -------------------------------------------------------------------------------------------------------------
@@ -113,9 +114,9 @@ def _shard_rows(langs: np.ndarray, words: pa.Array, names: list[str], depth: int
     if kinds[0] != -1:
         symbols, kinds = symbols + 1, np.concatenate(([-1], kinds))
     for rows, count in WordIndex(symbols, len(kinds), depth).phrases():
-        if len(rows):
-            keys = kinds[rows]
-            yield _phrase_rows(spelled, names, keys // len(names), keys[:, 0] % len(names), count)
+        for a in range(0, len(rows), _ROWS):
+            keys = kinds[rows[a:a + _ROWS]]
+            yield _phrase_rows(spelled, names, keys // len(names), keys[:, 0] % len(names), count[a:a + _ROWS])
 
 
 def _phrase_rows(spelled: pa.Array, names: list[str], codes: np.ndarray, lang: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
@@ -143,7 +144,7 @@ def _blocks(langs: np.ndarray, words: pa.Array, names: list[str], depth: int, sh
                 yield _phrase_rows(shared, names, np.arange(i, j)[None, :], langs[a + shard_words + i:a + shard_words + i + 1], np.array([-1]))
 
 
-def phrase_counts(docs: DataFrame, most: int = 3, shard_words: int = 1 << 20, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+def phrase_counts(docs: DataFrame, most: int = 3, shard_words: int = 1 << 18, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """(lang, words, phrase, f): how often each phrase of 1 to ``most`` words occurs within pieces of the texts of a language.
 
     * A-Z are lower-cased; pieces end at ``. , ; : ! ?`` and line ends, words at blanks and tabs; overlaps count
