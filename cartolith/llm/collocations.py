@@ -4,15 +4,20 @@ A shard is a bounded run of words. It is indexed forwards and backwards by its B
 ordered by as many words as a phrase may have, which is all that intervals of such phrases need. Every phrase is an interval
 in both indexes; extending it by a word to the left or right narrows both, and the sizes are its counts. Counts are summed
 across shards by Spark, and scores, cuts and containment are joins on the summed table.
+
+Phrases of three words and more are enumerated in a second pass, and only where every pair of neighbouring words in them may be
+frequent: a Bloom filter of fixed size holds the frequent pairs. It never says no to one of them, so nothing is lost; the
+fuller it is, the more of the other phrases are counted in vain.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cartolith.session import materialise
@@ -81,8 +86,11 @@ class WordIndex:
         starts = (own[keep], other[keep]) if side == 0 else (other[keep], own[keep])
         return parent[keep], symbol[keep], starts, counts[keep]
 
-    def phrases(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For 1, 2, ... words: phrases as rows of symbols, and their counts. They grow to the left and right in turn."""
+    def phrases(self, fits: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For 1, 2, ... words: phrases as rows of symbols, and their counts. They grow to the left and right in turn.
+
+        With ``fits``, which says of pairs of symbols whether they may stand together, phrases with other pairs are left out.
+        """
         symbol, lo, count = self.words()
         rows = symbol[:, None]
         yield rows, count
@@ -90,9 +98,58 @@ class WordIndex:
             side = n % 2
             parent, symbol, lo, count = self.extend(lo, count, side)
             rows = np.hstack((rows[parent], symbol[:, None]) if side else (symbol[:, None], rows[parent]))
+            if fits is not None:
+                some = fits(rows[:, -2:] if side else rows[:, :2])
+                rows, lo, count = rows[some], (lo[0][some], lo[1][some]), count[some]
             yield rows, count
 
 
+# frequent pairs --------------------------------------------------------------------------------------------------------
+
+_TURNS = (0, 23, 47)  # fixed values: how far the hashes of first word, second word and language are turned
+
+
+def _pair_places(lang: Column, first: Column, second: Column, bits: int) -> Column:
+    """The two places of a pair of words in the filter."""
+    def turned(x: Column, by: int) -> Column:
+        h = F.xxhash64(x)
+        return F.shiftleft(h, by).bitwiseOR(F.shiftrightunsigned(h, 64 - by)) if by else h
+
+    key = turned(first, _TURNS[0]).bitwiseXOR(turned(second, _TURNS[1])).bitwiseXOR(turned(lang, _TURNS[2]))
+    mask = F.lit((1 << bits) - 1)
+    return F.array(key.bitwiseAND(mask), F.shiftrightunsigned(key, 32).bitwiseAND(mask))
+
+
+def frequent_pairs(pairs: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of 2**bits places over pairs (lang, phrase) of two words, as 64-bit words; bits is at most 32."""
+    own = F.split("phrase", " ")
+    places = pairs.select(F.explode(_pair_places(F.col("lang"), own[0], own[1], bits)).alias("at"))
+    words = places.groupBy(F.shiftrightunsigned("at", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("held")).toArrow()  # at most 2**(bits - 6) rows
+    held = np.zeros(1 << max(0, bits - 6), np.uint64)
+    held[words["word"].to_numpy()] = words["held"].to_numpy().view(np.uint64)
+    return held
+
+
+def _hashes(strings: pa.Array) -> np.ndarray:
+    """Spark's xxhash64 of single strings."""
+    return np.fromiter((xxhash.xxh64_intdigest(x.as_buffer(), 42) for x in strings), np.uint64, len(strings))
+
+
+def _in_filter(held: np.ndarray, lang: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    def turned(h: np.ndarray, by: int) -> np.ndarray:
+        return (h << np.uint64(by)) | (h >> np.uint64(64 - by)) if by else h
+
+    key = turned(first, _TURNS[0]) ^ turned(second, _TURNS[1]) ^ turned(lang, _TURNS[2])
+    mask, found = np.uint64(len(held) * 64 - 1), np.ones(len(key), bool)
+    for at in (key & mask, (key >> np.uint64(32)) & mask):
+        found &= (held[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+    return found
+
+
+# texts to shards -------------------------------------------------------------------------------------------------------
+
+
 def cut_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Words of texts with a line feed after every piece, and the text each belongs to."""
     texts = texts.cast(pa.large_string())
@@ -105,16 +162,23 @@ def cut_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(some), owner.filter(some).to_numpy()
 
 
-def _shard_rows(langs: np.ndarray, words: pa.Array, names: list[str], depth: int) -> Iterator[pa.RecordBatch]:
-    """Phrase counts of one run of words (lang numbers and words with piece ends)."""
+def _shard_rows(langs: np.ndarray, words: pa.Array, names: list[str], lengths: range, held: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Counts of the phrases of some lengths in one run of words (lang numbers and words with piece ends)."""
     coded = pc.dictionary_encode(words)
     spelled, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
     end = pc.index(spelled, pa.scalar("\n", spelled.type)).as_py()
     kinds, symbols = np.unique(np.where(code == end, -1, code * len(names) + langs), return_inverse=True)
     if kinds[0] != -1:
         symbols, kinds = symbols + 1, np.concatenate(([-1], kinds))
-    for rows, count in WordIndex(symbols, len(kinds), depth).phrases():
-        for a in range(0, len(rows), _ROWS):
+    fits = None
+    if held is not None:
+        by_word, by_lang = _hashes(spelled)[kinds // len(names)], _hashes(pa.array(names, pa.large_string()))[kinds % len(names)]
+
+        def fits(pairs: np.ndarray) -> np.ndarray:
+            return _in_filter(held, by_lang[pairs[:, 0]], by_word[pairs[:, 0]], by_word[pairs[:, 1]])
+
+    for rows, count in WordIndex(symbols, len(kinds), lengths[-1]).phrases(fits):
+        for a in range(0, len(rows) if rows.shape[1] in lengths else 0, _ROWS):
             keys = kinds[rows[a:a + _ROWS]]
             yield _phrase_rows(spelled, names, keys // len(names), keys[:, 0] % len(names), count[a:a + _ROWS])
 
@@ -127,12 +191,12 @@ def _phrase_rows(spelled: pa.Array, names: list[str], codes: np.ndarray, lang: n
         ["lang", "words", "phrase", "f"])
 
 
-def _blocks(langs: np.ndarray, words: pa.Array, names: list[str], depth: int, shard_words: int) -> Iterator[pa.RecordBatch]:
-    """Shards of a run of words. Neighbours share depth - 1 words; what lies wholly in those is counted once less."""
-    n = len(words)
+def _blocks(langs: np.ndarray, words: pa.Array, names: list[str], lengths: range, held: np.ndarray | None, shard_words: int) -> Iterator[pa.RecordBatch]:
+    """Shards of a run of words. Neighbours share all but one of the words of a longest phrase; what lies in those is counted once less."""
+    n, depth = len(words), lengths[-1]
     for a in range(0, n, shard_words):
         b = min(n, a + shard_words + depth - 1)
-        yield from _shard_rows(np.append(langs[a:b], 0), pa.concat_arrays([words.slice(a, b - a), pa.array(["\n"], words.type)]), names, depth)
+        yield from _shard_rows(np.append(langs[a:b], 0), pa.concat_arrays([words.slice(a, b - a), pa.array(["\n"], words.type)]), names, lengths, held)
         if b == n:
             break
         shared = words.slice(a + shard_words, depth - 1)
@@ -141,18 +205,25 @@ def _blocks(langs: np.ndarray, words: pa.Array, names: list[str], depth: int, sh
             for j in range(i + 1, len(own) + 1):
                 if "\n" in own[i:j]:
                     break
-                yield _phrase_rows(shared, names, np.arange(i, j)[None, :], langs[a + shard_words + i:a + shard_words + i + 1], np.array([-1]))
+                if j - i in lengths:  # beyond the filter too: what was never counted has a sum below 1
+                    yield _phrase_rows(shared, names, np.arange(i, j)[None, :], langs[a + shard_words + i:a + shard_words + i + 1], np.array([-1]))
 
 
-def phrase_counts(docs: DataFrame, most: int = 3, shard_words: int = 1 << 18, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
-    """(lang, words, phrase, f): how often each phrase of 1 to ``most`` words occurs within pieces of the texts of a language.
+def phrase_counts(docs: DataFrame, most: int = 3, shard_words: int = 1 << 18, text_column: str = "text", lang_column: str = "lang",
+                  fewest: int = 1, held: np.ndarray | None = None) -> DataFrame:
+    """(lang, words, phrase, f): how often each phrase of ``fewest`` to ``most`` words occurs within pieces of the texts of a language.
+
+    With ``held``, a filter of :func:`frequent_pairs`, phrases with a pair of neighbours outside it are left out.
 
     * A-Z are lower-cased; pieces end at ``. , ; : ! ?`` and line ends, words at blanks and tabs; overlaps count
     * null and empty texts have no words; a null lang is ``und``; repeated rows count as often as they stand there
     * texts of any length are read whole: beyond ``shard_words`` words the next shard goes on with an overlap
     * extra columns are ignored; an empty table gives an empty result
     """
+    shipped = None if held is None else docs.sparkSession.sparkContext.broadcast(held)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = None if shipped is None else shipped.value
         names: dict[str, int] = {}
         held: list[tuple[np.ndarray, pa.Array]] = []
         total = 0
@@ -161,7 +232,7 @@ def phrase_counts(docs: DataFrame, most: int = 3, shard_words: int = 1 << 18, te
             if held:
                 langs, words = np.concatenate([h[0] for h in held]), pa.concat_arrays([h[1] for h in held])
                 held.clear()
-                yield from _blocks(langs, words, list(names), most, shard_words)
+                yield from _blocks(langs, words, list(names), range(fewest, most + 1), pairs, shard_words)
 
         for batch in batches:
             number = np.array([names.setdefault(x, len(names)) for x in batch.column(0).to_pylist()], np.int64)
@@ -239,11 +310,25 @@ def first_per_group(rows: DataFrame, group: str, order: list[Column], most: int,
     return ranked.where(F.col("rank") <= most)
 
 
+def frequent_counts(docs: DataFrame, most: int = 3, least: int = 10, filter_bits: int = 28, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+    """The rows of :func:`phrase_counts` of single words, and of the phrases that occur ``least`` times or more.
+
+    Two passes: words and pairs first, then longer phrases made of pairs in a filter of 2**filter_bits places (32 MB), which
+    is the only thing broadcast.
+    """
+    short = materialise(phrase_counts(docs, min(most, 2), text_column=text_column, lang_column=lang_column)
+                        .where((F.col("words") == 1) | (F.col("f") >= least)), "phrases")
+    if most < 3:
+        return short
+    held = frequent_pairs(short.where("words = 2"), filter_bits)
+    longer = phrase_counts(docs, most, text_column=text_column, lang_column=lang_column, fewest=3, held=held).where(F.col("f") >= least)
+    return short.unionByName(materialise(longer, "phrases"))
+
+
 def top_collocations(docs: DataFrame, most: int = 2000, words: int = 3, least: int = 10, inside: int = 50, text_column: str = "text",
                      lang_column: str = "lang") -> DataFrame:
-    """Each language's first collocations by score, count and phrase; see :func:`phrase_counts` and :func:`collocations`."""
-    counts = phrase_counts(docs, words, text_column=text_column, lang_column=lang_column)
-    counts = materialise(counts.where((F.col("words") == 1) | (F.col("f") >= least)), "phrases")
+    """Each language's first collocations by score, count and phrase; see :func:`frequent_counts` and :func:`collocations`."""
+    counts = frequent_counts(docs, words, least, text_column=text_column, lang_column=lang_column)
     found = materialise(collocations(counts, least, inside), "collocations")
     return first_per_group(found, "lang", [F.desc("score"), F.desc("a"), F.asc("phrase")], most)
 

@@ -66,6 +66,14 @@ def test_counts_are_those_of_plain_counting(spark, shard):
     assert collocations.phrase_counts(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bits", [6, 20])
+def test_the_pair_filter_loses_nothing(spark, bits, monkeypatch):
+    rows = some_rows(3, 120)
+    monkeypatch.setattr(collocations.phrase_counts, "__defaults__", (4, 50, *collocations.phrase_counts.__defaults__[2:]))  # many shards
+    got = {(r.lang, r.words, r.phrase): r.f for r in collocations.frequent_counts(documents(spark, rows), 4, 5, bits).collect()}
+    assert got == {k: c for k, c in brute_counts(rows, 4).items() if k[1] == 1 or c >= 5}
+
+
 def test_intervals_agree_in_both_directions():
     symbols = np.random.default_rng(1).integers(0, 5, 400)
     symbols[-1] = 0
