@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cartolith.llm import collocations, embedding_dedup, language, licences, mixing, packing, pivot_search, quality, secrets, simhash, token_counts, url_lists
+from cartolith.llm import alignment, collocations, embedding_dedup, language, licences, mixing, packing, pivot_search, quality, secrets, simhash, token_counts, url_lists
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op6_license_scans": licences.op6_license_scans,
     "op8_source_mixing": mixing.op8_source_mixing,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op11_tokenizer_alignment": alignment.op11_tokenizer_alignment,
     "op12_quality_classifier": quality.op12_quality_classifier,
     "op13_collocations": collocations.op13_collocations,
 }
