@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,7 @@ from cartolith.session import materialise
 _BLANK = "▁"
 # fixed value: a visible character, which is no white space in the sense of any of the libraries, and a blank
 _CUT = r"([^\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]) "
+_VISIBLE_END = re.compile(r"[^\s\x1c-\x1f]\Z")
 _SLICE = 4 << 20  # bytes of text aligned at a time; one longer text is a slice of its own
 KEPT = 150_000  # chunks kept per worker and generation; the last two generations are kept
 B_IDS = 1 << 16  # ids of B are below this
@@ -42,11 +44,11 @@ class Chunks:
         self.groups: list[str] = []
         self.links: list[np.ndarray] = []
 
-    def add(self, chunk: str, sums: tuple[int, int, int], groups: str, links: np.ndarray) -> None:
-        self.at[chunk] = len(self.sums)
-        self.sums.append(sums)
-        self.groups.append(groups)
-        self.links.append(links)
+    def add(self, chunks: list[str], sums: list, groups: list[str], links: list[np.ndarray]) -> None:
+        self.at.update(zip(chunks, range(len(self.sums), len(self.sums) + len(chunks))))
+        self.sums += sums
+        self.groups += groups
+        self.links += links
 
 
 class Aligner:
@@ -69,54 +71,73 @@ class Aligner:
             piece = self.b.id_to_piece(i)
             self.b_bytes.append(bytes([int(piece[3:-1], 16)]) if self.b.is_byte(i) else None if self.b.is_unknown(i) or self.b.is_control(i)
                                 else piece.replace(_BLANK, " ").encode("utf-8"))
+        self.sizes = [np.array([len(x or b"") for x in side], np.int64) for side in (self.a_bytes, self.b_bytes)]
+        # an id as it is spelled inside a group, and at the end of its side of a group
+        self.names = [np.array([[f"{i},", f"{i}{last}"] for i in range(len(side))], object) for side, last in ((self.a_bytes, "|"), (self.b_bytes, ";"))]
+        self.widths = [np.array([len(x) for x in side[:, 0]], np.int64) for side in self.names]
         self.chunks, self.older = Chunks(), Chunks()
 
-    def _align(self, chunk: str, a: list[int], b: list[int]) -> tuple[tuple[int, int, int], str, np.ndarray]:
-        own = chunk.encode("utf-8")
-        a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        none = np.zeros(0, np.int64)
-        if not a or not b or None in a_parts or None in b_parts or b"".join(a_parts) != own or b"".join(b_parts) != own:
-            return (-1, -1, -1), "", none
-        groups, links = [], []
-        i = j = i0 = j0 = a_end = b_end = 0
-        a_end, b_end = len(a_parts[0]), len(b_parts[0])
-        while True:  # every pair of tokens that overlap, in order
-            links.append(a[i] * B_IDS + b[j])
-            if a_end == b_end:
-                groups.append(f"{','.join(map(str, a[i0:i + 1]))}|{','.join(map(str, b[j0:j + 1]))}")
-                i, j = i + 1, j + 1
-                i0, j0 = i, j
-                if i == len(a):
-                    break
-                a_end, b_end = a_end + len(a_parts[i]), b_end + len(b_parts[j])
-            elif a_end < b_end:
-                i += 1
-                a_end += len(a_parts[i])
-            else:
-                j += 1
-                b_end += len(b_parts[j])
-        return (len(a), len(b), len(groups)), ";".join(groups), np.array(links, np.int64)
+    def _ids(self, text: str) -> list[np.ndarray]:
+        """Ids of both vocabularies for chunks in a row."""
+        b = self.b.encode(text[1:], num_threads=1) if len(text) > 1 else [self.b.piece_to_id(_BLANK)]  # a blank at the end of a longer text
+        return [np.array(self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64), np.array(b, np.int64)]
+
+    def _same_bytes(self, ids: list[np.ndarray], own: bytes) -> bool:
+        for side, some in zip((self.a_bytes, self.b_bytes), ids):
+            parts = [side[i] for i in some.tolist()]
+            if None in parts or b"".join(parts) != own:
+                return False
+        return True
+
+    def _align(self, chunks: list[str]) -> tuple[list, list[str], list[np.ndarray]]:
+        """Sums, spelled groups and links of chunks none of which is changed by standing in a row with the others."""
+        text = "".join(chunks)
+        ids = self._ids(text)
+        if not self._same_bytes(ids, text.encode("utf-8")):
+            if len(chunks) == 1:
+                return [(-1, -1, -1)], [""], [np.zeros(0, np.int64)]
+            found: tuple[list, list[str], list[np.ndarray]] = [], [], []
+            half = len(chunks) // 2
+            for part in (self._align(chunks[:half]), self._align(chunks[half:])):
+                for old, new in zip(found, part):
+                    old += new
+            return found
+        ends = [np.cumsum(size[i]) for size, i in zip(self.sizes, ids)]
+        borders = np.cumsum([len(c.encode("utf-8")) for c in chunks])
+        cuts = np.union1d(*ends)  # between two of them lies the overlap of one pair of tokens, and of each pair but one
+        links = ids[0][np.searchsorted(ends[0], cuts)] * B_IDS + ids[1][np.searchsorted(ends[1], cuts)]
+        both = np.intersect1d(*ends, assume_unique=True)
+        counts = [np.searchsorted(x, borders, side="right") for x in (*ends, both, cuts)]
+        group = [np.searchsorted(both, x) for x in ends]
+        order = np.argsort(np.concatenate((2 * group[0], 2 * group[1] + 1)), kind="stable")
+        last = [np.append(g[1:] != g[:-1], True).astype(np.int64) for g in group]
+        spelled = np.concatenate([n[i, k] for n, i, k in zip(self.names, ids, last)])[order].tolist()
+        at = np.cumsum(np.concatenate([w[i] for w, i in zip(self.widths, ids)])[order])[counts[0] + counts[1] - 1].tolist()
+        whole = "".join(spelled)
+        starts = [0, *at[:-1]]
+        sums = np.column_stack([np.diff(c, prepend=0) for c in counts[:3]])
+        split = counts[3].tolist()
+        return (list(map(tuple, sums.tolist())), [whole[x:y - 1] for x, y in zip(starts, at)],
+                [links[x:y].copy() for x, y in zip([0, *split[:-1]], split)])
 
     def learn(self, chunks: list[str]) -> Chunks:
         """Makes all of some distinct chunks known. Each starts with the blank that B adds by itself."""
         if len(self.chunks.at) > KEPT:
             self.older, self.chunks = self.chunks, Chunks()
         known, older = self.chunks, self.older
-        if " " not in known.at:  # B gives nothing for the empty text, but a blank at the end of a longer one
-            known.add(" ", *self._align(" ", self.a.encode(" ", add_special_tokens=False).ids, [self.b.piece_to_id(_BLANK)]))
-        new = []
-        for chunk in chunks:
-            if chunk not in known.at:
-                number = older.at.get(chunk)
-                if number is None:
-                    new.append(chunk)
-                else:
-                    known.add(chunk, older.sums[number], older.groups[number], older.links[number])
-        for first in range(0, len(new), 1000):
-            some = new[first:first + 1000]
-            a = [e.ids for e in self.a.encode_batch(some, add_special_tokens=False)]
-            for chunk, x, y in zip(some, a, self.b.encode([c[1:] for c in some], num_threads=1)):
-                known.add(chunk, *self._align(chunk, x, y))
+        missing = [c for c in chunks if c not in known.at]
+        new = [c for c in missing if c not in older.at]
+        if len(new) < len(missing):
+            kept = [c for c in missing if c in older.at]
+            at = [older.at[c] for c in kept]
+            known.add(kept, [older.sums[i] for i in at], [older.groups[i] for i in at], [older.links[i] for i in at])
+        firm = [c for c in new if _VISIBLE_END.search(c)]  # the others only stand at the end of a text
+        for first in range(0, len(firm), 1000):
+            some = firm[first:first + 1000]
+            known.add(some, *self._align(some))
+        for chunk in new:
+            if not _VISIBLE_END.search(chunk):
+                known.add([chunk], *self._align([chunk]))
         return known
 
 
