@@ -4,8 +4,10 @@ A classifier fitted on the labelled table gives every document a probability per
 of times it is used. Rates are fitted by projected gradient descent on least squares: nonnegative, as near to 1 as the
 targets allow, and such that the expected tokens of every domain, summed over all documents, meet the target weights.
 
-A step changes a rate only through the few domain totals of the step before. The totals of all steps are small numbers, so
-the rates of any document can be replayed from them: documents are never joined or shuffled.
+A step changes a rate only through the few domain residuals it saw, so the rates of any document follow from small numbers
+and its posteriors: documents are never joined or shuffled. With the step size 1 / ridge a projected step even forgets the rate
+it came from: it is max(0, 1 - p.residuals / ridge). Descent then is a search for the residuals that such a step reproduces.
+Those of the next step come from Newton's rule on the domains, with the step lengths tried side by side in one job.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cartolith.session import materialise
@@ -42,6 +45,13 @@ def _numbers(values) -> Column:
     return F.split(F.lit(",".join("0" if x == 0 else repr(x) for x in values)), ",").cast("array<double>")
 
 
+def _candidates(names: list[str], rows: list[list[float]]) -> Column:
+    """A constant array of structs. It is kept out of the generated code, which is compiled once for all numbers."""
+    flat = _numbers([x for row in rows for x in row])
+    return F.transform(F.sequence(F.lit(0), F.lit(len(rows) - 1)), lambda c: F.struct(
+        c.alias("try"), *[F.get(flat, c * len(names) + i).alias(n) for i, n in enumerate(names)]))
+
+
 def _odds(ratios, words: Column) -> list[Column]:
     def total(row) -> Column:
         table = _numbers(row)
@@ -105,19 +115,25 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, names: tuple[str, ...], mo
     heat, bias = [4.0] * len(ratios), list(prior)
     scored = materialise(scored, "scored")
 
-    def best_of(values: list[float], odds) -> float | None:
-        """The value of the column t, out of ``values``, for which the odds fit the second sample best."""
-        p = _softmax([odds(j) for j in range(len(ratios))])
-        own = F.coalesce(*[F.when(F.col("domain") == n, p[j]) for j, n in enumerate(names)])
-        losses = (scored.withColumn("t", F.explode(F.array(*map(F.lit, values)))).groupBy("t")
-                  .agg(F.avg(-weight * F.log(F.greatest(own, F.lit(1e-9)))).alias("loss")).collect())
-        return min((r.loss, r.t) for r in losses)[1] if losses else None
+    k = len(ratios)
+    given = [*(f"heat{i}" for i in range(k)), *(f"bias{i}" for i in range(k))]
+    chances = _softmax([F.col(f"s{i}") / F.col(f"heat{i}") + F.col(f"bias{i}") for i in range(k)])
+    own_chance = F.coalesce(*[F.when(F.col("domain") == n, chances[j]) for j, n in enumerate(names)])
+
+    def best_of(at: int, values: list[float]) -> None:
+        """Sets one number to that of ``values`` for which the odds fit the second sample best."""
+        now = [*heat, *bias]
+        rows = [[*now[:at], v, *now[at + 1:]] for v in values]
+        losses = (scored.withColumn("c", F.explode(_candidates(given, rows))).select("domain", *[f"s{i}" for i in range(k)], "c.*")
+                  .groupBy("try").agg(F.avg(-weight * F.log(F.greatest(own_chance, F.lit(1e-9)))).alias("loss")).collect())
+        if losses:
+            now[at] = values[min((r.loss, values[r["try"]], r["try"]) for r in losses)[2]]
+            heat[:], bias[:] = now[:k], now[k:]
 
     for _ in range(3):  # one number after the other
-        for i in range(len(ratios)):
-            heat[i] = best_of(grid, lambda j: F.col(f"s{j}") / (F.col("t") if j == i else heat[j]) + bias[j]) or heat[i]
-            found = best_of([prior[i] + x / 2 for x in range(-12, 7)], lambda j: F.col(f"s{j}") / heat[j] + (F.col("t") if j == i else bias[j]))
-            bias[i] = bias[i] if found is None else found
+        for i in range(k):
+            best_of(i, grid)
+            best_of(k + i, [prior[i] + x / 2 for x in range(-12, 7)])
     return Domains(names, ratios, tuple(bias), tuple(heat))
 
 
@@ -155,20 +171,33 @@ class Mixture:
     ridge: float
     totals: tuple[float, ...]  # expected tokens by domain at the fitted rates
     wanted: tuple[float, ...]
+    residuals: tuple[float, ...] = ()  # those the last step of size 1 / ridge saw
+
+    def gaps(self) -> dict[str, float]:
+        """What each domain's expected share of the budget lacks, or has too much."""
+        whole = sum(self.wanted)
+        return {n: (t - w) / whole if whole else 0.0 for n, t, w in zip(self.model.names, self.totals, self.wanted)}
 
     def rates(self) -> Column:
+        if self.residuals:
+            pull = sum((F.col(f"__mix_p{d}") * (x / self.ridge) for d, x in enumerate(self.residuals)), F.lit(0.0))
+            return F.greatest(F.lit(0.0), 1.0 - pull)
         if not self.steps:
             return F.lit(1.0)
         return _replay((F.lit(1.0), F.lit(1.0)), [(m, list(r)) for m, r in self.steps], self.rate, self.ridge)["r"]
 
 
 def fit_rates(docs: DataFrame, model: Domains, targets: dict[str, float], text_column: str = "text", ridge: float = 1e-3,
-              most: int = 80, close: float = 5e-4, written: int = 10) -> Mixture:
-    """Projected gradient descent with momentum on half the squared gaps between expected and target domain shares.
-
-    Gaps are taken relative to the target share. The budget is the token count of docs. The ridge, times each document's share, keeps rates near 1 where targets leave
-    them free. Descent ends when every gap is below ``close`` of the budget or after ``most`` steps; the state is written
-    to the shared folder every ``written`` steps.
+              most: int | None = None, close: float = 5e-4, written: int = 10) -> Mixture:
+    """Projected gradient descent on half the squared gaps between expected and target domain shares.
+
+    * gaps are taken relative to the target share; the budget is the token count of docs; the ridge, times each document's
+      share, keeps rates near 1 where targets leave them free
+    * descent goes on until it stands at the optimum, whatever the number of steps; targets that no rates meet leave gaps,
+      see :meth:`Mixture.gaps`
+    * with ``most``, so many plain steps with momentum are taken instead, or fewer if every gap falls below ``close`` of the
+      budget; the state is written to the shared folder every ``written`` of them
+    * targets without a positive weight count as even ones; null and empty texts weigh nothing; an empty table leaves all rates at 1
     """
     k = len(model.names)
     aim = [max(0.0, targets.get(n, 0.0)) for n in model.names]
@@ -183,6 +212,8 @@ def fit_rates(docs: DataFrame, model: Domains, targets: dict[str, float], text_c
     scale = [1.0 / max(a, 1e-3) for a in aim]
     share = F.col(_TOKENS) / F.lit(float(budget))
     steepest = state.agg(F.sum(sum((F.col(c) * F.col(c) * s for c, s in zip(p, scale)), F.lit(0.0)) * share)).first()[0]
+    if most is None:
+        return _settled(state, model, aim, scale, budget, ridge)
     rate = 1.0 / (steepest + ridge)  # the sum of the eigenvalues bounds the largest
     steps: list[tuple[float, list[float]]] = []
     fresh = 0
@@ -209,6 +240,46 @@ def fit_rates(docs: DataFrame, model: Domains, targets: dict[str, float], text_c
     return Mixture(model, tuple((m, tuple(r)) for m, r in steps), rate, ridge, tuple(x * budget for x in now), wanted)
 
 
+def _settled(state: DataFrame, model: Domains, aim: list[float], scale: list[float], budget: int, ridge: float) -> Mixture:
+    """Steps of size 1 / ridge until the residuals they see are those they leave; a job a step, all with one plan.
+
+    The residuals minimise a convex function of as many numbers as there are domains; its slope is the difference between
+    what a step saw and what it leaves. Of Newton steps of several lengths the best is taken, so every step goes down.
+    """
+    k = len(aim)
+    names = [f"l{d}" for d in range(k)]
+    p = [F.col(f"__mix_p{d}") for d in range(k)]
+    share = F.col(_TOKENS) / F.lit(float(budget))
+    r = F.greatest(F.lit(0.0), 1.0 - sum((p[d] * F.col(names[d]) for d in range(k)), F.lit(0.0)) / ridge)
+    moments = [F.sum(share * F.col("r") * F.col("r")), *[F.sum(share * F.col("r") * p[d]) for d in range(k)],
+               *[F.sum(F.when(F.col("r") > 0, share * p[d] * p[e]).otherwise(0.0)) for d in range(k) for e in range(d, k)]]
+
+    def look(rows: list[list[float]]) -> list[tuple[float, list[float], np.ndarray, np.ndarray, np.ndarray]]:
+        """(height, residuals, shares left, slope, curvature) of steps that saw some residuals, lowest first."""
+        tried = state.withColumn("c", F.explode(_candidates(names, rows))).select(_TOKENS, *p, "c.*").withColumn("r", r)
+        found = []
+        for row in tried.groupBy("try").agg(*[m.alias(f"m{i}") for i, m in enumerate(moments)]).collect():
+            at, numbers = np.array(rows[row["try"]]), np.array([row[f"m{i}"] for i in range(len(moments))])
+            left, bend = numbers[1:k + 1], np.diag(1.0 / np.array(scale))
+            for n, (d, e) in enumerate((d, e) for d in range(k) for e in range(d, k)):
+                bend[d, e] += numbers[1 + k + n] / ridge
+                bend[e, d] = bend[d, e]
+            height = float((at * at / scale).sum() / 2 + (at * aim).sum() + ridge * numbers[0] / 2)
+            found.append((height, rows[row["try"]], left, at / scale + aim - left, bend))
+        return sorted(found, key=lambda x: x[0])
+
+    now = look([[0.0] * k])[0]
+    while True:
+        step = np.linalg.solve(now[4], now[3])
+        if float(step @ now[3]) < 1e-13:  # what Newton's rule still promises
+            break
+        best = look([(np.array(now[1]) - t * step).tolist() for t in (1.0, 0.5, 0.25, 0.05, 0.005)])[0]
+        if best[0] >= now[0]:  # as low as doubles go
+            break
+        now = best
+    return Mixture(model, (), 1.0 / ridge, ridge, tuple(float(x) * budget for x in now[2]), tuple(a * budget for a in aim), tuple(now[1]))
+
+
 def apply_rates(docs: DataFrame, mixture: Mixture, text_column: str = "text") -> DataFrame:
     """docs with n_words, one p_<domain> per domain, and rate.
 

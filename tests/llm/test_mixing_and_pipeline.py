@@ -135,3 +135,24 @@ def test_run_packs_what_the_stages_keep(spark):
     got = corpus_pipeline.run(spark, SMALL).toPandas()
     assert (got.groupby("sequence_id").length.sum() <= 2048).all()
     assert set(got.doc_id) <= {r.doc_id for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+
+
+def test_settled_rates_are_the_optimum(spark, labelled):
+    """The conditions of an optimum, and the limit of many plain projected steps in numpy."""
+    docs, labels = labelled
+    for targets in ({"good": 0.9, "poor": 0.07, "toxic": 0.03}, {"good": 0.2, "poor": 0.2, "toxic": 0.6}, {"good": 0.0, "poor": 1.0, "toxic": 0.0}):
+        model = mixing.fit_domains(docs, mixing.quality_domains(labels), tuple(targets))
+        mixture = mixing.fit_rates(docs, model, targets)
+        got = mixing.apply_rates(docs, mixture).toPandas()
+        p, n = got[["p_good", "p_poor", "p_toxic"]].values, got.n_words.values / got.n_words.sum()
+        aim = np.array(list(targets.values()))
+        r, scale = got.rate.values, 1 / np.maximum(aim, 1e-3)
+        slope = p @ (((r * n) @ p - aim) * scale) + 1e-3 * (r - 1)
+        assert (r >= 0).all() and np.abs(slope[r > 1e-9]).max() < 1e-5 and (slope[r <= 1e-9] > -1e-5).all()
+        plain, before, past, rate = np.ones(len(n)), np.ones(len(n)), 1.0, 1.0 / (((p * p * scale).sum(axis=1) * n).sum() + 1e-3)
+        for _ in range(12000):
+            ahead = (1 + np.sqrt(1 + 4 * past * past)) / 2
+            moved = plain + (past - 1) / ahead * (plain - before)
+            before, plain, past = plain, np.maximum(0, moved - rate * (p @ (((moved * n) @ p - aim) * scale) + 1e-3 * (moved - 1))), ahead
+        assert np.allclose(plain, r, atol=2e-2)
+        assert np.allclose(list(mixture.gaps().values()), (r * n) @ p - aim, atol=1e-9)
