@@ -56,6 +56,26 @@ def line_center_lat(paths: Column) -> Column:
     return F.coalesce(center, F.get(F.transform(F.flatten(paths), lambda p: p["lat"]), F.lit(0)))
 
 
+def cut_at_antimeridian(paths: Column) -> Column:
+    """Paths cut where a step of over 180 degrees of longitude says that they cross 180; both pieces get the crossing."""
+    def crossing(path: Column, i: Column, after: bool) -> Column:
+        a, b = F.get(path, i - 1), F.get(path, i)
+        side = F.when(b["lon"] < a["lon"], 180.0).otherwise(-180.0)
+        way = b["lon"] + 2 * side - a["lon"]
+        lat = F.when(way == 0, a["lat"]).otherwise(a["lat"] + (side - a["lon"]) / F.when(way != 0, way) * (b["lat"] - a["lat"]))
+        return F.array(F.struct((-side if after else side).alias("lon"), lat.alias("lat")))
+
+    def cut(path: Column) -> Column:
+        n = F.size(path)
+        none = F.slice(path, 1, 0)
+        jumps = F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.coalesce(F.abs(F.get(path, i)["lon"] - F.get(path, i - 1)["lon"]) > 180.0, F.lit(False)))
+        # bound once, or every piece would look for the jumps again
+        return F.flatten(F.transform(F.array(jumps), lambda j: F.zip_with(F.concat(F.array(F.lit(0)), j), F.concat(j, F.array(n)), lambda s, e: F.concat(
+            F.when(s > 0, crossing(path, s, True)).otherwise(none), F.slice(path, s + 1, e - s), F.when(e < n, crossing(path, e, False)).otherwise(none)))))
+
+    return F.flatten(F.transform(paths, cut))
+
+
 def ring_segments(shapes: DataFrame) -> DataFrame:
     """One row per segment of every ring or path: rank, radius, ring, seq, x1, y1, x2, y2."""
     rings = shapes.select("rank", "radius", F.posexplode("rings").alias("ring", "points")).filter(F.size("points") >= 2)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cartolith.functions.coords import Extent, Grid, tile_lat, tile_lon
+from cartolith.operators.ordering import with_global_row_number
+from cartolith.session import materialise
 
 # How published source tiles are named and laid out.
 DEM_RESOLUTIONS = {"30": 10, "90": 30}
@@ -126,6 +130,29 @@ def dataset_fingerprint(files: DataFrame, root: str) -> DataFrame:
     return files.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(entry)), ""), 256).alias("fingerprint"))
 
 
+def tree_fingerprint(files: DataFrame, root: str, fan_in: int = 1024) -> DataFrame:
+    """(files, fingerprint) of a folder's files as the root of a hash tree over the sorted relative paths.
+
+    Leaves are SHA-256 digests of ``fan_in`` entries ``path=size`` in path order, every further level those of ``fan_in``
+    digests below it, until one is left. A task sees ``fan_in`` entries of a group at most, however many files there are.
+    Equal entries count as often as they stand there; no files give the digest of an empty text.
+    """
+    relative = F.regexp_replace("path", rf"^(file:)?/*\Q{root.strip('/')}\E/", "")
+    entries = files.select(F.concat(relative, F.lit("="), F.col("length").cast("string"), F.lit("\0")).alias("part"))
+    level = with_global_row_number(entries, [F.col("part")], "n")
+    count = total = level.count()
+    if not total:
+        return files.sparkSession.createDataFrame([(0, hashlib.sha256(b"").hexdigest())], "files long, fingerprint string")
+    while True:
+        group = F.floor((F.col("n") - 1) / fan_in).cast("bigint") + 1
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("n", "part"))), lambda x: x["part"])
+        level = materialise(level.groupBy(group.alias("g")).agg(F.sha2(F.array_join(ordered, ""), 256).alias("part"))
+                            .withColumnRenamed("g", "n"), "tree-level")
+        count = -(-count // fan_in)
+        if count == 1:
+            return level.select(F.lit(total).cast("bigint").alias("files"), F.col("part").alias("fingerprint"))
+
+
 def catalogue_summary(catalogue: DataFrame) -> DataFrame:
     """One row over a tile catalogue with status: usable and corrupt counts, bathymetry, largest tile."""
     usable = F.col("status") == "ok"

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("lookups", "scalars", "reference_data", "raster_data", "worlds", "feeds", "imports")
+_MODULES = ("lookups", "scalars", "reference_data", "raster_data", "worlds", "feeds", "imports", "vector_files")
 
 
 def registered_queries():

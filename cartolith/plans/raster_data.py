@@ -176,6 +176,19 @@ def dataset_fingerprint(t: Tables) -> DataFrame:
     return tiles.dataset_fingerprint(files, "/data")
 
 
+@registered("tree_fingerprint", """
+WITH e AS (SELECT concat('order/', cast(o_orderkey AS varchar), '.bin=', cast(o_custkey AS varchar), chr(0)) AS part FROM orders),
+n AS (SELECT part, row_number() OVER (ORDER BY part) AS n FROM e),
+l1 AS (SELECT (n - 1) // 1024 + 1 AS n, sha256(string_agg(part, '' ORDER BY n)) AS part FROM n GROUP BY 1),
+l2 AS (SELECT (n - 1) // 1024 + 1 AS n, sha256(string_agg(part, '' ORDER BY n)) AS part FROM l1 GROUP BY 1),
+l3 AS (SELECT sha256(string_agg(part, '' ORDER BY n)) AS part FROM l2)
+SELECT (SELECT count(*) FROM e) AS files, CASE WHEN (SELECT count(*) FROM l1) = 1 THEN (SELECT min(part) FROM l1) WHEN (SELECT count(*) FROM l2) = 1 THEN (SELECT min(part) FROM l2)
+ ELSE (SELECT part FROM l3) END AS fingerprint""")
+def tree_fingerprint(t: Tables) -> DataFrame:
+    files = t.base("orders").select(F.concat(F.lit("file:/data/order/"), F.col("o_orderkey").cast("string"), F.lit(".bin")).alias("path"), F.col("o_custkey").alias("length"))
+    return tiles.tree_fingerprint(files, "/data")
+
+
 @registered("transcode", _CELLS + """
 SELECT lat_deg, lon_deg, CASE WHEN lat_deg % 3 = 0 THEN 'float32' ELSE 'int16' END AS encoding, count(*) AS sample_count, count(*) - count(m) AS void_count,
  CASE WHEN lat_deg % 3 <> 0 AND max(abs(floor(m * 20.3e0 + 0.5))) > 32767 THEN 'value outside 16 bits' END AS reject_reason, round(sum(CASE WHEN lat_deg % 3 = 0 THEN m * 20.3e0 ELSE floor(m * 20.3e0 + 0.5) END) / 100, 0) + 0e0 AS hundreds FROM samples GROUP BY 1, 2""")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from cartolith.functions import water as fw
 from cartolith.functions.text import blank_to_null
 from cartolith.operators.ordering import first_per_key, with_global_row_number
-from cartolith.operators.shapes import line_center_lat, ring_area, rings_box
+from cartolith.operators.shapes import cut_at_antimeridian, line_center_lat, ring_area, rings_box
 
 _FEATURE = "struct<type:string, properties:map<string,string>, geometry:struct<type:string, coordinates:string>>"
 _POSITIONS = {"LineString": "array<array<double>>", "MultiLineString": "array<array<array<double>>>",
@@ -145,7 +145,9 @@ def water_features(features: DataFrame, blocks_per_km: float = 1.0) -> DataFrame
     discharge = F.coalesce(p["DIS_AV_CMS"].try_cast("double"), p["dis_av_cms"].try_cast("double"), F.lit(0.0))
     width = fw.river_width_m(discharge, blocks_per_km)
     line = F.col("geometry_type").isin("LineString", "MultiLineString")
-    typed = features.withColumn("water_type", kind).withColumn("strict", p["water_type"].isNotNull())
+    # cut first: radius and box are those of the pieces
+    typed = features.withColumn("rings", F.when(line, cut_at_antimeridian(F.col("rings"))).otherwise(F.col("rings"))).withColumn(
+        "water_type", kind).withColumn("strict", p["water_type"].isNotNull())
     reason = (F.when(made_by_people(p), "made by people").when(F.col("water_type").isNull(), "unknown water type")
               .when((F.col("water_type") == "RIVER") != line, "geometry does not fit the type"))
     south, west, north, east = rings_box(F.col("rings"))
