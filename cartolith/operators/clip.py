@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cartolith.operators.shapes import rings_box
 from cartolith.params import RINGS
@@ -36,29 +37,52 @@ def _cut(points: np.ndarray, axis: int, limit: float, keep_below: bool) -> np.nd
     return np.array(out).reshape(-1, 2)
 
 
-def _clip_ring(ring, box) -> list[dict] | None:
+def _clip_ring(points: np.ndarray, box) -> np.ndarray | None:
     south, west, north, east = box
-    points = np.array([(p["lon"], p["lat"]) for p in ring], dtype=float)
     if len(points) > 1 and (points[0] == points[-1]).all():
         points = points[:-1]
     for axis, limit, below in ((0, west, False), (0, east, True), (1, south, False), (1, north, True)):
         points = _cut(points, axis, limit, below)
     if len(points) < 3:
         return None
-    closed = np.vstack([points, points[:1]])
-    return [{"lon": float(x), "lat": float(y)} for x, y in closed]
+    return np.vstack([points, points[:1]])
+
+
+def _clip_rings(value: pa.ListArray, box) -> pa.ListArray:
+    """All rings of all rows, from and to the buffers of the column."""
+    rings = value.flatten()  # of rows that are not null
+    spots = rings.flatten()
+    points = np.column_stack([spots.field(name).to_numpy(zero_copy_only=False) for name in ("lon", "lat")])
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(rings), 0).to_numpy(zero_copy_only=False))
+    per_row = pc.list_value_length(value)
+    kept, sizes, counts, at = [], [], [], 0
+    for n in pc.fill_null(per_row, 0).to_pylist():
+        own = [r for r in (_clip_ring(points[ends[i - 1] if i else 0:ends[i]], box) for i in range(at, at + n)) if r is not None]
+        at += n
+        kept += own
+        sizes += map(len, own)
+        counts.append(len(own))
+    flat = np.concatenate(kept) if kept else np.zeros((0, 2))
+    made = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, i])) for i in (0, 1)], ["lon", "lat"])
+    inner = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), made)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]).astype(np.int32)), inner, mask=per_row.is_null())
+
+
+def clip_rings(rings: Column, box: tuple[float, float, float, float]) -> Column:
+    """Rings cut to a box; those outside it go."""
+    @F.arrow_udf(RINGS)
+    def clip(value: pa.Array) -> pa.Array:
+        return _clip_rings(value, box)
+
+    return clip(rings)
 
 
 def clip_areas(features: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
     """Cut areas (rings, min_lat..max_lon) to a box; features left without area are dropped."""
-    @F.pandas_udf(RINGS)
-    def clip(rings: pd.Series) -> pd.Series:
-        return rings.map(lambda value: [r for r in (_clip_ring(ring, box) for ring in value) if r])
-
     met = keep_meeting(features, box)
     south, west, north, east = box
     inside = (F.col("min_lat") >= south) & (F.col("max_lat") <= north) & (F.col("min_lon") >= west) & (F.col("max_lon") <= east)
-    cut = met.filter(~inside).withColumn("rings", clip("rings")).filter(F.size("rings") > 0)
+    cut = met.filter(~inside).withColumn("rings", clip_rings(F.col("rings"), box)).filter(F.size("rings") > 0)
     a, b, c, d = rings_box(F.col("rings"))
     cut = cut.withColumn("min_lat", a).withColumn("min_lon", b).withColumn("max_lat", c).withColumn("max_lon", d)
     return met.filter(inside).unionByName(cut.filter("max_lat > min_lat AND max_lon > min_lon"))

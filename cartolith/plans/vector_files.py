@@ -14,14 +14,14 @@ from cartolith.sources import importers
 from cartolith.sources.shapefile import decode_shapefiles
 
 
-def _swapped(digits: Column, size: int) -> Column:
+def _swapped(digits: Column) -> Column:
     """Hex digits with the lowest byte first."""
-    return F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size))])
+    return F.array_join(F.reverse(F.regexp_extract_all(digits, F.lit("(..)"), F.lit(1))), "")
 
 
 def _int(value, big: bool = False, size: int = 4) -> Column:
     digits = F.lpad(F.hex(F.lit(value).cast("bigint")), 2 * size, "0")
-    return digits if big else _swapped(digits, size)
+    return digits if big else _swapped(digits)
 
 
 def _double(value: Column) -> Column:
@@ -30,7 +30,7 @@ def _double(value: Column) -> Column:
     power = F.floor(F.log2(F.when(size > 0, size).otherwise(1.0))).cast("int")
     mantissa = ((size / F.pow(F.lit(2.0), power) - 1.0) * float(1 << 52)).cast("bigint")
     bits = F.concat(F.lpad(F.hex(power + 1023 + F.when(value < 0, 2048).otherwise(0)), 3, "0"), F.lpad(F.hex(mantissa), 13, "0"))
-    return _swapped(F.when(size > 0, bits).otherwise("0" * 16), 8)
+    return _swapped(F.when(size > 0, bits).otherwise("0" * 16))
 
 
 def _shape(kind: Column, parts: Column) -> Column:

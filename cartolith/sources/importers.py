@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cartolith.functions import water as fw
 from cartolith.functions.text import blank_to_null
-from cartolith.operators.clip import clip_areas
+from cartolith.operators.clip import clip_rings
 from cartolith.operators.shapes import cut_at_antimeridian, line_center_lat, ring_area, rings_box
 from cartolith.operators.tiles import write_table_if_free
 from cartolith.params import VECTOR_SCHEMAS
@@ -68,21 +68,18 @@ def karst(records: DataFrame, box: Box | None = None) -> DataFrame:
 
     * records of other types are passed over: an archive may hold more layers than the one asked for
     * malformed records and those that leave the globe are ``strict``
-    * areas without a shell or without area are left out; with ``box`` areas are cut to it
+    * areas without a shell or without area are left out; with ``box`` areas are cut to it, and what has no area inside is left out
     """
     area = F.col("shape_type").isin(*AREA_TYPES)
     strict = F.when(area & (F.col("status") != "ok"), F.col("status")).when(area & ~_in_range(F.col("parts")), "invalid position")
-    rows = _with_box(records.withColumn("rings", F.flatten(polygons(F.col("parts"), F.col("part_roles")))))
+    rings = F.flatten(polygons(F.col("parts"), F.col("part_roles")))
+    rows = records.withColumn("rings", rings).withColumn("shells", F.size("rings"))
+    if box:
+        rows = rows.withColumn("rings", clip_rings(F.col("rings"), box))
     whole = F.aggregate(F.transform("rings", ring_area), F.lit(0.0), lambda a, v: a + F.abs(v))
-    reason = (F.when(~area, "not an area").otherwise(F.coalesce(strict, F.when(F.size("rings") == 0, "no shell").when(whole == 0.0, "zero area"))))
-    rows = rows.select("file", "ordinal", strict.isNotNull().alias("strict"), reason.alias("reject_reason"), "min_lat", "min_lon", "max_lat", "max_lon", "rings")
-    if not box:
-        return rows
-    usable, rest = rows.where("reject_reason IS NULL"), rows.where("reject_reason IS NOT NULL")
-    cut = clip_areas(usable, box)
-    south, west, north, east = box
-    gone = (F.col("min_lat") > north) | (F.col("max_lat") < south) | (F.col("min_lon") > east) | (F.col("max_lon") < west)
-    return cut.unionByName(rest).unionByName(usable.where(gone).withColumn("reject_reason", F.lit("outside the box")))
+    reason = F.when(~area, "not an area").otherwise(F.coalesce(strict, F.when(F.col("shells") == 0, "no shell").when(
+        whole == 0.0, F.when(F.lit(box is not None), "outside the box").otherwise("zero area"))))
+    return _with_box(rows).select("file", "ordinal", strict.isNotNull().alias("strict"), reason.alias("reject_reason"), "min_lat", "min_lon", "max_lat", "max_lon", "rings")
 
 
 def rows_for(table: str, accepted: DataFrame, numbered: bool = True) -> DataFrame:
