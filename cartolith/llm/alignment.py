@@ -11,7 +11,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +25,8 @@ from cartolith.session import materialise
 _BLANK = "▁"
 # fixed value: a visible character, which is no white space in the sense of any of the libraries, and a blank
 _CUT = r"([^\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]) "
-_VISIBLE_END = re.compile(r"[^\s\x1c-\x1f]\Z")
 _SLICE = 4 << 20  # bytes of text aligned at a time; one longer text is a slice of its own
-KEPT = 150_000  # chunks kept per worker and generation; the last two generations are kept
+KEPT = 200_000  # chunks kept per worker and generation; the last two generations are kept
 B_IDS = 1 << 16  # ids of B are below this
 
 
@@ -52,7 +50,10 @@ class Chunks:
 
 
 class Aligner:
-    def __init__(self, a_path: str, b_path: str) -> None:
+    """Aligns chunks; without ``spelled`` the text of their groups stays empty."""
+
+    def __init__(self, a_path: str, b_path: str, spelled: bool = True) -> None:
+        self.spelled = spelled
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
         from tokenizers import Tokenizer
@@ -108,17 +109,18 @@ class Aligner:
         links = ids[0][np.searchsorted(ends[0], cuts)] * B_IDS + ids[1][np.searchsorted(ends[1], cuts)]
         both = np.intersect1d(*ends, assume_unique=True)
         counts = [np.searchsorted(x, borders, side="right") for x in (*ends, both, cuts)]
-        group = [np.searchsorted(both, x) for x in ends]
-        order = np.argsort(np.concatenate((2 * group[0], 2 * group[1] + 1)), kind="stable")
-        last = [np.append(g[1:] != g[:-1], True).astype(np.int64) for g in group]
-        spelled = np.concatenate([n[i, k] for n, i, k in zip(self.names, ids, last)])[order].tolist()
-        at = np.cumsum(np.concatenate([w[i] for w, i in zip(self.widths, ids)])[order])[counts[0] + counts[1] - 1].tolist()
-        whole = "".join(spelled)
-        starts = [0, *at[:-1]]
         sums = np.column_stack([np.diff(c, prepend=0) for c in counts[:3]])
         split = counts[3].tolist()
-        return (list(map(tuple, sums.tolist())), [whole[x:y - 1] for x, y in zip(starts, at)],
-                [links[x:y].copy() for x, y in zip([0, *split[:-1]], split)])
+        texts = self._spelled(ids, [np.searchsorted(both, x) for x in ends], counts[0] + counts[1]) if self.spelled else [""] * len(chunks)
+        return list(map(tuple, sums.tolist())), texts, [links[x:y].copy() for x, y in zip([0, *split[:-1]], split)]
+
+    def _spelled(self, ids: list[np.ndarray], group: list[np.ndarray], borders: np.ndarray) -> list[str]:
+        """The groups of every chunk as text, from the group each token is in and the tokens up to each chunk's end."""
+        order = np.argsort(np.concatenate((2 * group[0], 2 * group[1] + 1)), kind="stable")
+        last = [np.append(g[1:] != g[:-1], True).astype(np.int64) for g in group]
+        whole = "".join(np.concatenate([n[i, k] for n, i, k in zip(self.names, ids, last)])[order].tolist())
+        at = np.cumsum(np.concatenate([w[i] for w, i in zip(self.widths, ids)])[order])[borders - 1].tolist()
+        return [whole[x:y - 1] for x, y in zip([0, *at[:-1]], at)]
 
     def learn(self, chunks: list[str]) -> Chunks:
         """Makes all of some distinct chunks known. Each starts with the blank that B adds by itself."""
@@ -131,28 +133,30 @@ class Aligner:
             kept = [c for c in missing if c in older.at]
             at = [older.at[c] for c in kept]
             known.add(kept, [older.sums[i] for i in at], [older.groups[i] for i in at], [older.links[i] for i in at])
-        firm = [c for c in new if _VISIBLE_END.search(c)]  # the others only stand at the end of a text
+        firm = [c for c in new if not c[-1].isspace()]  # the others only stand at the end of a text
         for first in range(0, len(firm), 1000):
             some = firm[first:first + 1000]
             known.add(some, *self._align(some))
-        for chunk in new:
-            if not _VISIBLE_END.search(chunk):
+        for chunk in new if len(firm) < len(new) else ():
+            if chunk[-1].isspace():
                 known.add([chunk], *self._align([chunk]))
         return known
 
 
-_LOADED: dict[tuple[str, str], Aligner] = {}
+_LOADED: dict[tuple, Aligner] = {}
 
 
-def _aligner(paths: tuple[str, str]) -> Aligner:
-    if paths not in _LOADED:
-        _LOADED[paths] = Aligner(*paths)
-    return _LOADED[paths]
+def _aligner(paths: tuple[str, str], spelled: bool) -> Aligner:
+    key = (*paths, spelled)
+    if key not in _LOADED:
+        _LOADED.clear()  # a worker works at one pass at a time
+        _LOADED[key] = Aligner(*paths, spelled)
+    return _LOADED[key]
 
 
-def _aligned(batches: Iterator[pa.RecordBatch], paths: tuple[str, str], at: int):
+def _aligned(batches: Iterator[pa.RecordBatch], paths: tuple[str, str], at: int, spelled: bool = True):
     """Slices (batch, first, rows, chunks in use as numbers, per row its chunks, per row whether it has tokens)."""
-    aligner = _aligner(paths)
+    aligner = _aligner(paths, spelled)
     for batch in batches:
         texts = batch.column(at)
         sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -303,7 +307,7 @@ def linked_pairs(docs: DataFrame, paths: tuple[str, str], text_column: str = "te
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], ["pair", "n"])
             held.clear()
 
-        for _, chunks, number, _, own, ends, whole in _aligned(batches, paths, 0):
+        for _, chunks, number, _, own, ends, whole in _aligned(batches, paths, 0, False):
             times = np.bincount(own[np.repeat(whole, np.diff(ends))], minlength=len(number))
             links = [chunks.links[n] for n in number]
             pairs = np.concatenate(links) if links else np.zeros(0, np.int64)
