@@ -70,20 +70,25 @@ def test_layers_cover_each_column_once(spark):
 
 
 def test_cities_and_markers(spark):
-    cities = spark.createDataFrame([(1, "Ostrübingen", 48.1, 11.6, 1_500_000, 1, False), (2, "Lower Ostrubing", 10.0, 10.0, 100, 1, False),
-                                    (3, "Seat", 1.0, 1.0, 100_000, 1, True), (7, "Zweitseat", 3.0, 3.0, 100_000, 1, True)], "id int, name string, lat double, lon double, population bigint, country_id int, capital boolean")
-    names = spark.createDataFrame([(i, "city", 1, n) for i, n in enumerate(("Ostruebingen", "Ostrubing", "Ostrubinga Bassa"))], "id int, entity_type string, entity_id int, name string")
-    asked = spark.createDataFrame([(q,) for q in ("Ostrubing", "ostruebingen", "Noplace", " ostrübingen ")], "query string")
-    assert {r["query"]: r.city_id for r in gazetteer.find_city(asked, cities, names).collect()} == {"Ostrubing": 1, "ostruebingen": 1, "Noplace": None, " ostrübingen ": 1}
-    found = gazetteer.search_cities(spark.createDataFrame([("ostrubing",)], "query string"), cities, names, 5).collect()
-    assert [r.city_id for r in found] == [1]
-    countries = spark.createDataFrame([(1, "QD", "Quadria", 0.0, 0.0, 2.0, 2.0)], "id int, iso_code string, name string, min_lat double, min_lon double, max_lat double, max_lon double")
-    regions = spark.createDataFrame([(1, 1, "North", 1.0, 0.0, 2.0, 2.0)], "id int, country_id int, name string, min_lat double, min_lon double, max_lat double, max_lon double")
+    cities = spark.createDataFrame([(11, "Harrow Bay", -33.5, 151.25, 6_000, 4, False), (12, "Mellin", 52.0, -3.5, 250_000, 4, False), (13, "Mellin", 12.25, 77.0, 90_000, 4, False),
+                                    (21, "Tarn", -4.0, 20.5, 40_000, 4, True), (22, "Vessel", -6.0, 21.5, 40_000, 4, True)],
+                                   "id int, name string, lat double, lon double, population bigint, country_id int, capital boolean")
+    # one alias of two cities, one that is another city's name, one of something else than a city
+    names = spark.createDataFrame([(0, "city", 11, "Saltport"), (1, "city", 13, "Saltport"), (2, "city", 12, "Tarn"), (3, "city", 22, "Old Harbour"), (4, "region", 11, "Nowhere Land")],
+                                  "id int, entity_type string, entity_id int, name string")
+    want = {"mellin": 12, "SALTPORT": 13, "tarn": 21, " Old Harbour": 22, "Nowhere Land": None, "harrow": None}
+    asked = spark.createDataFrame([(q,) for q in want], "query string")
+    assert {r["query"]: r.city_id for r in gazetteer.find_city(asked, cities, names).collect()} == want
+    for prefix, limit, hits in (("me", 5, [12, 13]), ("s", 5, [13, 11]), ("Tar", 5, [12, 21]), ("tar", 1, [21]), ("old h", 5, [22]), ("nowhere", 5, [])):
+        found = gazetteer.search_cities(spark.createDataFrame([(prefix,)], "query string"), cities, names, limit).collect()
+        assert [r.city_id for r in sorted(found, key=lambda r: (-r.population, r.name, r.city_id))] == hits, prefix
+    countries = spark.createDataFrame([(4, "QH", "Halmere", -10.0, 10.0, 0.0, 30.0)], "id int, iso_code string, name string, min_lat double, min_lon double, max_lat double, max_lon double")
+    regions = spark.createDataFrame([(9, 4, "Coast", -10.0, 10.0, -5.0, 30.0)], "id int, country_id int, name string, min_lat double, min_lon double, max_lat double, max_lon double")
     marks = {r.id: r for r in publish.build_markers(countries, regions, cities, "n:", city_limit=1).collect()}
-    assert set(marks) == {"n:country/1", "n:region/1", "n:capital/3", "n:capital/7", "n:city/1"}
-    assert marks["n:capital/3"].detail == "Capital of Quadria -- population 100,000"
-    assert gazetteer.country_anchor(countries, cities).first().lat == 1.0  # of two equally large capitals the first by name
-    assert publish.build_markers(countries, regions, cities, "n:").count() == 6  # no limit unless asked for
+    assert set(marks) == {"n:country/4", "n:region/9", "n:capital/21", "n:capital/22", "n:city/12"}
+    assert marks["n:capital/21"].detail == "Capital of Halmere -- population 40,000"
+    assert gazetteer.country_anchor(countries, cities).first().lat == -4.0  # of two equally large capitals the first by name
+    assert publish.build_markers(countries, regions, cities, "n:").count() == 7  # no limit unless asked for
 
 
 def test_simplified_ring_keeps_its_corners():
