@@ -96,6 +96,8 @@ class WordBpe:
         model = json.loads(self.library.to_str())
         vocab = model["model"]["vocab"]
         self.special = [t["content"] for t in model["added_tokens"]]
+        self.special_rule = re.compile(f"({'|'.join(map(re.escape, self.special))})" if self.special else "(?!)")
+        self._begun: dict[tuple[str, str], list[int]] = {}
         self.ends_word = np.zeros(max([*vocab.values(), *(t["id"] for t in model["added_tokens"])]) + 1, bool)
         byte_of = {c: b for b, c in enumerate(_byte_letters())}
         self.tree: list = [{}, -1, -1]  # by byte: the next node; the token that ends here inside a word, and at its end
@@ -248,14 +250,24 @@ class WordBpe:
 
     def _strange(self, chunk: str) -> list[int]:
         """Prefix counts of a chunk in NFC with any characters, special strings included."""
-        for special in self.special:
-            at = chunk.find(special)
-            if at >= 0:
-                head = self._strange(chunk[:at]) if at else []
-                inside = [len(self.library.encode(chunk[:at + k], add_special_tokens=False).ids) for k in range(1, len(special))]
-                whole = (head[-1] if head else 0) + 1
-                rest = chunk[at + len(special):]
-                return [*head, *inside, whole, *(whole + c for c in (self._strange(rest) if rest else []))]
+        counts: list[int] = []
+        done, head = 0, ""
+        for part in self.special_rule.split(chunk):
+            if part in self.special:
+                begun = self._begun.get((head, part))
+                if begun is None:
+                    begun = [len(self.library.encode(head + part[:k], add_special_tokens=False).ids) for k in range(1, len(part))]
+                    if not head:
+                        self._begun[head, part] = begun
+                own = counts[-1] - done if head else 0
+                counts += [*(done + c for c in begun), done + own + 1]
+                done, head = done + own + 1, ""
+            elif part:
+                counts += [done + c for c in self._between_specials(part)]
+                head = part
+        return counts
+
+    def _between_specials(self, chunk: str) -> list[int]:
         lowered = [c.lower() for c in chunk]
         text = "".join(lowered)
         if self.library.normalizer.normalize_str(chunk) != text:  # another Unicode version, or white space beyond ASCII

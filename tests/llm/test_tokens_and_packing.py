@@ -46,6 +46,13 @@ def test_forgetting_chunks_changes_nothing(library, monkeypatch):
             assert counter.prefix_counts(text)[-1] == len(library.encode(text, add_special_tokens=False).ids)
 
 
+def test_many_special_strings_in_a_row(library):
+    counter = WordBpe(PATH)
+    text = "a<|endoftext|>" + "<|endoftext|>" * 20_000 + "b"
+    got = counter.prefix_counts(text)
+    assert got[-1] == 20_003 and got[13] == 2 and len(got) == len(text)
+
+
 def test_token_counts_of_documents(spark, library):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(99, None), (None, "no id"), (0, ODD[0])]
     docs = documents(spark, rows).withColumn("n_bytes", F.lit("clash"))
