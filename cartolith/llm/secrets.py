@@ -131,6 +131,7 @@ def trigram_query(pattern: str) -> frozenset:
 _OPEN, _VALUE, _CLOSE, _RENAMED = "\ue000", "\ue001", "\ue002", "\ue003" * 3
 
 
+_SPAN = "struct<start:int,rank:int,kind:string,end:int,value:int>"
 _DIGEST, _CANDIDATE, _CLEAN = "__secret_digest", "__secret_rules", "__secret_text"
 
 
@@ -155,30 +156,52 @@ def candidates(index: DataFrame, queries: dict[str, frozenset]) -> DataFrame:
     return met.groupBy("digest").agg(F.collect_set("rule").alias("rules"))
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with value worked out once per row however often the result mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _lots(items: Column, size: int = 512) -> Column:
+    """The array cut into arrays of at most ``size``; appending to those one by one copies little."""
+    lots = F.transform(F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(size)), lambda i: F.slice(items, i, size))
+    return F.filter(lots, lambda lot: F.size(lot) > 0)
+
+
+def _walked(items: Column, move, emit, kind: str) -> Column:
+    """All of the arrays emit(at, item), joined; at starts from 0 and becomes move(at, item). Time is linear in the items."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def starts(lots: Column) -> Column:
+        return F.aggregate(lots, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), lambda s, lot: F.struct(
+            F.aggregate(lot, s["at"], move).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")), lambda s: s["starts"])
+
+    def walk(lot: Column, at: Column) -> Column:
+        return F.aggregate(lot, F.struct(at.alias("at"), none.alias("found")), lambda s, m: F.struct(
+            move(s["at"], m).alias("at"), F.concat(s["found"], emit(s["at"], m)).alias("found")), lambda s: s["found"])
+
+    return _bound(_lots(items), lambda lots: F.flatten(F.zip_with(lots, starts(lots), walk)))
+
+
 def _matches(rule: Rule, text: Column) -> Column:
     """Every match as (before, head, value): characters since the last match's end, of the part before the value, of the value."""
     parts = F.split(F.regexp_replace(text, rule.pattern, f"{_OPEN}$1{_VALUE}$2{_CLOSE}"), f"[{_OPEN}{_CLOSE}]", -1)
     # before, match, before, match, ..., rest
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(parts) - 3, F.lit(0)), F.lit(2)), lambda i: F.struct(
-        F.length(F.get(parts, i)).alias("before"),
-        (F.locate(_VALUE, F.get(parts, i + 1)) - 1).alias("head"),
-        (F.length(F.get(parts, i + 1)) - F.locate(_VALUE, F.get(parts, i + 1))).alias("value")))
+    return _bound(parts, lambda p: F.transform(F.sequence(F.lit(0), F.greatest(F.size(p) - 3, F.lit(0)), F.lit(2)), lambda i: F.struct(
+        F.length(F.get(p, i)).alias("before"),
+        (F.locate(_VALUE, F.get(p, i + 1)) - 1).alias("head"),
+        (F.length(F.get(p, i + 1)) - F.locate(_VALUE, F.get(p, i + 1))).alias("value"))))
 
 
 def _spans(rule: Rule, rank: int, text: Column) -> Column:
     """Array of (start, rank, kind, end, value_start) of the matches that are long enough; ends exclusive, in code points."""
-    walked = F.aggregate(
-        _matches(rule, text),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,value:int>>").alias("found")),
-        lambda s, m: F.struct(
-            (s["at"] + m["before"] + m["head"] + m["value"]).alias("at"),
-            F.when((m["value"] >= rule.least_value) & (m["head"] + m["value"] >= rule.least_length),
-                   F.concat(s["found"], F.array(F.struct(
-                       (s["at"] + m["before"]).alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"),
-                       (s["at"] + m["before"] + m["head"] + m["value"]).alias("end"), (s["at"] + m["before"] + m["head"]).alias("value")))))
-            .otherwise(s["found"]).alias("found")),
-        lambda s: s["found"])
-    return F.when(F.regexp_like(text, F.lit(rule.pattern)), walked)
+    def emit(at: Column, m: Column) -> Column:
+        span = F.struct((at + m["before"]).alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"),
+                        (at + m["before"] + m["head"] + m["value"]).alias("end"), (at + m["before"] + m["head"]).alias("value"))
+        return F.when((m["value"] >= rule.least_value) & (m["head"] + m["value"] >= rule.least_length), F.array(span)).otherwise(
+            F.array().cast(f"array<{_SPAN}>"))
+
+    spans = _bound(_matches(rule, text), lambda found: _walked(found, lambda at, m: at + m["before"] + m["head"] + m["value"], emit, _SPAN))
+    return F.when(F.regexp_like(text, F.lit(rule.pattern)), spans)
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_column: str = "text") -> DataFrame:
@@ -207,7 +230,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_column:
         own = _spans(rule, rank, F.col(_CLEAN))
         if rule.kind in asked:
             own = F.when(F.array_contains(_CANDIDATE, rule.kind), own)
-        spans.append(F.coalesce(own, F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,value:int>>")))
+        spans.append(F.coalesce(own, F.array().cast(f"array<{_SPAN}>")))
     return keyed.withColumn("secret_spans", F.sort_array(F.flatten(F.array(*spans)))).drop(_DIGEST, _CANDIDATE, _CLEAN)
 
 
@@ -223,13 +246,19 @@ def count_of(kind: str, spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
     """The text with the secret part of every span replaced; overlapping spans are replaced together."""
-    walked = F.aggregate(
-        spans, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")),
-        lambda s, m: F.struct(
-            F.greatest(s["at"], m["end"]).alias("at"),
-            F.when(m["value"] >= s["at"], F.concat(s["parts"], F.array(F.substring(text, s["at"] + 1, m["value"] - s["at"]), F.lit(mark))))
-            .otherwise(s["parts"]).alias("parts")))
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(walked["parts"], ""), F.substring(text, walked["at"] + 1, F.length(text)))).otherwise(text)
+    # stretches of text to keep, each of which a mark follows
+    keeps = _walked(spans, lambda at, m: F.greatest(at, m["end"]), lambda at, m: F.when(
+        m["value"] >= at, F.array(F.struct(at.alias("at"), m["value"].alias("to")))).otherwise(F.array().cast("array<struct<at:int,to:int>>")),
+        "struct<at:int,to:int>")
+
+    def cut(lot: Column) -> Column:  # positions are counted from the start of a string, so a lot's part of the text comes first
+        first = F.get(lot, F.lit(0))["at"]
+        part = F.substring(text, first + 1, F.get(lot, F.size(lot) - 1)["to"] - first)
+        return _bound(part, lambda own: F.array_join(F.transform(lot, lambda k: F.concat(F.substring(own, k["at"] - first + 1, k["to"] - k["at"]), F.lit(mark))), ""))
+
+    kept = _bound(keeps, lambda k: F.array_join(F.transform(_lots(k), cut), ""))
+    last = F.array_max(F.transform(spans, lambda m: m["end"]))
+    return F.when(F.size(spans) > 0, F.concat(kept, F.substring(text, last + 1, F.length(text)))).otherwise(text)
 
 
 def op5_secret_scans(spark, sf_dir: str) -> DataFrame:

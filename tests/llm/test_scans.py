@@ -4,6 +4,7 @@ import datetime
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -76,6 +77,18 @@ def test_added_rules_and_redaction(spark):
     assert row.c == "x ghp_[secret] url https://me:[secret]@host end"
 
 
+def test_very_many_secrets_in_one_text(spark):
+    line = "é token=abcdef{:06d} and api_key: '{:08d}'\n"
+    texts = ["".join(line.format(i, i) for i in range(n)) + "end" for n in (50_000, 512, 256, 513)]
+    began = time.monotonic()
+    rows = secrets.find_secrets(documents(spark, list(enumerate(texts)))).select(
+        "text", secrets.joined(F.col("secret_spans")).alias("s"), secrets.redacted(F.col("text"), F.col("secret_spans")).alias("c")).collect()
+    assert time.monotonic() - began < 60
+    for r in rows:
+        assert r.s == brute_base(r.text)
+        assert r.c == re.sub(r"(token=|api_key: ')[a-z0-9]+", r"\1[secret]", r.text)
+
+
 def day(n, hour=0):
     return datetime.datetime(2024, 1, n, hour)
 
