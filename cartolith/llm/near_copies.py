@@ -1,6 +1,8 @@
-"""Near copies of texts: MinHash bands find candidates, word shingles decide.
+"""Near copies of texts: SimHash groups and MinHash bands find candidates, word shingles decide.
 
-A text is the set of its five-word shingles. Texts that agree in some band of MinHash values are candidates, and a text goes
+A text is the set of its five-word shingles. Texts of a group of linked SimHash fingerprints (deletion variants, see
+``simhash``) are candidates with the group's first text, and so, as few bits of 64 do not reach down to the threshold, are
+texts that agree in some band of MinHash values. A text goes
 only if its Jaccard similarity with one that stays is at least the threshold: in the order of their ids, each text stays
 unless a smaller one that stays is that similar. Removals are never passed on along chains.
 """
@@ -15,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from cartolith.llm import simhash
 from cartolith.session import materialise
 
 SEED = 42
@@ -95,6 +98,15 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             .where(F.col("shared") >= threshold * (F.col("sizes") - F.col("shared"))).select("node", "other"))
 
 
+def fingerprint_meets(rows: DataFrame, nodes: DataFrame, words: int, text_column: str = "text", max_bits: int = 4) -> DataFrame:
+    """(key, rank): every node of a group of linked SimHash fingerprints paired with the group's first, a key for each pair."""
+    groups = simhash.simhash_groups(rows, max_bits, words, id_column=_NODE, text_column=text_column)
+    member = groups.select("component_id", F.col("id").alias(_NODE)).distinct().join(nodes.select(_NODE, "rank"), _NODE)
+    first = member.groupBy("component_id").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1")
+    pairs = member.join(first, "component_id").where("rank <> first").select(F.xxhash64(F.lit("fingerprints"), "component_id", _NODE).alias("key"), "rank", "first")
+    return pairs.select("key", F.explode(F.array("rank", "first")).alias("rank"))
+
+
 def _settle(meets: DataFrame, similar, name: str, rounds: int | None):
     """(removed, rest): greedy choice along groups (key, rank) of which only the smallest rank is compared in a round.
 
@@ -123,8 +135,9 @@ def without_near_copies(docs: DataFrame, words: int = 5, threshold: float = 0.8,
     """Rows of docs, one per set of shingles, without those similar to a smaller row that stays.
 
     * rows are ordered by id, rows without an id last; of equal shingle sets the row of the smallest id stays
-    * every row that goes has a similarity of at least ``threshold`` with one that stays; candidates come from MinHash
-      bands, so a similar pair is missed with a probability that falls with its similarity (0.0005 at 0.8)
+    * every row that goes has a similarity of at least ``threshold`` with one that stays; candidates come from ``simhash``
+      groups and MinHash bands, so a similar pair is missed with a probability that falls with its similarity (0.0005
+      at 0.8)
     * null and empty texts and texts of white space are one set; an empty table gives an empty result
 
     Groups are first compared with their smallest row only, which settles groups of copies however large. What ``rounds``
@@ -134,7 +147,7 @@ def without_near_copies(docs: DataFrame, words: int = 5, threshold: float = 0.8,
     rows = materialise(_signed(docs, words, text_column), "copies-rows")
     who = F.struct(F.col(id_column).isNull().alias("nameless"), F.col(id_column).cast("long").alias("id"), F.col(_NODE).alias("node"))
     nodes = materialise(rows.groupBy(_NODE).agg(F.min(who).alias("rank"), F.first(_KEYS).alias("keys")), "copies-nodes")
-    meets = nodes.select(F.explode("keys").alias("key"), "rank")
+    meets = nodes.select(F.explode("keys").alias("key"), "rank").unionByName(fingerprint_meets(rows, nodes, words, text_column))
     several = meets.groupBy("key").count().where("count > 1").select("key")
     meets = materialise(meets.join(several, "key", "left_semi"), "copies-meets")
     texts = (rows.join(meets.select(F.col("rank.node").alias(_NODE)).distinct(), _NODE, "left_semi").select(_NODE, text_column)

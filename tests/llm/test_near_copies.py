@@ -4,10 +4,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cartolith.llm import near_copies
-from tests.llm.helpers import SMALL, documents
+from cartolith.llm import near_copies, simhash
+from tests.llm.helpers import SMALL, components, documents
 
 
 def similarity(a, b):
@@ -60,6 +61,23 @@ def test_chains_do_not_pass_on_removals(spark, rounds):
     assert got.count(None) == 1
 
 
+def test_fingerprint_groups_pair_their_members_with_the_first(spark):
+    rng = random.Random(6)
+    base = ["w%d" % i for i in range(2000)]
+    rows = [(9 - i, " ".join(edited(base, at, rng))) for i, at in enumerate([[], [40], [900], [40, 1500]])] + [(3, "quite another text of some words"), (4, None)]
+    docs = documents(spark, rows)
+    signed = near_copies._signed(docs, 5, "text")
+    ids = signed.select("__copy_node", "doc_id").withColumnRenamed("doc_id", "id")
+    nodes = ids.groupBy("__copy_node").agg(F.min("id").alias("id")).select("__copy_node", F.struct("id", F.col("__copy_node").alias("node")).alias("rank"))
+    met = {}
+    for r in near_copies.fingerprint_meets(signed, nodes, 5).collect():
+        met.setdefault(r.key, set()).add(r.rank.id)
+    prints = {i: simhash.fingerprint(t, 5) for i, t in rows}
+    groups = components(list(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 4)
+    want = sorted({first, i} for i, first in groups.items() if i != first)
+    assert sorted(map(sorted, met.values())) == sorted(map(sorted, want)) and len(want) == 3
+
+
 def test_bands_meet_at_the_threshold():
     rng = np.random.default_rng(1)
     met = 0
