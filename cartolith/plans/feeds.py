@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from cartolith.functions.coords import Grid
 from cartolith.params import TerrainParams
 from cartolith.plans.derived import LAT, LON, Tables, with_tables
+from cartolith.plans.geodesic_sql import geodesic_tables, recursive
 from cartolith.plans.registry import registered
 from cartolith.session import shared_folder
 from cartolith.streaming import health, ledger, towns
@@ -64,6 +65,35 @@ def town_backfill(t: Tables) -> DataFrame:
     return _town_rows(towns.current(t.spark, target))
 
 
+_LIVE = with_tables("positions") + """, last AS (SELECT user_id AS k, arg_max(struct_pack(lat := lat, lon := lon, gone := event_type = 'error'), struct_pack(t := ts, d := event_type = 'error')) AS v FROM positions GROUP BY user_id),
+live AS (SELECT k, v.lat AS lat, v.lon AS lon FROM last WHERE NOT v.gone)"""
+
+
+@registered("town_distances", recursive(_LIVE + f""", asked AS (SELECT DISTINCT user_id AS a, event_id * 31 % 1009 AS b FROM events),
+{geodesic_tables("SELECT a * 100000 + b AS pid, p.lat AS lat1, p.lon AS lon1, q.lat AS lat2, q.lon AS lon2 FROM asked JOIN live p ON p.k = a JOIN live q ON q.k = b")}
+SELECT concat('town-', cast(a AS varchar)) AS a, concat('town-', cast(b AS varchar)) AS b, round(meters, 3) + 0e0 AS meters FROM asked LEFT JOIN geodesic ON pid = a * 100000 + b"""))
+def town_distances(t: Tables) -> DataFrame:
+    """Distances between towns as they stand; towns that are gone, or never were, have none."""
+    path = _folder(t, "towns")
+    towns.backfill(_town_events(_events(t)), path, 0, t.country_shapes, t.region_shapes, None)
+    named = [F.concat(F.lit("town-"), k.cast("string")).alias(c) for k, c in ((F.col("user_id"), "a"), (F.col("event_id") * 31 % 1009, "b"))]
+    found = towns.distances(t.base("events").select(*named).distinct(), towns.current(t.spark, path))
+    return found.select("a", "b", (F.round("meters", 3) + 0.0).alias("meters"))
+
+
+@registered("town_distance_to_point", recursive(_LIVE + f""",
+{geodesic_tables("SELECT event_id AS pid, l.lat AS lat1, l.lon AS lon1, p.lon / 2 AS lat2, p.lat * 2 AS lon2 FROM positions p JOIN live l ON l.k = p.user_id")}
+SELECT p.event_id, round(meters, 3) + 0e0 AS meters FROM positions p LEFT JOIN geodesic g ON g.pid = p.event_id"""))
+def town_distance_to_point(t: Tables) -> DataFrame:
+    """Distance of every user's town as it stands to a position of the event."""
+    path = _folder(t, "towns")
+    towns.backfill(_town_events(_events(t)), path, 0, t.country_shapes, t.region_shapes, None)
+    there = _events(t).select("event_id", F.concat(F.lit("town-"), F.col("user_id").cast("string")).alias("town"),
+                              F.expr(f"({LON.format(k='event_id * 3')}) / 2").alias("lat"), F.expr(f"({LAT.format(k='event_id * 3')}) * 2").alias("lon"))
+    found = towns.distances_to(there, towns.current(t.spark, path))
+    return found.select("event_id", (F.round("meters", 3) + 0.0).alias("meters"))
+
+
 @registered("edge_guard", """
 SELECT event_id, CASE WHEN NOT inside THEN greatest(least(x, 20036.5e0), -20036.5e0) ELSE x END AS x, CASE WHEN NOT inside THEN greatest(least(z, 10017.5e0), -10017.5e0) ELSE z END AS z, NOT inside AS moved FROM (
  SELECT *, x >= -20037e0 AND x < 20037e0 AND z >= -10018e0 AND z < 10018e0 AS inside FROM (SELECT event_id, (event_id * 7919 % 60000) - 30000e0 AS x, (event_id * 104729 % 30000) - 15000e0 AS z FROM events))""")

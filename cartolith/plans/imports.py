@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cartolith.operators.shapes import ring_area
 from cartolith.plans.derived import Tables, with_tables
 from cartolith.plans.registry import registered
-from cartolith.sources import rasters, vectors
+from cartolith.sources import importers, rasters, vectors
 from cartolith.functions.coords import tile_stem
 
 
@@ -198,3 +199,77 @@ def read_geonames(t: Tables) -> DataFrame:
 @registered("tile_inventory", with_tables("samples") + f"SELECT 'dem' AS dataset, lat_deg, lon_deg, 9 AS width, 9 AS height, 'int16' AS encoding, 226::bigint AS bytes FROM dem_cells WHERE {_STATUS} = 'ok'")
 def tile_inventory(t: Tables) -> DataFrame:
     return rasters.tile_inventory(rasters.decode_dem_tiles(_dem_files(t)), "dem").select("dataset", "lat_deg", "lon_deg", "width", "height", "encoding", "bytes")
+
+
+def _collection(t: Tables, table: str, file: str, key: str, props: Column, kind: Column, coordinates: Column) -> DataFrame:
+    feature = F.struct(F.lit("Feature").alias("type"), props.alias("properties"), F.struct(kind.alias("type"), coordinates.alias("coordinates")).alias("geometry"))
+    return vectors.decode_features(t.base(table).select(F.lit(file).alias("file"), F.col(key).alias("ordinal"), feature.alias("feature")))
+
+
+def _karst_features(t: Tables) -> DataFrame:
+    """Areas of one part and of two, a line, an open ring and one beyond the pole."""
+    k, d = F.col("p_partkey"), F.col("p_partkey") % 6
+    x, y = k % 300 - 150, k % 140 - 70
+    ring, beyond = _ring_text(x, y, d != 3), _ring_text(x, y + 200, F.lit(True))
+    coordinates = (F.when(d == 1, F.concat(F.lit("[["), ring, F.lit("],["), _ring_text(x + 10, y, F.lit(True)), F.lit("]]"))).when(d == 2, ring)
+                   .when(d == 4, F.concat(F.lit("["), beyond, F.lit("]"))).otherwise(F.concat(F.lit("["), ring, F.lit("]"))))
+    kind = F.when(d == 1, "MultiPolygon").when(d == 2, "LineString").otherwise("Polygon")
+    return _collection(t, "part", "karst", "p_partkey", F.create_map(F.lit("rock"), F.lit("limestone")), kind, coordinates)
+
+
+_KARST = """WITH f AS (SELECT p_partkey AS k, p_partkey % 6 AS d, p_partkey % 300 - 150 AS x, p_partkey % 140 - 70 AS y FROM part),
+p AS (SELECT k, d, y, unnest(CASE WHEN d = 1 THEN [x, x + 10] ELSE [x] END) AS x FROM f WHERE d IN (0, 1, 5))"""
+
+
+def _karst_rows(rows: DataFrame) -> DataFrame:
+    areas = F.aggregate(F.transform("rings", ring_area), F.lit(0.0), lambda a, v: a + F.abs(v))
+    return importers.rows_for("karst_areas", rows.where("reject_reason IS NULL")).select("id", "min_lat", "min_lon", "max_lat", "max_lon", areas.alias("ring_areas"))
+
+
+@registered("import_karst_features", _KARST + """
+SELECT cast(row_number() OVER (ORDER BY k) AS bigint) AS id, min(y) + 0e0 AS min_lat, min(x) + 0e0 AS min_lon, min(y) + 1e0 AS max_lat, max(x) + 2e0 AS max_lon, count(*) * 2e0 AS ring_areas FROM p GROUP BY k""")
+def import_karst_features(t: Tables) -> DataFrame:
+    return _karst_rows(importers.karst_features(_karst_features(t)))
+
+
+@registered("import_karst_features_clipped", _KARST + """
+SELECT cast(row_number() OVER (ORDER BY k) AS bigint) AS id, min(y) + 0e0 AS min_lat, min(greatest(x, 0)) + 0e0 AS min_lon, min(y) + 1e0 AS max_lat, max(least(x + 2, 51)) + 0e0 AS max_lon,
+ sum(least(x + 2, 51) - greatest(x, 0)) + 0e0 AS ring_areas FROM p WHERE x < 51 AND x + 2 > 0 AND y >= 0 AND y < 40 GROUP BY k""")
+def import_karst_features_clipped(t: Tables) -> DataFrame:
+    return _karst_rows(importers.karst_features(_karst_features(t), (0.0, 0.0, 40.0, 51.0)))
+
+
+@registered("import_karst_features_rejects", """
+SELECT CASE p_partkey % 6 WHEN 2 THEN 'not an area' WHEN 3 THEN 'open or short ring' ELSE 'invalid position' END AS reason, count(*) AS features FROM part WHERE p_partkey % 6 IN (2, 3, 4) GROUP BY 1""")
+def import_karst_features_rejects(t: Tables) -> DataFrame:
+    rows = importers.karst_features(_karst_features(t)).where("reject_reason IS NOT NULL")
+    return rows.groupBy(F.col("reject_reason").alias("reason")).agg(F.count("*").alias("features"))
+
+
+_ENTRANCES = """WITH e AS (SELECT c_custkey AS k, c_custkey % 360 - 180 AS lon, c_custkey % 181 - 90 AS lat, CASE WHEN c_custkey % 3 > 0 THEN c_name WHEN c_custkey % 9 = 0 THEN ' ' END AS name FROM customer
+ WHERE c_custkey % 4 > 0 AND c_custkey % 7 > 0 AND c_custkey % 11 > 0 AND c_custkey % 13 > 0)"""
+
+
+def _entrances(t: Tables) -> DataFrame:
+    """Entrances by customer, among peaks, lines, points beyond the pole and points of one number."""
+    k = F.col("c_custkey")
+    lon, lat = k % 360 - 180, F.when(k % 11 == 0, 95).otherwise(k % 181 - 90)
+    spot = F.format_string("[%d,%d]", lon.cast("int"), lat.cast("int"))
+    name = F.when(k % 3 > 0, F.col("c_name")).when(k % 9 == 0, " ")
+    props = F.map_filter(F.create_map(F.lit("natural"), F.when(k % 4 > 0, "cave_entrance").otherwise("peak"), F.lit("name"), name), lambda _, v: v.isNotNull())
+    line = k % 7 == 0
+    return _collection(t, "customer", "entrances", "c_custkey", props, F.when(line, "LineString").otherwise("Point"),
+                       F.when(line, F.concat(F.lit("["), spot, F.lit(","), spot, F.lit("]"))).when(k % 13 == 0, "[5]").otherwise(spot))
+
+
+@registered("import_entrances", _ENTRANCES + """
+SELECT cast(row_number() OVER (ORDER BY k) AS bigint) AS id, cast(lat AS double) AS latitude, cast(lon AS double) AS longitude, name FROM e""")
+def import_entrances(t: Tables) -> DataFrame:
+    return importers.rows_for("cave_entrances", importers.cave_entrances(_entrances(t)).where("reject_reason IS NULL"))
+
+
+@registered("import_entrances_clipped", _ENTRANCES + """
+SELECT cast(row_number() OVER (ORDER BY k) AS bigint) AS id, cast(lat AS double) AS latitude, cast(lon AS double) AS longitude, name FROM e WHERE lat BETWEEN -20 AND 35 AND lon BETWEEN -100 AND 20""")
+def import_entrances_clipped(t: Tables) -> DataFrame:
+    rows = importers.cave_entrances(_entrances(t), (-20.0, -100.0, 35.0, 20.0)).where("reject_reason IS NULL")
+    return importers.rows_for("cave_entrances", rows)

@@ -10,6 +10,7 @@ from cartolith.operators.shapes import ShapeSet, area_set, build_shape_index
 from cartolith.operators.water import river_lines, water_column_at, water_shapes
 from cartolith.params import TerrainParams
 from cartolith.plans.derived import DEM_SIDE, Tables, with_tables
+from cartolith.plans.geodesic_sql import geodesic_tables, recursive
 from cartolith.plans.registry import registered
 from cartolith.plans.terrain import whereami
 
@@ -215,9 +216,11 @@ def whereami_query(t: Tables) -> DataFrame:
                         F.col("region.id").alias("region_id"), F.col("city.id").alias("city_id"), "city_direction")
 
 
-@registered("whereami_distance")
+@registered("whereami_distance", recursive(with_tables("points", "cities") + f""", {_NEAREST}, {geodesic_tables(
+    "SELECT p.id AS pid, p.lat AS lat1, p.lon AS lon1, c.lat AS lat2, c.lon AS lon2 FROM points p JOIN nearest n ON n.pid = p.id JOIN cities c ON c.id = n.city_id")}
+SELECT p.id, round(g.meters, 3) + 0e0 AS city_meters FROM points p LEFT JOIN geodesic g ON g.pid = p.id"""))
 def whereami_distance(t: Tables) -> DataFrame:
-    """Ellipsoidal distance to the nearest city; no SQL form exists."""
+    """Ellipsoidal distance to the nearest city."""
     found = whereami(t.points, None, None, t.city_index, None, ["id"])
     return found.select("id", F.round("city_meters", 3).alias("city_meters"))
 
@@ -234,9 +237,16 @@ def distance_to(t: Tables) -> DataFrame:
     return home.join(seat, "country_id").select("id", "city_id", (F.round(sphere / 1000.0, 3) + 0.0).alias("sphere_km"))
 
 
-@registered("vincenty_to_capital")
+@registered("vincenty_to_capital", recursive(with_tables("points", "cities") + f""", {geodesic_tables("""
+ SELECT p.id AS pid, p.lat AS lat1, p.lon AS lon1, c.lat AS lat2, c.lon AS lon2
+ FROM customer k JOIN points p ON p.id = k.c_custkey JOIN cities c ON c.country_id = k.c_nationkey AND c.capital""")},
+aimed AS (SELECT pid, (degrees(atan2(sin(radians(lon2 - lon1)) * cos(radians(lat2)),
+ cos(radians(lat1)) * sin(radians(lat2)) - sin(radians(lat1)) * cos(radians(lat2)) * cos(radians(lon2 - lon1)))) + 360) % 360 AS b FROM pairs)
+SELECT a.pid AS id, round(g.meters, 3) + 0e0 AS meters, round(a.b, 6) + 0e0 AS bearing,
+ ['N','NNE','NE','ENE','E','ESE','SE','SSE','S','SSW','SW','WSW','W','WNW','NW','NNW'][cast(floor(a.b / 22.5 + 0.5) AS int) % 16 + 1] AS direction
+FROM aimed a JOIN geodesic g ON g.pid = a.pid"""))
 def vincenty_to_capital(t: Tables) -> DataFrame:
-    """Ellipsoidal distance, bearing and direction; the iteration has no SQL form."""
+    """Ellipsoidal distance, bearing and direction."""
     home = t.points.join(t.base("customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("country_id")), "id")
     seat = t.cities.filter("capital").select("country_id", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
     pair = home.join(seat, "country_id")

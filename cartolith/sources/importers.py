@@ -1,4 +1,4 @@
-"""Shapefile records as rows of the vector store, and the store itself."""
+"""Shapefile records and collection features as rows of the vector store, and the store itself."""
 
 from __future__ import annotations
 
@@ -82,6 +82,38 @@ def karst(records: DataFrame, box: Box | None = None) -> DataFrame:
     return _with_box(rows).select("file", "ordinal", strict.isNotNull().alias("strict"), reason.alias("reject_reason"), "min_lat", "min_lon", "max_lat", "max_lon", "rings")
 
 
+def karst_features(features: DataFrame, box: Box | None = None) -> DataFrame:
+    """Karst areas of decoded collection features, with a reject_reason where one is not used.
+
+    * features that are no polygons, and those whose geometry could not be used, are left out; none of them is ``strict``
+    * with ``box`` (south, west, north, east) areas are cut to it, and what has no area inside is left out
+    """
+    area = F.coalesce(F.col("geometry_type").isin("Polygon", "MultiPolygon"), F.lit(False))
+    bad = F.when(~area, "not an area").otherwise(F.col("reject_reason"))
+    rows = features.select("file", "ordinal", bad.alias("bad"), F.when(bad.isNull(), F.col("rings")).alias("rings"))
+    rows = rows.withColumn("rings", F.coalesce("rings", F.array().cast(features.schema["rings"].dataType)))
+    if box:
+        rows = rows.withColumn("rings", clip_rings(F.col("rings"), box))
+    whole = F.aggregate(F.transform("rings", ring_area), F.lit(0.0), lambda a, v: a + F.abs(v))
+    reason = F.coalesce("bad", F.when(whole == 0.0, "outside the box" if box else "zero area"))
+    return _with_box(rows).select("file", "ordinal", F.lit(False).alias("strict"), reason.alias("reject_reason"), "min_lat", "min_lon", "max_lat", "max_lon", "rings")
+
+
+def cave_entrances(features: DataFrame, box: Box | None = None) -> DataFrame:
+    """Cave entrances of decoded collection features, with a reject_reason where one is not used.
+
+    An entrance is a point tagged natural=cave_entrance; its name stays as it is. The edge of ``box`` belongs to it.
+    """
+    tagged = F.coalesce(F.try_element_at("properties", F.lit("natural")) == "cave_entrance", F.lit(False))
+    reason = (F.when(~tagged, "not a cave entrance").when(~F.coalesce(F.col("geometry_type") == "Point", F.lit(False)), "not a point")
+              .otherwise(F.col("reject_reason")))
+    if box:
+        south, west, north, east = box
+        reason = F.coalesce(reason, F.when(~(F.col("lat").between(south, north) & F.col("lon").between(west, east)), "outside the box"))
+    return features.select("file", "ordinal", F.lit(False).alias("strict"), reason.alias("reject_reason"), F.col("lat").alias("latitude"),
+                           F.col("lon").alias("longitude"), F.try_element_at("properties", F.lit("name")).alias("name"))
+
+
 def rows_for(table: str, accepted: DataFrame, numbered: bool = True) -> DataFrame:
     """Accepted rows in the columns and types of a table of the vector store, with ids in source order."""
     schema = accepted.sparkSession.createDataFrame([], VECTOR_SCHEMAS[table]).schema

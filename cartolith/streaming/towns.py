@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cartolith.functions.coords import Extent, Grid
+from cartolith.functions.geodesy import vincenty_m
 from cartolith.operators.raster import elevation_at
 from cartolith.operators.shapes import ShapeIndex, locate
 
@@ -73,6 +74,27 @@ def backfill(towns: DataFrame, path: str, batch_id: int, countries: ShapeIndex,
     save_batch(enrich(newest(chosen), countries, regions, dem, [KEY]), batch_id, path)
 
 
+def distances(pairs: DataFrame, table: DataFrame, a: str = "a", b: str = "b", out: str = "meters") -> DataFrame:
+    """pairs of town keys with the ellipsoidal distance in metres; null where a town is not in the table now.
+
+    ``table`` has one row per town, as :func:`current` gives it. Each way of a pair is worked out once, however often it is asked.
+    """
+    spot = table.select(F.col(KEY).alias("_k"), F.struct("latitude", "longitude").alias("_at"))
+    asked = pairs.select(F.least(a, b).alias("_a"), F.greatest(a, b).alias("_b")).where(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct()
+    first, second = (spot.select(F.col("_k").alias(k), F.col("_at").alias(at)) for k, at in (("_a", "_p"), ("_b", "_q")))
+    known = asked.join(first, "_a").join(second, "_b").select(
+        "_a", "_b", vincenty_m(F.col("_p.latitude"), F.col("_p.longitude"), F.col("_q.latitude"), F.col("_q.longitude")).alias(out))
+    keyed = pairs.drop(out).withColumns({"_a": F.when(F.col(b).isNotNull(), F.least(a, b)), "_b": F.when(F.col(a).isNotNull(), F.greatest(a, b))})
+    return keyed.join(known, ["_a", "_b"], "left").drop("_a", "_b")
+
+
+def distances_to(points: DataFrame, table: DataFrame, town: str = "town", lat: str = "lat", lon: str = "lon", out: str = "meters") -> DataFrame:
+    """points with the ellipsoidal distance in metres from a town to a position; null where the town is not in the table now."""
+    spot = table.select(F.col(KEY).alias("_k"), F.struct("latitude", "longitude").alias("_at"))
+    met = points.drop(out).join(spot, F.col(town) == F.col("_k"), "left")
+    return met.withColumn(out, vincenty_m(F.col("_at.latitude"), F.col("_at.longitude"), F.col(lat), F.col(lon))).drop("_k", "_at")
+
+
 def edge_guard(positions: DataFrame, extent: Extent, inset: float = 0.5, x: str = "x", z: str = "z") -> DataFrame:
     """Move positions outside the extent just inside it; works on batches and streams alike."""
     outside = ~extent.contains(F.col(x), F.col(z))

@@ -6,6 +6,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from cartolith.functions.geodesy import vincenty_np
 from cartolith.operators import gazetteer, publish, quality, shaping
 from cartolith.operators.shapes import area_set, build_shape_index
 from cartolith.params import TerrainParams
@@ -199,6 +200,22 @@ def test_upserts_and_tombstones(spark, tmp_path):
     assert {r.town_uuid for r in towns.current(spark, str(tmp_path / "compact")).collect()} == {"b"}
 
 
+def test_distances_between_towns(spark):
+    table = spark.createDataFrame([("a", 10.0, 20.0), ("b", -30.0, 179.5), ("c", -30.0, -179.5), ("far", -10.0, -160.0)], "town_uuid string, latitude double, longitude double")
+    asked = [("a", "b"), ("b", "a"), ("a", "a"), ("b", "c"), ("a", "gone"), (None, "a"), (None, None), ("a", "b"), ("a", "far")]
+    got = towns.distances(spark.createDataFrame([(*p, i) for i, p in enumerate(asked)], "a string, b string, meters int"), table).collect()
+    assert sorted((r.a or "", r.b or "") for r in got) == sorted((a or "", b or "") for a, b in asked)
+    at = {(r.a, r.b): r.meters for r in got}
+    assert at["a", "b"] == at["b", "a"] > 1e7 and at["a", "a"] == 0.0
+    assert at["b", "c"] == pytest.approx(float(vincenty_np([-30.0], [179.5], [-30.0], [-179.5])[0])) and at["b", "c"] < 1.1e5
+    assert at["a", "far"] == pytest.approx(20_015_100, rel=1e-4)  # antipodes: the sphere's half turn
+    assert at["a", "gone"] is None and at[None, "a"] is None and at[None, None] is None
+    points = spark.createDataFrame([("a", 10.0, 20.0), ("gone", 1.0, 1.0), (None, 1.0, 1.0), ("b", None, 1.0)], "town string, lat double, lon double")
+    to = {(r.town, r.lat): r.meters for r in towns.distances_to(points, table).collect()}
+    assert to == {("a", 10.0): 0.0, ("gone", 1.0): None, (None, 1.0): None, ("b", None): None}
+    assert towns.distances(spark.createDataFrame([], "a string, b string"), table).count() == 0
+
+
 def test_health_gate(spark):
     rows = [(0, None), (10, None), (40, None), (50, "low-tps"), (60, None), (80, None), (95, None), (7000, None)]
     frame = spark.createDataFrame([("s", t, r) for t, r in rows], "server string, t bigint, reason string").withColumn("ts", F.timestamp_seconds("t"))
