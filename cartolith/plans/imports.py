@@ -273,3 +273,73 @@ SELECT cast(row_number() OVER (ORDER BY k) AS bigint) AS id, cast(lat AS double)
 def import_entrances_clipped(t: Tables) -> DataFrame:
     rows = importers.cave_entrances(_entrances(t), (-20.0, -100.0, 35.0, 20.0)).where("reject_reason IS NULL")
     return importers.rows_for("cave_entrances", rows)
+
+
+def _codes(t: Tables) -> DataFrame:
+    return t.base("nation").select(F.concat(F.lit("C"), F.char(F.lit(65) + F.col("n_nationkey"))).alias("iso_code"), F.col("n_nationkey").cast("int").alias("id"))
+
+
+_CITY_LINES = """WITH k AS (SELECT c_custkey AS k, c_name AS name, CASE WHEN c_custkey % 4 > 0 THEN concat('plain ', cast(c_custkey AS varchar)) END AS ascii_name, c_custkey % 90 + 0e0 AS latitude, c_custkey % 180 + 0e0 AS longitude,
+ cast(c_custkey * 10 AS bigint) AS population, CASE WHEN c_custkey % 29 > 0 THEN cast(c_nationkey AS int) END AS country_id, c_custkey % 5 = 0 AS capital, concat('other ', cast(c_custkey % 7 AS varchar)) AS alias FROM customer
+ WHERE c_custkey % 23 > 0 AND c_custkey % 19 > 0 AND c_custkey % 17 > 0 AND c_custkey % 13 > 0)"""
+
+
+def _cities(t: Tables, box=None) -> DataFrame:
+    """One gazetteer line per customer with its nation's code; some codes are unknown, some lines are comments or broken."""
+    k = F.col("c_custkey")
+    plain, alias = F.when(k % 4 > 0, F.concat(F.lit("plain "), k.cast("string"))).otherwise(" "), F.concat(F.lit("other "), (k % 7).cast("string"))
+    iso = F.when(k % 29 > 0, F.concat(F.lit("C"), F.char(F.lit(65) + F.col("c_nationkey")))).otherwise("zz")
+    fields = [k.cast("string"), F.when(k % 13 > 0, F.col("c_name")).otherwise(" "), plain, F.concat(alias, F.lit(", ,"), F.trim(plain), F.lit(","), alias),
+              F.when(k % 19 > 0, (k % 90).cast("string")).otherwise("north"), (k % 180).cast("string"), F.lit("P"), F.when(k % 5 == 0, "PPLC").otherwise("PPL"), iso,
+              *[F.lit("")] * 5, F.when(k % 17 > 0, (k * 10).cast("string")).otherwise("-5"), *[F.lit("")] * 4]
+    line = F.concat(F.when(k % 23 == 0, "#").otherwise(""), F.concat_ws("\t", *fields))
+    rows = vectors.parse_geonames(t.base("customer").select(F.lit("f").alias("file"), k.alias("ordinal"), line.alias("value")))
+    return importers.cities(rows, _codes(t), box)
+
+
+@registered("import_cities", _CITY_LINES + """
+SELECT cast(row_number() OVER (ORDER BY k) AS int) AS id, name, ascii_name, latitude, longitude, population, country_id, cast(NULL AS int) AS region_id, capital FROM k""")
+def import_cities(t: Tables) -> DataFrame:
+    return importers.numbered_cities(_cities(t).where("reject_reason IS NULL"))[0]
+
+
+@registered("import_city_names", _CITY_LINES + """,
+n AS (SELECT row_number() OVER (ORDER BY k) AS entity_id, ascii_name, alias FROM k),
+a AS (SELECT entity_id, 0 AS place, ascii_name AS name FROM n WHERE ascii_name IS NOT NULL UNION ALL SELECT entity_id, 1, alias FROM n)
+SELECT cast(row_number() OVER (ORDER BY entity_id, place) AS int) AS id, 'city' AS entity_type, cast(entity_id AS int) AS entity_id, name, cast(NULL AS varchar) AS language FROM a""")
+def import_city_names(t: Tables) -> DataFrame:
+    return importers.numbered_cities(_cities(t).where("reject_reason IS NULL"))[1]
+
+
+@registered("import_cities_rejects", """
+WITH k AS (SELECT c_custkey AS k, c_custkey % 90 BETWEEN 10 AND 60 AND c_custkey % 180 BETWEEN 20 AND 120 AS inside FROM customer WHERE c_custkey % 23 > 0),
+r AS (SELECT CASE WHEN k % 19 = 0 THEN 'bad latitude' WHEN NOT inside THEN 'outside the box' WHEN k % 17 = 0 THEN 'bad population' WHEN k % 13 = 0 THEN 'no name' END AS reason FROM k)
+SELECT reason, reason <> 'outside the box' AS strict, count(*) AS rows FROM r WHERE reason IS NOT NULL GROUP BY 1, 2""")
+def import_cities_rejects(t: Tables) -> DataFrame:
+    rows = _cities(t, (10.0, 20.0, 60.0, 120.0)).where("reject_reason IS NOT NULL")
+    return rows.groupBy(F.col("reject_reason").alias("reason"), "strict").agg(F.count("*").alias("rows"))
+
+
+def _regions(t: Tables) -> DataFrame:
+    """A region per supplier, native or published, some of unknown countries, among countries."""
+    k = F.col("s_suppkey")
+    code = F.when(k % 7 > 0, F.concat(F.lit("C"), F.char(F.lit(65) + F.col("s_nationkey")))).otherwise("ZZ")
+    props = (F.when(k % 3 == 0, F.create_map(F.lit("boundary_type"), F.lit("region"), F.lit("name"), F.col("s_name"), F.lit("country_iso_code"), code, F.lit("admin_level"), (k % 4 + 1).cast("string")))
+             .when(k % 3 == 1, F.create_map(F.lit("admin"), F.lit("somewhere"), F.lit("name"), F.col("s_name"), F.lit("iso_a2"), code))
+             .otherwise(F.create_map(F.lit("NAME"), F.col("s_name"), F.lit("ISO_A2"), code)))
+    rows = _collection(t, "supplier", "regions", "s_suppkey", props, F.lit("Polygon"), F.concat(F.lit("["), _ring_text(k % 300 - 150, k % 140 - 70, F.lit(True)), F.lit("]")))
+    return importers.regions(vectors.boundary_identity(rows), _codes(t))
+
+
+@registered("import_regions", """
+SELECT cast(row_number() OVER (ORDER BY s_suppkey) AS int) AS id, cast(s_nationkey AS int) AS country_id, s_name AS name, cast(CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey % 4 + 1 ELSE 1 END AS int) AS admin_level,
+ s_suppkey % 140 - 70e0 AS min_lat, s_suppkey % 300 - 150e0 AS min_lon, s_suppkey % 140 - 69e0 AS max_lat, s_suppkey % 300 - 148e0 AS max_lon FROM supplier WHERE s_suppkey % 3 < 2 AND s_suppkey % 7 > 0""")
+def import_regions(t: Tables) -> DataFrame:
+    return importers.rows_for("regions", _regions(t).where("reject_reason IS NULL")).drop("rings")
+
+
+@registered("import_regions_rejects", """
+SELECT s_suppkey % 3 = 0 AS strict, CASE WHEN s_suppkey % 3 = 0 THEN 'error: unknown country' ELSE 'skipped: unknown country' END AS reason, count(*) AS regions FROM supplier WHERE s_suppkey % 3 < 2 AND s_suppkey % 7 = 0 GROUP BY 1, 2""")
+def import_regions_rejects(t: Tables) -> DataFrame:
+    rows = _regions(t).where("reject_reason IS NOT NULL")
+    return rows.groupBy("strict", F.col("reject_reason").alias("reason")).agg(F.count("*").alias("regions"))

@@ -7,9 +7,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cartolith.functions import water as fw
 from cartolith.functions.text import blank_to_null
 from cartolith.operators.clip import clip_rings
+from cartolith.operators.gazetteer import alternate_names, cities_to_countries, regions_to_countries
 from cartolith.operators.shapes import cut_at_antimeridian, line_center_lat, ring_area, rings_box
 from cartolith.operators.tiles import write_table_if_free
 from cartolith.params import VECTOR_SCHEMAS
+from cartolith.session import materialise
 from cartolith.sources.shapefile import AREA_TYPES, LINE_TYPES
 from cartolith.sources.vectors import MADE_BY_PEOPLE, assign_ids
 
@@ -114,6 +116,51 @@ def cave_entrances(features: DataFrame, box: Box | None = None) -> DataFrame:
                            F.col("lon").alias("longitude"), F.try_element_at("properties", F.lit("name")).alias("name"))
 
 
+def regions(identified: DataFrame, countries: DataFrame, box: Box | None = None) -> DataFrame:
+    """Regions of identified boundary features with their country_id, with a reject_reason where one is not used.
+
+    Features that are no usable regions are left out of the result. A region of an unknown country is rejected; from a native
+    source that is ``strict``. With ``box`` regions whose own box does not meet it are rejected.
+    """
+    found = _with_box(identified.where("kind = 'REGION' AND reject_reason IS NULL").drop("reject_reason"))
+    kept, lost = regions_to_countries(found, countries)
+    outside = F.lit(None).cast("string")
+    if box:
+        south, west, north, east = box
+        meets = (F.col("min_lat") <= north) & (F.col("max_lat") >= south) & (F.col("min_lon") <= east) & (F.col("max_lon") >= west)
+        outside = F.when(~meets, "outside the box")
+    columns = ["file", "ordinal", "strict", "reject_reason", "country_id", "name", "admin_level", "min_lat", "min_lon", "max_lat", "max_lon", "rings"]
+    lost = lost.withColumns({"country_id": F.lit(None).cast("int"), "reject_reason": F.coalesce(outside, "reject_reason")})
+    return kept.withColumn("reject_reason", outside).select(*columns).unionByName(lost.select(*columns))
+
+
+def cities(rows: DataFrame, countries: DataFrame, box: Box | None = None) -> DataFrame:
+    """Gazetteer rows as cities with their country_id, with a reject_reason where one is not used.
+
+    * a code that no country has leaves country_id empty
+    * with ``box`` rows outside it are passed over whatever else is wrong with them, but for columns and coordinates
+    """
+    reason, strict = F.col("reject_reason"), F.col("strict")
+    if box:
+        south, west, north, east = box
+        placed = ~F.coalesce(reason.isin("fewer than 15 columns", "bad latitude", "bad longitude"), F.lit(False))
+        outside = F.coalesce(placed & ~(F.col("lat").between(south, north) & F.col("lon").between(west, east)), F.lit(False))
+        reason, strict = F.when(outside, "outside the box").otherwise(reason), strict & ~outside
+    return cities_to_countries(rows.withColumns({"strict": strict, "reject_reason": reason}), countries).select(
+        "file", "ordinal", "strict", "reject_reason", "name", "ascii_name", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"),
+        "population", "country_id", F.lit(None).cast("int").alias("region_id"), "capital", "alternate_names")
+
+
+def numbered_cities(accepted: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of the cities table and of the table of their names, from accepted cities; ids follow source order.
+
+    Names are the plain form and the listed ones, distinct; all of them unless ``most`` is given.
+    """
+    numbered = materialise(assign_ids(accepted, ["file", "ordinal"]), "cities")  # both tables take the same ids
+    names = assign_ids(alternate_names(numbered, most=most), ["entity_id", "position"]).withColumn("language", F.lit(None).cast("string"))
+    return rows_for("cities", numbered, numbered=False), rows_for("geographic_names", names, numbered=False)
+
+
 def rows_for(table: str, accepted: DataFrame, numbered: bool = True) -> DataFrame:
     """Accepted rows in the columns and types of a table of the vector store, with ids in source order."""
     schema = accepted.sparkSession.createDataFrame([], VECTOR_SCHEMAS[table]).schema
