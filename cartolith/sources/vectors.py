@@ -164,8 +164,9 @@ def split_rejects(df: DataFrame, fail_fast: bool = False) -> tuple[DataFrame, Da
     """Accepted and rejected rows; with ``fail_fast`` a rejected strict row stops the job."""
     if fail_fast:
         message = F.concat(F.lit("invalid native feature: "), F.col("reject_reason"))
+        # not a coalesce: with a reason that is never null the filter below would be decided without a look at the guard
         guard = F.when(F.col("strict") & F.col("reject_reason").isNotNull(), F.raise_error(message).cast("string"))
-        df = df.withColumn("reject_reason", F.coalesce(guard, F.col("reject_reason")))
+        df = df.withColumn("reject_reason", guard.otherwise(F.col("reject_reason")))
     return df.filter("reject_reason IS NULL").drop("reject_reason"), df.filter("reject_reason IS NOT NULL")
 
 

@@ -124,3 +124,57 @@ def test_tree_fingerprint_is_the_same_however_files_arrive(spark, n):
             break
     files = spark.createDataFrame(names, "path string, length long").repartition(3)
     assert tuple(tiles.tree_fingerprint(files, "/d", fan_in=4).first()) == (n, level[0])
+
+
+def _decoded(spark, features):
+    rows = [("f", i, ("Feature", props, None if kind is None else (kind, text))) for i, (props, kind, text) in enumerate(features)]
+    schema = "file string, ordinal long, feature struct<type:string, properties:map<string,string>, geometry:struct<type:string, coordinates:string>>"
+    return vectors.decode_features(spark.createDataFrame(rows, schema))
+
+
+def test_karst_and_entrances_of_collections(spark, tmp_path):
+    cave = {"natural": "cave_entrance"}
+    features = _decoded(spark, [
+        ({}, "Polygon", "[[[0,0],[4,0],[4,4],[0,4],[0,0]]]"), (None, "Polygon", "[[[9,9],[12,9],[12,12],[9,12],[9,9]]]"), ({}, "Polygon", "[[[0,0],[1,1],[0,0],[0,0]]]"),
+        (cave, "Point", "[2,3]"), (cave, "Point", "[9,9]"), (cave, "Point", "[2]"), ({"natural": "peak"}, "Point", "[2,3]"), (cave, None, None), (None, None, None),
+        ({**cave, "name": " Deep "}, "Point", "[-1,0]")])
+    box = (-1.0, -1.0, 3.0, 3.0)
+    areas = {r.ordinal: (r.reject_reason, r.max_lat, r.strict) for r in importers.karst_features(features, box).collect()}
+    assert len(areas) == 10 and areas[0] == (None, 3.0, False) and areas[1][0] == "outside the box" and areas[2][0] == "zero area"
+    assert all(areas[i][0] == "not an area" for i in range(3, 10))
+    assert importers.karst_features(features).where("reject_reason IS NULL").count() == 2
+    caves = {r.ordinal: (r.reject_reason, r.name) for r in importers.cave_entrances(features, box).collect()}
+    assert [i for i, r in caves.items() if r[0] is None] == [3, 9] and caves[9][1] == " Deep " and caves[3][1] is None
+    assert caves[4][0] == "outside the box" and caves[5][0] == "invalid position" and caves[6][0] == "not a cave entrance" and caves[7][0] == "not a point"
+    rows = importers.rows_for("cave_entrances", importers.cave_entrances(features).where("reject_reason IS NULL"))
+    importers.store(rows, "cave_entrances", str(tmp_path), features)
+    assert spark.read.parquet(str(tmp_path / "cave_entrances")).count() == 3
+    with pytest.raises(Exception, match="(?i)exist|occupied|already"):
+        importers.store(rows, "cave_entrances", str(tmp_path))
+    assert importers.karst_features(features.limit(0), box).count() == importers.cave_entrances(features.limit(0)).count() == 0
+
+
+def test_cities_and_regions_with_their_countries(spark):
+    countries = spark.createDataFrame([("AA", 1), ("BB", 2)], "iso_code string, id int")
+    lines = ["\t".join(["1", name, plain, alias, lat, "5", "P", code, iso, *[""] * 5, people, "", "", "", ""]) for name, plain, alias, lat, code, iso, people in [
+        ("One", "One", "Uno,One, ,Eins", "5", "PPLC", "AA", "7"), ("Two", "", "", "50", "PPL", "aa", "x"), ("Two", "", "", "50", "PPL", "BB", "0"), ("Three", " ", "Trois", "north", "PPL", "CC", "1")]]
+    rows = vectors.parse_geonames(spark.createDataFrame([("g", i, v) for i, v in enumerate([*lines, "short\tline", "# note", " "])], "file string, ordinal long, value string"))
+    found = importers.cities(rows, countries)
+    assert {r.ordinal: (r.reject_reason, r.country_id) for r in found.collect()} == {
+        0: (None, 1), 1: ("bad population", None), 2: (None, 2), 3: ("bad latitude", None), 4: ("fewer than 15 columns", None)}
+    boxed = {r.ordinal: (r.reject_reason, r.strict) for r in importers.cities(rows, countries, (0.0, 0.0, 10.0, 10.0)).collect()}
+    assert boxed == {0: (None, True), 1: ("outside the box", False), 2: ("outside the box", False), 3: ("bad latitude", True), 4: ("fewer than 15 columns", True)}
+    cities, names = importers.numbered_cities(found.where("reject_reason IS NULL"))
+    assert [(r.id, r.name, r.capital) for r in cities.orderBy("id").collect()] == [(1, "One", True), (2, "Two", False)]
+    assert [(r.id, r.entity_id, r.name) for r in names.orderBy("id").collect()] == [(1, 1, "One"), (2, 1, "Uno"), (3, 1, "Eins")]
+    ring = "[[[0,0],[4,0],[4,4],[0,4],[0,0]]]"
+    native = {"boundary_type": "region", "name": "R", "admin_level": "2"}
+    features = vectors.boundary_identity(_decoded(spark, [
+        ({**native, "country_iso_code": "AA"}, "Polygon", ring), ({**native, "country_iso_code": "CC"}, "Polygon", ring), ({"admin": "x", "name": "S", "iso_a2": "CC"}, "Polygon", ring),
+        ({"NAME": "Country", "ISO_A2": "AA"}, "Polygon", ring), (native, "Polygon", ring)]))
+    regions = {r.ordinal: (r.reject_reason, r.strict, r.country_id) for r in importers.regions(features, countries).collect()}
+    assert regions == {0: (None, True, 1), 1: ("error: unknown country", True, None), 2: ("skipped: unknown country", False, None)}
+    away = importers.regions(features, countries, (10.0, 10.0, 20.0, 20.0)).collect()
+    assert len(away) == 3 and {r.reject_reason for r in away} == {"outside the box"}
+    with pytest.raises(Exception, match="unknown country"):
+        vectors.split_rejects(importers.regions(features, countries), fail_fast=True)[0].count()
