@@ -36,3 +36,24 @@ def test_settings_of_the_caller_are_kept(spark):
     caller.conf.set("spark.sql.autoBroadcastJoinThreshold", "5MB")
     assert Tables(caller, SMALL).spark.conf.get("spark.sql.shuffle.partitions") == "3"
     assert caller.conf.get("spark.sql.autoBroadcastJoinThreshold") == "5MB"
+
+
+def test_flat_distance_ties_like_sql(spark):
+    """The point of customer 77408 lies between two cities at distances that SQL finds equal."""
+    from cartolith.functions.geodesy import flat_squared_degrees
+    from cartolith.plans.derived import LAT, LON
+    place = spark.sql(f"SELECT k, {LAT.format(k='k')} AS lat, {LON.format(k='k')} AS lon FROM VALUES (77408L), (47461L), (107355L) t(k)")
+    at = {r.k: r for r in place.collect()}
+    here = at[77408]
+    d = [spark.range(1).select(flat_squared_degrees(*[F.lit(v) for v in (here.lat, here.lon, at[k].lat, at[k].lon)])).first()[0] for k in (47461, 107355)]
+    assert d[0] == d[1] == 0.19378527616468294
+
+
+def test_places_are_multiplied_after_the_shuffle(tables):
+    from cartolith.operators import nearest
+    rows = tables.cities.select(F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), F.struct("id").alias("rank"), F.struct("id").alias("value"))
+    plan = nearest._narrowed(rows, 0)._jdf.queryExecution().sparkPlan().toString()
+    above = nearest._narrowed(nearest._narrowed(rows, 0), nearest.SPLIT_LEVELS)._jdf.queryExecution().optimizedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    # the join with the limits sits below the step that lists a place under every part of its cell
+    assert above.index("Generate explode(_cells") < above.index("Join Inner")
