@@ -12,6 +12,7 @@ from cartolith.operators.gazetteer import boundary_coverage, capitals_per_countr
 from cartolith.operators.shapes import ShapeIndex, _touched_cells, all_hits, ring_area, ring_segments
 
 OVERLAP_TOLERANCE = 0.01
+SMALL_FEATURE = 32
 
 
 def _finding(df: DataFrame, severity: str, check: str, entity: Column, message: Column) -> DataFrame:
@@ -157,10 +158,15 @@ def invalid_geometry(features: DataFrame, cell_degrees: float = 0.25) -> DataFra
               .when(F.col("area") == 0.0, "zero area"))
     simple = _finding(state.withColumn("r", reason).filter("r IS NOT NULL"), "error", "invalid_geometry", F.col("id"), F.col("r"))
 
-    segments = (features.select(F.col("id").alias("rank"), F.lit(None).cast("double").alias("radius"), "rings")
+    def segments(part: DataFrame) -> DataFrame:
+        return (part.select(F.col("id").alias("rank"), F.lit(None).cast("double").alias("radius"), "rings")
                 .transform(ring_segments).filter("x1 <> x2 OR y1 <> y2"))
-    celled = _touched_cells(segments, cell_degrees, F.lit(1e-9)).select(
-        "rank", "cx", "cy", F.struct("x1", "y1", "x2", "y2").alias("s"))
+
+    # the few segments of a small feature meet in one place; only those of larger ones are listed cell by cell
+    small = F.coalesce(F.aggregate("rings", F.lit(0), lambda n, r: n + F.size(r)) <= SMALL_FEATURE, F.lit(False))
+    segment = F.struct("x1", "y1", "x2", "y2").alias("s")
+    celled = segments(features.filter(small)).select("rank", F.lit(0).alias("cx"), F.lit(0).alias("cy"), segment).unionByName(
+        _touched_cells(segments(features.filter(~small)), cell_degrees, F.lit(1e-9)).select("rank", "cx", "cy", segment))
     a, b = celled.withColumnRenamed("s", "a"), celled.withColumnRenamed("s", "b")
     pairs = a.join(b, ["rank", "cx", "cy"]).filter(F.col("a") < F.col("b"))
 

@@ -57,3 +57,20 @@ def test_places_are_multiplied_after_the_shuffle(tables):
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
     # the join with the limits sits below the step that lists a place under every part of its cell
     assert above.index("Generate explode(_cells") < above.index("Join Inner")
+
+
+@pytest.mark.parametrize("table", ["customer", "supplier", "part"])
+def test_small_files_are_spread_before_they_fan_out(tables, table):
+    assert tables.base(table).rdd.getNumPartitions() == 2 * tables.spark.sparkContext.defaultParallelism
+
+
+def test_small_and_large_crossing_features(spark):
+    """Features of few segments are not listed cell by cell; larger ones still are, with the same verdict."""
+    from cartolith.operators import quality
+    few = [(0.0, 0.0), (9.0, 9.0), (9.0, 0.0), (0.0, 4.0), (0.0, 0.0)]
+    many = [(9.0 * i / 40, 9.0 * i / 40) for i in range(41)] + [(9.0, 0.0), (0.0, 4.0), (0.0, 0.0)]
+    box = [(0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 9.0), (0.0, 0.0)]
+    rows = spark.createDataFrame([(1, [few]), (2, [many]), (3, [box])], "id int, rings array<array<struct<lon:double,lat:double>>>")
+    found = quality.invalid_geometry(rows)
+    assert {r.entity: r.message for r in found.collect()} == {"1": "self-intersection", "2": "self-intersection"}
+    assert quality.SMALL_FEATURE < len(many)
