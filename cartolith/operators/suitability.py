@@ -450,13 +450,15 @@ def _karst_hash(lat: Column, lon: Column, a_lat: Column, a_lon: Column) -> Colum
 def karst_sites(terrain: DataFrame, karst: ShapeIndex, entrances: DataFrame, base_y: int, max_degrees: float = 0.05) -> DataFrame:
     """Dry karst columns that a hash selects (about one in 128), with the height of the cavity.
 
-    The hash is anchored at the nearest known entrance, so that cavities gather around it.
+    The hash is anchored at the nearest known entrance, so that cavities gather around it. It comes first: only what it
+    leaves is looked up among the shapes.
     """
     from cartolith.operators.nearest import nearest_within_degrees
-    dry = within_shapes(terrain.filter("water_type = 'NONE'"), karst, ["bx", "bz"])
+    dry = terrain.filter("water_type = 'NONE'")
     near = nearest_within_degrees(dry, entrances, ["bx", "bz"], max_degrees, F.col("id"), ["lat", "lon"], "_e")
     h = _karst_hash(F.col("lat"), F.col("lon"), F.coalesce("_e.lat", "lat"), F.coalesce("_e.lon", "lon"))
     hashed = near.withColumn("_h", h).filter(F.col("_h").bitwiseAND(0x7F) == 0)
     depth = F.shiftrightunsigned("_h", 8).bitwiseAND(31).cast("int")
     y = F.greatest(F.lit(base_y + 8), F.least(F.col("surface_y") - 8, F.lit(base_y + 16) + depth))
-    return hashed.select("bx", "bz", "lat", "lon", "surface_y", F.col("_e").isNotNull().alias("anchored"), y.cast("int").alias("cavity_y"))
+    found = within_shapes(hashed, karst, ["bx", "bz"])
+    return found.select("bx", "bz", "lat", "lon", "surface_y", F.col("_e").isNotNull().alias("anchored"), y.cast("int").alias("cavity_y"))
