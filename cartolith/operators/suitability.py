@@ -278,13 +278,20 @@ def site_kind(biome: Column, coast: Column, roll: Column) -> Column:
     return chain
 
 
+def _chunk(terrain: DataFrame) -> list[Column]:
+    """The chunk of a column; where the frame names it, it may be dealt by it."""
+    if {"cx", "cz"} <= set(terrain.columns):
+        return [F.col("cx"), F.col("cz")]
+    return [F.shiftright("bx", 4).alias("cx"), F.shiftright("bz", 4).alias("cz")]
+
+
 def chunk_centres(terrain: DataFrame) -> DataFrame:
     """Per chunk: climate of the land column nearest the middle, and whether sea touches it."""
     lx, lz = F.pmod("bx", F.lit(16)), F.pmod("bz", F.lit(16))
     distance = F.abs(lx - 8) + F.abs(lz - 8)
     land = F.col("water_type") == "NONE"
     order = F.struct(distance.alias("d"), lz.alias("z"), lx.alias("x"))
-    return terrain.groupBy(F.shiftright("bx", 4).alias("cx"), F.shiftright("bz", 4).alias("cz")).agg(
+    return terrain.groupBy(*_chunk(terrain)).agg(
         F.min_by(F.when(land, F.col("biome")), F.when(land, order)).alias("land_biome"),
         F.bool_or(F.col("water_type") == "OCEAN").alias("coast"),
         F.min(F.when(land, distance)).alias("land_distance"))
@@ -327,7 +334,7 @@ def flattest_footprint(terrain: DataFrame, radii: DataFrame) -> DataFrame:
                             columns=["cx", "cz", "x", "z", "relief", "floor_y"])
 
     keyed = (terrain.select("bx", "bz", "surface_y", (F.col("water_type") != "NONE").alias("_wet"),
-                            F.shiftright("bx", 4).alias("cx"), F.shiftright("bz", 4).alias("cz")).join(radii, ["cx", "cz"]))
+                            *_chunk(terrain)).join(radii, ["cx", "cz"]))
     return keyed.groupBy("cx", "cz").applyInPandas(best, "cx int, cz int, x int, z int, relief int, floor_y int")
 
 
@@ -401,13 +408,14 @@ def expected_minerals(terrain: DataFrame, floor_y: int, sea_level: int, top_y: i
     """Expected veins below each column's surface: one row per column and band that reach each other.
 
     A band's count is per chunk and spreads over its 256 columns and its height, evenly or, for
-    triangular bands, as the sum of two even draws.
+    triangular bands, as the sum of two even draws. The chunk (cx, cz) of a column is kept if it is there.
     """
+    place = [c for c in ("cx", "cz", "bx", "bz") if c in terrain.columns]
     bands = F.array(*[F.struct(
         F.lit(b[0]).alias("band"), F.lit(b[1]).alias("mineral"), F.lit(b[3] * multiplier).alias("count"), F.lit(b[4]).alias("min_y"),
         F.lit(b[5]).alias("max_y"), F.lit(b[6]).alias("triangular"), F.lit(b[7]).cast("double").alias("least_m"))
         for b in mineral_bands(floor_y, sea_level, top_y, emerald_multiplier)])
-    crossed = terrain.select("bx", "bz", "surface_y", "elevation_m", F.explode(bands).alias("b")).select("*", "b.*").drop("b")
+    crossed = terrain.select(*place, "surface_y", "elevation_m", F.explode(bands).alias("b")).select("*", "b.*").drop("b")
     low = F.greatest(F.col("min_y"), F.lit(floor_y))
     high = F.least("max_y", "surface_y")
     span = F.col("max_y") - F.col("min_y")
@@ -423,7 +431,7 @@ def expected_minerals(terrain: DataFrame, floor_y: int, sea_level: int, top_y: i
     share = F.when(F.col("triangular"), peaked).otherwise((high - low + 1) / (span + 1))
     high_enough = F.col("least_m").isNull() | (F.col("elevation_m") >= F.col("least_m"))
     return (crossed.filter((low <= high) & high_enough)
-            .select("bx", "bz", "band", "mineral", (F.col("count") / 256.0 * share).alias("expected_veins")))
+            .select(*place, "band", "mineral", (F.col("count") / 256.0 * share).alias("expected_veins")))
 
 
 def chunk_count(expected: Column, roll: Column) -> Column:

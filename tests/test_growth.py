@@ -1,9 +1,13 @@
 """Steps whose work used to grow with more than their input, or to be done twice."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from cartolith.operators import shapes, suitability
+from cartolith.operators import shapes, shaping, suitability
 from cartolith.operators.shapes import area_set, build_shape_index, locate
+from cartolith.plans import terrain as tp, worlds
+from cartolith.plans.derived import Tables
 
 RING = "array<array<struct<lon:double,lat:double>>>"
 
@@ -46,3 +50,29 @@ def test_a_settled_cell_is_listed_once(spark):
     assert index.cells.filter("cx = 0 AND cy = 0").count() == 1
     points = spark.createDataFrame([(1, 0.5, 0.2)], "id int, lat double, lon double")
     assert [r.hit["rank"] for r in locate(points, index, ["id"], "hit").collect()] == [1]
+
+
+@pytest.mark.parametrize("build", [worlds.expected_minerals, worlds.column_layers, worlds.chunk_centres, worlds.shore_shaping, worlds.relief_detail,
+                                   worlds.surroundings, worlds.vegetation_scores, worlds.species_groups, worlds.cropland_plan])
+def test_chunks_are_shuffled_and_not_their_columns(spark, build):
+    plan = build(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert plan[:plan.index("REPARTITION_BY_NUM")].count("Exchange") == 1  # no exchange stands above that of the chunks
+
+
+@pytest.mark.parametrize("reach", [1, 6])
+def test_columns_dealt_by_patch_have_their_halo(spark, reach):
+    chunks = spark.createDataFrame([(0, 0), (1, 0), (3, 3), (4, 4), (-1, -1), (-5, 2), (0, 0)], "cx int, cz int")
+    dealt = tp.columns_by_patch(chunks, reach)
+    plain = shaping.with_halo(tp.chunk_columns(chunks).drop("own"), reach).select(*dealt.columns)
+    assert dealt.exceptAll(plain).isEmpty() and plain.exceptAll(dealt).isEmpty() and dealt.filter("_own").count() == 6 * 256
+
+
+def test_others_within_counts_no_cell_for_itself():
+    flags = np.random.default_rng(5).random((23, 31)) < 0.03
+    within = shaping.others_within(flags, 6)
+    for d in range(1, 7):
+        want = np.zeros_like(flags)
+        for ring in range(1, d + 1):
+            for dz, dx in shaping.ring_offsets(ring):
+                want |= shaping.shifted(flags, dz, dx, False)
+        assert (within(d) == want).all()
