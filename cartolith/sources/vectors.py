@@ -67,7 +67,8 @@ def decode_features(features: DataFrame) -> DataFrame:
         F.transform(parsed("MultiLineString"), _points))
     spot = parsed("Point")
     table = features.select("file", "ordinal", F.col("feature.properties").alias("properties"), kind.alias("geometry_type"),
-                            rings.alias("rings"), F.get(spot, F.lit(1)).alias("lat"), F.get(spot, F.lit(0)).alias("lon"))
+                            # one row each: a filter on the reason would otherwise be pushed below and parse the text again wherever it is named
+                            F.explode(F.array(rings)).alias("rings"), F.get(spot, F.lit(1)).alias("lat"), F.get(spot, F.lit(0)).alias("lon"))
     area = F.col("geometry_type").isin("Polygon", "MultiPolygon")
     line = F.col("geometry_type").isin("LineString", "MultiLineString")
     in_range = F.forall(F.flatten("rings"), lambda p: F.coalesce(p["lat"].between(-90, 90) & p["lon"].between(-180, 180), F.lit(False)))
@@ -82,7 +83,7 @@ def decode_features(features: DataFrame) -> DataFrame:
               .when(area & ~F.coalesce(closed, no), "open or short ring")
               .when(line & ~F.coalesce(long_enough, no), "short line")
               .when(area & (F.aggregate(F.transform("rings", ring_area), F.lit(0.0), lambda a, v: a + v) == 0.0), "zero area"))
-    return table.withColumn("reject_reason", reason)
+    return table.select("*", F.explode(F.array(reason)).alias("reject_reason"))
 
 
 def _first_code(props: Column, keys) -> Column:

@@ -76,3 +76,10 @@ def test_others_within_counts_no_cell_for_itself():
             for dz, dx in shaping.ring_offsets(ring):
                 want |= shaping.shifted(flags, dz, dx, False)
         assert (within(d) == want).all()
+
+
+def test_a_filter_on_the_reason_parses_no_text_again(spark):
+    from cartolith.plans import imports
+    rejects = imports.import_karst_features_rejects(Tables(spark, "/root/testdata/sf0.001"))
+    plan = rejects._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" in plan and "from_json" not in plan[plan.index("Repartition"):]  # not below the step that spreads the parts
