@@ -83,3 +83,58 @@ def test_a_filter_on_the_reason_parses_no_text_again(spark):
     rejects = imports.import_karst_features_rejects(Tables(spark, "/root/testdata/sf0.001"))
     plan = rejects._jdf.queryExecution().optimizedPlan().toString()
     assert "from_json" in plan and "from_json" not in plan[plan.index("Repartition"):]  # not below the step that spreads the parts
+
+
+def test_an_index_for_points_holds_their_cells_alone(spark):
+    """Columns lie in a few of the cells that water covers; the others used to be worked out too."""
+    areas = spark.createDataFrame([(1, box(-40, -40, 40, 40)), (2, box(5.2, 5.2, 5.7, 5.7)), (3, box(-8, 4.9, 12, 5.4))], f"id int, rings {RING}")
+    points = spark.createDataFrame([(i, 5.0 + i / 7, 5.05 + i / 9) for i in range(9)] + [(9, 90.5, 0.0), (10, 60.0, 60.0)], "id int, lat double, lon double")
+    bodies = area_set(areas, -F.col("id"), ["id"])
+    every, own = build_shape_index(bodies), build_shape_index(bodies, points=points)
+    assert own.cells.count() <= 4 < every.cells.count()
+    want = {r.id: r.hit and r.hit.id for r in locate(points, every, ["id"], "hit").collect()}
+    assert {r.id: r.hit and r.hit.id for r in locate(points, own, ["id"], "hit").collect()} == want and set(want.values()) == {1, 2, 3, None}
+
+
+@pytest.mark.parametrize("most", [8, 0])
+def test_grids_are_asked_in_turn_without_grouping(spark, monkeypatch, most):
+    from cartolith.operators import raster
+    monkeypatch.setattr(raster, "MAX_TURNS", most)  # 0: all grids at once, grouped by point
+    grids = [("a", 0.0, 0.0, 2.0, 2.0, ["UNKNOWN", "FOREST", "UNKNOWN", "DESERT"]), ("b", 0.0, 0.0, 2.0, 2.0, ["DESERT", "UNKNOWN", "UNKNOWN", "FOREST"]), ("w", -90.0, -180.0, 90.0, 180.0, ["FOREST", "DESERT", "UNKNOWN", "UNKNOWN"])]
+    names = dict(zip(("FOREST", "DESERT"), raster.LANDCOVER_CLASSES[1:3]))
+    rows = [(f, s, w, n, e, 2, 2, [names.get(c, c) for c in classes]) for f, s, w, n, e, classes in grids]
+    blocks = raster.landcover_blocks(spark.createDataFrame(rows, "file_name string, south double, west double, north double, east double, width int, height int, classes array<string>"))
+    index = raster.build_landcover_index(blocks)
+    assert index.turns == (2, 1) and not index.single
+    spots = {1: (1.5, 0.5, "DESERT"), 2: (1.5, 1.5, "FOREST"), 3: (0.5, 0.5, "DESERT"), 4: (0.5, 1.5, "DESERT"), 5: (50.0, -50.0, "FOREST"), 6: (50.0, 50.0, "DESERT"), 7: (95.0, 0.0, "UNKNOWN")}
+    points = spark.createDataFrame([(k, lat, lon) for k, (lat, lon, _) in spots.items()], "id int, lat double, lon double")
+    found = raster.landcover_at(points, index, ["id"])
+    assert {r.id: r.landcover for r in found.collect()} == {k: names.get(c, c) for k, (_, _, c) in spots.items()}
+    assert ("Aggregate" in found._jdf.queryExecution().optimizedPlan().toString()) == (most == 0)
+
+
+def test_boxes_in_one_block_meet_no_others(spark):
+    """Only boxes over several blocks or tiles are grouped by their key."""
+    from cartolith.operators import raster
+    tiles = spark.createDataFrame([(0, x, 9, 9, [float(i * (x + 1)) for i in range(81)]) for x in (0, 1)], "lat_deg int, lon_deg int, width int, height int, samples array<double>")
+    points = spark.createDataFrame([(i, 0.03 + i % 30 / 31, i / 100, 0.2, 0.3) for i in range(190)] + [(900, 0.5, 0.5, 0.0, 0.0), (901, None, 0.5, 0.2, 0.2), (902, float("nan"), 0.5, 0.2, 0.2)],
+                                   "id int, lat double, lon double, lat_span double, lon_span double")
+    whole, parts = ({r.id: r.elevation_m for r in raster.footprint_mean(points, raster.dem_blocks(tiles, b), ["id"]).collect()} for b in (128, 3))
+    assert whole == parts and len(whole) == 193
+    plan = raster.footprint_mean(points, raster.dem_blocks(tiles), ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "Union" in plan[:plan.index("Aggregate")]
+
+
+@pytest.mark.parametrize("margin", [1, 6, 20])
+def test_columns_around_chunks_are_not_shuffled(spark, margin):
+    asked = [(0, 0), (1, 0), (3, 3), (-2, 1), (0, 0)]
+    columns = tp.chunk_columns(spark.createDataFrame(asked, "cx int, cz int"), margin)
+    want = {}
+    for cx, cz in asked:
+        for bx in range(cx * 16 - margin, cx * 16 + 16 + margin):
+            for bz in range(cz * 16 - margin, cz * 16 + 16 + margin):
+                want[bx, bz] = want.get((bx, bz), False) or (bx >> 4, bz >> 4) == (cx, cz)
+    rows = columns.collect()
+    assert len(rows) == len(want) and {(r.bx, r.bz): r.own for r in rows} == want
+    plan = columns._jdf.queryExecution().optimizedPlan().toString()
+    assert plan[:plan.index("Aggregate")].count("Generate") == 2  # columns are made above all groups
