@@ -110,24 +110,26 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, names: tuple[str, ...], mo
     prior = tuple(math.log(s / seen[0]) for s in seen[1:])
     scored = sample.where("check").select("domain", *[s.alias(f"s{i}") for i, s in enumerate(_odds(ratios, F.col("words")))])
     grid = [2.0 ** (i / 2) for i in range(0, 17)]
-    weight = F.coalesce(*[F.when(F.col("domain") == n, F.lit(share.get(n, 0) + 1.0)) for n in names])
-
     heat, bias = [4.0] * len(ratios), list(prior)
-    scored = materialise(scored, "scored")
+    # a third of the bounded sample, a few numbers a row: fitted here, as a job for every number tried takes the driver far more memory
+    rows = scored.orderBy("domain", *[f"s{i}" for i in range(len(ratios))]).collect()
+    own = np.array([names.index(r.domain) for r in rows], dtype=int)
+    odds = np.array([r[1:] for r in rows], dtype=float).reshape(len(rows), len(ratios))
+    weights = np.array([share.get(n, 0) + 1.0 for n in names])[own]
 
     k = len(ratios)
-    given = [*(f"heat{i}" for i in range(k)), *(f"bias{i}" for i in range(k))]
-    chances = _softmax([F.col(f"s{i}") / F.col(f"heat{i}") + F.col(f"bias{i}") for i in range(k)])
-    own_chance = F.coalesce(*[F.when(F.col("domain") == n, chances[j]) for j, n in enumerate(names)])
+
+    def loss_at(numbers: list[float]) -> float:
+        z = np.column_stack([np.zeros(len(rows)), odds / np.array(numbers[:k]) + np.array(numbers[k:])])
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        chance = e[np.arange(len(rows)), own] / e.sum(axis=1)
+        return float((-weights * np.log(np.maximum(chance, 1e-9))).mean())
 
     def best_of(at: int, values: list[float]) -> None:
         """Sets one number to that of ``values`` for which the odds fit the second sample best."""
         now = [*heat, *bias]
-        rows = [[*now[:at], v, *now[at + 1:]] for v in values]
-        losses = (scored.withColumn("c", F.explode(_candidates(given, rows))).select("domain", *[f"s{i}" for i in range(k)], "c.*")
-                  .groupBy("try").agg(F.avg(-weight * F.log(F.greatest(own_chance, F.lit(1e-9)))).alias("loss")).collect())
-        if losses:
-            now[at] = values[min((r.loss, values[r["try"]], r["try"]) for r in losses)[2]]
+        if rows:
+            now[at] = min((loss_at([*now[:at], v, *now[at + 1:]]), v) for v in values)[1]
             heat[:], bias[:] = now[:k], now[k:]
 
     for _ in range(3):  # one number after the other
