@@ -48,6 +48,26 @@ def _clip_ring(points: np.ndarray, box) -> np.ndarray | None:
     return np.vstack([points, points[:1]])
 
 
+OUTSIDE, CROSSING, INSIDE = -1, 0, 1
+
+
+def _fates(points: np.ndarray, ends: np.ndarray, box) -> list[int]:
+    """For all rings at once: beyond one side of the box, closed and wholly in it (nothing to cut), or anything else."""
+    south, west, north, east = box
+    fate = np.full(len(ends), CROSSING)
+    starts = np.concatenate([[0], ends[:-1]]).astype(int) if len(ends) else np.zeros(0, int)
+    some = np.flatnonzero(ends > starts)
+    if len(some):
+        first = starts[some]
+        low, high = np.minimum.reduceat(points, first), np.maximum.reduceat(points, first)
+        away = (high[:, 0] < west) | (low[:, 0] > east) | (high[:, 1] < south) | (low[:, 1] > north)
+        held = (low[:, 0] >= west) & (high[:, 0] <= east) & (low[:, 1] >= south) & (high[:, 1] <= north)
+        last = ends[some].astype(int) - 1
+        whole = (points[first] == points[last]).all(axis=1) & (last - first >= 3)
+        fate[some] = np.where(away, OUTSIDE, np.where(held & whole, INSIDE, CROSSING))
+    return fate.tolist()
+
+
 def _clip_rings(value: pa.ListArray, box) -> pa.ListArray:
     """All rings of all rows, from and to the buffers of the column."""
     rings = value.flatten()  # of rows that are not null
@@ -55,9 +75,16 @@ def _clip_rings(value: pa.ListArray, box) -> pa.ListArray:
     points = np.column_stack([spots.field(name).to_numpy(zero_copy_only=False) for name in ("lon", "lat")])
     ends = np.cumsum(pc.fill_null(pc.list_value_length(rings), 0).to_numpy(zero_copy_only=False))
     per_row = pc.list_value_length(value)
+    fate = _fates(points, ends, box)
     kept, sizes, counts, at = [], [], [], 0
     for n in pc.fill_null(per_row, 0).to_pylist():
-        own = [r for r in (_clip_ring(points[ends[i - 1] if i else 0:ends[i]], box) for i in range(at, at + n)) if r is not None]
+        own = []
+        for i in range(at, at + n):
+            if fate[i] != OUTSIDE:
+                ring = points[ends[i - 1] if i else 0:ends[i]]
+                ring = ring if fate[i] == INSIDE else _clip_ring(ring, box)
+                if ring is not None:
+                    own.append(ring)
         at += n
         kept += own
         sizes += map(len, own)

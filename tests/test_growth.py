@@ -138,3 +138,22 @@ def test_columns_around_chunks_are_not_shuffled(spark, margin):
     assert len(rows) == len(want) and {(r.bx, r.bz): r.own for r in rows} == want
     plan = columns._jdf.queryExecution().optimizedPlan().toString()
     assert plan[:plan.index("Aggregate")].count("Generate") == 2  # columns are made above all groups
+
+
+def test_only_rings_across_the_box_are_cut(monkeypatch):
+    """Every ring used to be cut point by point, though most lie outside the box or inside it."""
+    import pyarrow as pa
+    from cartolith.operators import clip
+    rng = np.random.default_rng(7)
+    rings, area = [], (-5.0, -10.0, 20.0, 30.0)
+    for i in range(300):
+        x, y, side = rng.integers(-60, 60), rng.integers(-40, 40), rng.integers(1, 9)
+        ring = [(x, y), (x, y + side), (x + side, y + side), (x + side, y), (x, y)][:5 if i % 7 else 4]
+        rings.append([{"lon": float(a), "lat": float(b)} for a, b in ring][:2 if i % 31 == 0 else 5])
+    value = pa.array([rings[i:i + i % 4] for i in range(0, 300, 3)] + [None, [], [[]]], pa.list_(pa.list_(pa.struct([("lon", pa.float64()), ("lat", pa.float64())]))))
+    want = [None if row is None else [[tuple(p) for p in cut.tolist()] for cut in (clip._clip_ring(np.array([(p["lon"], p["lat"]) for p in r]).reshape(-1, 2), area) for r in row) if cut is not None]
+            for row in value.to_pylist()]
+    cuts, plain = [], clip._clip_ring
+    monkeypatch.setattr(clip, "_clip_ring", lambda points, box: cuts.append(1) or plain(points, box))
+    got = [None if row is None else [[(p["lon"], p["lat"]) for p in r] for r in row] for row in clip._clip_rings(value, area).to_pylist()]
+    assert got == want and len(cuts) < sum(len(r or []) for r in value.to_pylist()) / 2
