@@ -112,7 +112,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, names: tuple[str, ...], mo
     grid = [2.0 ** (i / 2) for i in range(0, 17)]
     heat, bias = [4.0] * len(ratios), list(prior)
     # a third of the bounded sample, a few numbers a row: fitted here, as a job for every number tried takes the driver far more memory
-    rows = scored.orderBy("domain", *[f"s{i}" for i in range(len(ratios))]).collect()
+    rows = sorted(scored.collect())  # sorted here, as a shuffle would send the plan with its tables to the driver's listeners six times
     own = np.array([names.index(r.domain) for r in rows], dtype=int)
     odds = np.array([r[1:] for r in rows], dtype=float).reshape(len(rows), len(ratios))
     weights = np.array([share.get(n, 0) + 1.0 for n in names])[own]
@@ -213,9 +213,9 @@ def fit_rates(docs: DataFrame, model: Domains, targets: dict[str, float], text_c
         return Mixture(model, (), 1.0, ridge, (0.0,) * k, wanted)
     scale = [1.0 / max(a, 1e-3) for a in aim]
     share = F.col(_TOKENS) / F.lit(float(budget))
-    steepest = state.agg(F.sum(sum((F.col(c) * F.col(c) * s for c, s in zip(p, scale)), F.lit(0.0)) * share)).first()[0]
     if most is None:
         return _settled(state, model, aim, scale, budget, ridge)
+    steepest = state.agg(F.sum(sum((F.col(c) * F.col(c) * s for c, s in zip(p, scale)), F.lit(0.0)) * share)).first()[0]
     rate = 1.0 / (steepest + ridge)  # the sum of the eigenvalues bounds the largest
     steps: list[tuple[float, list[float]]] = []
     fresh = 0

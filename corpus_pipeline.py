@@ -60,8 +60,9 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Every document as often as its fitted rate says, rounded by a hash of its id and text."""
     mixed = mixing.mix(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     times = mixing.copies(F.col("rate"), F.col("doc_id"), F.col("text"))
-    return mixed.select(*COLUMNS, times.alias("__times")).where("__times > 0").select(
-        *COLUMNS, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__copy")).select(*COLUMNS)
+    # a filter on the number would be pushed below the scores: worked out twice, with a copy of the model's tables for each mention of a score
+    return mixed.select(*COLUMNS, times.alias("__times")).select(
+        *COLUMNS, F.explode(F.array_repeat(F.lit(True), F.col("__times"))).alias("__copy")).select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

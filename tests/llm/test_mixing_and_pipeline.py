@@ -126,6 +126,18 @@ def test_mixing_stage(spark, docs):
     assert got.count() == want > 0
 
 
+def test_mixing_stage_scores_once(spark):
+    """The plan goes through the driver with the tables of the model in it: each stands there once, however often its score is used."""
+    clean = spark.read.parquet(f"{SMALL}/documents.parquet")
+    got = corpus_pipeline.source_mixing(spark, clean, SMALL)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("aggregate(") == len(mixing.TARGETS) - 1
+    mixed = mixing.mix(clean.select(*corpus_pipeline.COLUMNS), spark.read.parquet(f"{SMALL}/labels.parquet"))
+    times = mixed.select("doc_id", "text", mixing.copies(F.col("rate"), F.col("doc_id"), F.col("text")).alias("n")).where("n > 0")
+    want = sorted((str(r.doc_id), r.text) for r in times.collect() for _ in range(r.n))
+    assert sorted((str(r.doc_id), r.text) for r in got.collect()) == want
+
+
 def test_stages_take_empty_tables(spark, docs):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SMALL).count() == 0, name
