@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cartolith.functions.geodesy import vincenty_np
 from cartolith.operators import near_pairs
-from cartolith.operators.nearest import places_within
+from cartolith.operators.nearest import list_nearest, nearest_listed, nearest_within_degrees, places_within
 
 
 def crowd(seed: int, n: int) -> np.ndarray:
@@ -52,3 +52,22 @@ def test_places_within_reach_of_crowds(spark, monkeypatch, rows):
     far[flat > (500 / 111.32 * 1.2) ** 2] = np.inf
     want = {(i, int(p), n + 1) for i in range(len(at)) for n, p in enumerate(np.lexsort((-np.arange(len(places)), far[i]))[:3]) if far[i, p] <= 500_000}
     assert {(r.id, r.place, r.position) for r in found} == want
+
+
+@pytest.mark.parametrize("rows", [100_000, 40])
+def test_nearest_in_degrees_by_pairs_and_by_lists(spark, monkeypatch, rows):
+    monkeypatch.setattr(near_pairs, "BLOCK_ROWS", rows)
+    at, places = crowd(7, 60), crowd(8, 80)
+    points = frame(spark, at).unionByName(spark.createDataFrame([(9000, None, 1.0), (9001, 95.0, 1.0)], "id int, lat double, lon double"))
+    gap = at[:, None] - places[None]
+    d2 = gap[:, :, 0] * gap[:, :, 0] + gap[:, :, 1] * gap[:, :, 1]
+    best = [int(np.lexsort((-np.arange(len(places)), d2[i]))[0]) for i in range(len(at))]
+    want = {i: p if d2[i, p] <= 2.5 * 2.5 else None for i, p in enumerate(best)} | {9000: None, 9001: None}
+    found = nearest_within_degrees(points, frame(spark, places), ["id"], 2.5, F.col("id"), ["id"], "e")
+    assert {r.id: r.e and r.e.id for r in found.collect()} == want
+    cell = [F.floor(F.col(c) / 3.0) * 3.0 for c in ("lat", "lon")]
+    keyed = points.select("*", *[c.alias(n) for c, n in zip(cell, ("cy", "cx"))])
+    boxes = keyed.filter("lat <= 90").select("cy", "cx", F.col("cy").alias("min_lat"), F.col("cx").alias("min_lon"), (F.col("cy") + 3).alias("max_lat"), (F.col("cx") + 3).alias("max_lon")).distinct()
+    lists = list_nearest(boxes, frame(spark, places), ["cy", "cx"], 2.5, F.col("id"), ["id"], "near")
+    told = keyed.join(lists, ["cy", "cx"], "left").select("id", nearest_listed("near", 2.5).alias("e"))
+    assert {r.id: r.e and r.e.id for r in told.collect()} == want
