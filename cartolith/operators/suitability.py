@@ -455,15 +455,20 @@ def _karst_hash(lat: Column, lon: Column, a_lat: Column, a_lon: Column) -> Colum
     return mix(lat, lon, a_lat, a_lon)
 
 
-def karst_sites(terrain: DataFrame, karst: ShapeIndex, entrances: DataFrame, base_y: int, max_degrees: float = 0.05) -> DataFrame:
+def karst_sites(terrain: DataFrame, karst: ShapeIndex, entrances: DataFrame | str, base_y: int, max_degrees: float = 0.05) -> DataFrame:
     """Dry karst columns that a hash selects (about one in 128), with the height of the cavity.
 
     The hash is anchored at the nearest known entrance, so that cavities gather around it. It comes first: only what it
-    leaves is looked up among the shapes.
+    leaves is looked up among the shapes. ``entrances`` are rows, or the name of a column that lists them for each row (see
+    :func:`~cartolith.operators.nearest.list_nearest`): columns of a chunk share one list and need no shuffle.
     """
-    from cartolith.operators.nearest import nearest_within_degrees
+    from cartolith.operators.nearest import nearest_listed, nearest_within_degrees
     dry = terrain.filter("water_type = 'NONE'")
-    near = nearest_within_degrees(dry, entrances, ["bx", "bz"], max_degrees, F.col("id"), ["lat", "lon"], "_e")
+    if isinstance(entrances, str):
+        # a list of one: as a plain column it would be worked out for each mention, also below the filter on the hash
+        near = dry.withColumn("_e", F.explode(F.array(nearest_listed(entrances, max_degrees)))).drop(entrances)
+    else:
+        near = nearest_within_degrees(dry, entrances, ["bx", "bz"], max_degrees, F.col("id"), ["lat", "lon"], "_e")
     h = _karst_hash(F.col("lat"), F.col("lon"), F.coalesce("_e.lat", "lat"), F.coalesce("_e.lon", "lon"))
     hashed = near.withColumn("_h", h).filter(F.col("_h").bitwiseAND(0x7F) == 0)
     depth = F.shiftrightunsigned("_h", 8).bitwiseAND(31).cast("int")

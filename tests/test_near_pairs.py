@@ -5,8 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartolith.functions.geodesy import vincenty_np
-from cartolith.operators import near_pairs
+from cartolith.operators import near_pairs, suitability
 from cartolith.operators.nearest import list_nearest, nearest_listed, nearest_within_degrees, places_within
+from cartolith.operators.shapes import area_set, box_ring, build_shape_index
+from cartolith.plans import terrain as tp, worlds
+from cartolith.plans.derived import Tables
 
 
 def crowd(seed: int, n: int) -> np.ndarray:
@@ -71,3 +74,22 @@ def test_nearest_in_degrees_by_pairs_and_by_lists(spark, monkeypatch, rows):
     lists = list_nearest(boxes, frame(spark, places), ["cy", "cx"], 2.5, F.col("id"), ["id"], "near")
     told = keyed.join(lists, ["cy", "cx"], "left").select("id", nearest_listed("near", 2.5).alias("e"))
     assert {r.id: r.e and r.e.id for r in told.collect()} == want
+
+
+def test_karst_columns_share_the_list_of_their_chunk(spark):
+    """Every column used to be shuffled to the entrances; chunks across 180 degrees and by the rim of the grid included."""
+    edge = int(np.radians(180.0 - 10.0) * 6378137.0 * np.cos(np.radians(51.0)) / 1000.0) >> 4
+    chunks = spark.createDataFrame([(0, 0), (1, 0), (edge, 0), (edge, 3), (edge - 1, 3), (-5, 40)], "cx int, cz int")
+    ground = tp.place_columns(tp.columns_by_chunk(chunks).select("bx", "bz", F.lit(70).alias("surface_y"), F.lit("NONE").alias("water_type")), worlds.PARAMS)
+    spots = ground.select("lat", "lon").orderBy("bx", "bz").collect()[::37]
+    entrances = spark.createDataFrame([(i, r.lat + i % 3 * 0.11, r.lon + 0.03) for i, r in enumerate(spots)] + [(99, 51.0, 179.99), (98, 51.0, -179.99)], "id int, lat double, lon double")
+    world = spark.range(1).select("id", F.array(box_ring(F.lit(-90), F.lit(-180), F.lit(90), F.lit(180))).alias("rings"))
+    karst = build_shape_index(area_set(world, F.col("id"), ["id"], 45.0))
+    near = list_nearest(tp.centre_boxes(chunks, worlds.PARAMS), entrances, ["cx", "cz"], 0.1, F.col("id"), ["lat", "lon"], "near")
+    told = tp.place_columns(tp.columns_by_chunk(chunks.join(near, ["cx", "cz"], "left")).select(
+        "bx", "bz", F.lit(70).alias("surface_y"), F.lit("NONE").alias("water_type"), "near"), worlds.PARAMS)
+    want = {tuple(r) for r in suitability.karst_sites(ground, karst, entrances, -56, 0.1).collect()}
+    assert {tuple(r) for r in suitability.karst_sites(told, karst, "near", -56, 0.1).collect()} == want and {r[5] for r in want} == {True, False}
+    assert tp.centre_boxes(chunks, worlds.PARAMS).count() > chunks.count()
+    plan = worlds.karst_sites(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert plan[plan.index("ArrowEvalPython"):plan.index("REPARTITION_BY_NUM")].count("Exchange") == 1  # only that of the chunks lies below the hash
