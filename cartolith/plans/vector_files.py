@@ -6,22 +6,30 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cartolith.functions.geodesy import METERS_PER_DEGREE
 from cartolith.functions.water import RIVER_WIDTH_FACTOR
+from cartolith.operators.ordering import with_global_row_number
 from cartolith.operators.shapes import ring_area
 from cartolith.plans.derived import Tables
 from cartolith.plans.registry import registered
-from cartolith.session import materialise
+from cartolith.session import materialise, spread
 from cartolith.sources import importers
-from cartolith.sources.shapefile import decode_shapefiles
+from cartolith.sources.shapefile import decode_pieces
 
+RECORDS_PER_PIECE = 1024
 
-def _swapped(digits: Column) -> Column:
-    """Hex digits with the lowest byte first."""
-    return F.array_join(F.reverse(F.regexp_extract_all(digits, F.lit("(..)"), F.lit(1))), "")
+
+def _once(value: Column, of) -> Column:
+    """``of`` a value that is worked out once, however often it stands there."""
+    return F.transform(F.array(value), of)[0]
+
+
+def _swapped(digits: Column, size: int) -> Column:
+    """Hex digits of ``size`` bytes with the lowest byte first."""
+    return _once(digits, lambda d: F.concat(*[F.substring(d, 2 * i + 1, 2) for i in reversed(range(size))]))
 
 
 def _int(value, big: bool = False, size: int = 4) -> Column:
     digits = F.lpad(F.hex(F.lit(value).cast("bigint")), 2 * size, "0")
-    return digits if big else _swapped(digits)
+    return digits if big else _swapped(digits, size)
 
 
 def _double(value: Column) -> Column:
@@ -29,36 +37,62 @@ def _double(value: Column) -> Column:
     size = F.abs(value)
     power = F.floor(F.log2(F.when(size > 0, size).otherwise(1.0))).cast("int")
     mantissa = ((size / F.pow(F.lit(2.0), power) - 1.0) * float(1 << 52)).cast("bigint")
-    bits = F.concat(F.lpad(F.hex(power + 1023 + F.when(value < 0, 2048).otherwise(0)), 3, "0"), F.lpad(F.hex(mantissa), 13, "0"))
-    return _swapped(F.when(size > 0, bits).otherwise("0" * 16))
+    bits = F.shiftleft((power + 1023).cast("bigint"), 52).bitwiseOR(mantissa).bitwiseOR(F.when(value < 0, -(1 << 63)).otherwise(0))
+    return _int(F.when(size > 0, bits).otherwise(0), size=8)
 
 
 def _shape(kind: Column, parts: Column) -> Column:
     """Content of a record from parts of [x, y] points."""
-    sizes = F.transform(parts, lambda p: F.size(p))
-    starts = F.transform(F.sequence(F.lit(1), F.size(sizes)), lambda i: F.aggregate(F.slice(sizes, 1, i - 1), F.lit(0), lambda a, v: a + v))
-    points = F.transform(F.flatten(parts), lambda p: F.concat(_double(p[0]), _double(p[1])))
-    return F.concat(_int(kind), F.lit("00" * 32), _int(F.size(parts)), _int(F.size(F.flatten(parts))),
-                    F.array_join(F.transform(starts, lambda s: _int(s)), ""), F.array_join(points, ""))
-
-
-def _files(records: DataFrame, fields: dict[str, int]) -> DataFrame:
-    """(path, content) of shape, index and table files from records (file, k, shape, one text column per field)."""
+    def content(parts: Column) -> Column:
+        sizes = F.transform(parts, lambda p: F.size(p))
+        starts = F.transform(F.sequence(F.lit(1), F.size(sizes)), lambda i: F.aggregate(F.slice(sizes, 1, i - 1), F.lit(0), lambda a, v: a + v))
+        points = F.transform(F.flatten(parts), lambda p: F.concat(_double(p[0]), _double(p[1])))
+        return F.concat(_int(kind), F.lit("00" * 32), _int(F.size(parts)), _int(F.size(F.flatten(parts))),
+                        F.array_join(F.transform(starts, lambda s: _int(s)), ""), F.array_join(points, ""))
+
+    return _once(parts, content)
+
+
+def _files(rows: DataFrame, shape: Column, fields: dict[str, tuple[Column, int]]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pieces (file, at, content) of shape, index and table files with a record per row (file, k), in the order of k.
+
+    ``fields`` gives text and width of each column. A piece holds about a thousand records, however long its file is.
+    """
+    numbered = with_global_row_number(rows, [F.col("file"), F.col("k")], "n")
+    first = numbered.groupBy("file").agg(F.min("n").alias("_first"), F.count("*").alias("records"))
+    number = F.col("n") - F.col("_first")
+    row = F.concat(F.lit("20"), *[F.hex(F.rpad(F.coalesce(text, F.lit("")), n, " ").cast("binary")) for text, n in fields.values()])
+    dealt = spread(numbered.join(first, "file").select(*rows.columns, "records", number.alias("number"), F.floor(number / RECORDS_PER_PIECE).alias("piece")), "file", "piece")
+    # texts are made once, as lists of one; length and order are taken of what is there
+    placed = dealt.select("file", "records", "number", "piece", F.explode(F.array(F.struct(shape.alias("shape"), row.alias("row")))).alias("_t")).select("file", "records", "number", "piece", "_t.*")
     words = F.length("shape") / 4
-    order = Window.partitionBy("file").orderBy("k")
-    before = F.coalesce(F.sum(words + 4).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    row = F.concat(F.lit("20"), *[F.hex(F.rpad(F.coalesce(F.col(c), F.lit("")), n, " ").cast("binary")) for c, n in fields.items()])
-    placed = records.withColumns({"at": (before + 50).cast("bigint"), "words": words.cast("bigint"), "number": F.row_number().over(order), "row": row})
-    each = F.sort_array(F.collect_list(F.struct("k", F.concat(_int(F.col("number"), True), _int(F.col("words"), True), "shape").alias("shp"),
-                                                F.concat(_int(F.col("at"), True), _int(F.col("words"), True)).alias("shx"), F.col("row").alias("dbf"))))
-    whole = placed.groupBy("file").agg(each.alias("each"))
-    size = 1 + sum(fields.values())
-    head = F.concat(F.lit("03180101"), _int(F.size("each")), _int(32 + 32 * len(fields) + 1, size=2), _int(size, size=2), F.lit("00" * 20),
-                    *[F.lit((c.encode().ljust(11, b"\0") + b"C" + b"\0" * 4 + bytes([n]) + b"\0" * 15).hex()) for c, n in fields.items()], F.lit("0d"))
-    contents = F.array(*[F.struct(F.lit(e).alias("ending"), F.unhex(F.concat(start, F.array_join(F.transform("each", lambda x: x[e]), ""))).alias("content"))
-                         for e, start in (("shp", F.lit("00" * 100)), ("shx", F.lit("00" * 100)), ("dbf", head))])
-    built = whole.select("file", F.explode(contents).alias("x")).select(F.concat("file", F.lit("."), "x.ending").alias("path"), "x.content")
-    return materialise(built, "shapefiles")  # as files would be: built once, read by several scans
+    before = F.sum(words + 4).over(Window.partitionBy("file", "piece").orderBy("number").rowsBetween(Window.unboundedPreceding, -1))
+    within = placed.select("file", "piece", "records", F.struct("number", F.coalesce(before, F.lit(0.0)).cast("bigint").alias("at"), words.cast("bigint").alias("words"), "shape", "row").alias("r"))
+    each = within.groupBy("file", "piece", "records").agg(F.sort_array(F.collect_list("r")).alias("each"))
+
+    def text(of) -> Column:
+        return F.array_join(F.transform("each", of), "")
+
+    built = materialise(each.select(
+        "file", "piece", "records", F.unhex(text(lambda r: F.concat(_int(r["number"] + 1, True), _int(r["words"], True), r["shape"]))).alias("shp"),
+        F.transform("each", lambda r: F.struct(r["at"].alias("at"), r["words"].alias("words"))).alias("spans"), F.unhex(text(lambda r: r["row"])).alias("dbf")), "shapefiles")
+    # a row for a thousand records: where the pieces begin
+    lengths = built.select("file", "piece", F.octet_length("shp").cast("bigint").alias("length"))
+    starts = lengths.select("file", "piece", F.coalesce(F.sum("length").over(Window.partitionBy("file").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    begun = F.col("piece") == 0
+    size = 1 + sum(n for _, n in fields.values())
+    head = F.concat(F.lit("03180101"), _int(F.col("records")), _int(32 + 32 * len(fields) + 1, size=2), _int(size, size=2), F.lit("00" * 20),
+                    *[F.lit((c.encode().ljust(11, b"\0") + b"C" + b"\0" * 4 + bytes([n]) + b"\0" * 15).hex()) for c, (_, n) in fields.items()], F.lit("0d"))
+    blank = F.unhex(F.lit("00" * 100))
+
+    def pieces(frame: DataFrame, lead: Column, length: int, offset: Column, content: Column) -> DataFrame:
+        return frame.select("file", F.when(begun, 0).otherwise(length + offset).cast("bigint").alias("at"), F.when(begun, F.concat(lead, content)).otherwise(content).alias("content"))
+
+    placed_pieces = built.join(starts, ["file", "piece"])
+    span = F.unhex(F.array_join(F.transform("spans", lambda s: F.concat(_int(((F.col("start") / 2 + 50).cast("bigint") + s["at"]), True), _int(s["words"], True))), ""))
+    return (pieces(placed_pieces, blank, 100, F.col("start"), F.col("shp")),
+            pieces(placed_pieces, blank, 100, F.col("piece") * (8 * RECORDS_PER_PIECE), span),
+            pieces(built, F.unhex(head), 33 + 32 * len(fields), F.col("piece") * (size * RECORDS_PER_PIECE), F.col("dbf")))
 
 
 def _point(x, y) -> Column:
@@ -67,16 +101,15 @@ def _point(x, y) -> Column:
 
 def _rivers(t: Tables) -> DataFrame:
     """A reach of two parts per supplier; one in ten crosses 180 degrees, some are canals, some are points."""
-    k = F.col("s_suppkey")
+    k = F.col("k")
     over = k % 10 == 0
     x, y = F.when(over, 179).otherwise(k * 7 % 340 - 170), k % 120 - 60
     parts = F.array(F.array(_point(x, y), _point(F.when(over, -179).otherwise(x + 1), F.when(over, y + 2).otherwise(y + 1))), F.array(_point(x, y), _point(x, y - 1)))
     dot = F.concat(_int(1), _double(x.cast("double")), _double(y.cast("double")))
-    rows = t.base("supplier").select(
-        F.concat(F.lit("/rivers/n"), F.col("s_nationkey").cast("string")).alias("file"), k.alias("k"), F.when(k % 7 == 3, dot).otherwise(_shape(F.lit(3), parts)).alias("shape"),
-        F.when(k % 3 > 0, F.concat(F.lit("reach "), k.cast("string"))).alias("NAME"), F.when(k % 11 == 0, "Ship CANAL").alias("KIND"),
-        F.when(k % 5 > 0, (k * 37 % 5000).cast("string")).otherwise("n/a").alias("DIS_AV_CMS"))
-    return decode_shapefiles(_files(rows, {"NAME": 20, "KIND": 12, "DIS_AV_CMS": 10}), per_task=7)
+    rows = t.base("supplier").select(F.concat(F.lit("/rivers/n"), F.col("s_nationkey").cast("string")).alias("file"), F.col("s_suppkey").alias("k"))
+    fields = {"NAME": (F.when(k % 3 > 0, F.concat(F.lit("reach "), k.cast("string"))), 20), "KIND": (F.when(k % 11 == 0, "Ship CANAL"), 12),
+              "DIS_AV_CMS": (F.when(k % 5 > 0, (k * 37 % 5000).cast("string")).otherwise("n/a"), 10)}
+    return decode_pieces(*_files(rows, F.when(k % 7 == 3, dot).otherwise(_shape(F.lit(3), parts)), fields), per_task=7)
 
 
 @registered("import_rivers", f"""
@@ -115,13 +148,13 @@ def _ring(x: Column, y: Column, side: int, clockwise: bool, closed: Column | boo
 
 def _karst(t: Tables) -> DataFrame:
     """Areas by part: with and without holes, open shells, holes before any shell, holes alone, two shells, lines."""
-    k = F.col("p_partkey")
+    k = F.col("k")
     x, y, d = k % 300 - 150, k % 140 - 70, k % 7
     shell, hole, other = _ring(x, y, 6, True, d != 2), _ring(x + 1, y + 1, 2, False), _ring(x + 10, y, 3, True)
     parts = (F.when(d == 0, F.array(hole)).when(d == 3, F.array(hole, shell, hole)).when(d == 4, F.array(shell, hole, other)).when(d == 5, F.array(shell))
              .otherwise(F.array(shell, hole)))
-    rows = t.base("part").select(F.concat(F.lit("/karst/"), (k % 5).cast("string")).alias("file"), k.alias("k"), _shape(F.when(d == 1, 3).otherwise(5), parts).alias("shape"), F.lit("x").alias("TYPE"))
-    return decode_shapefiles(_files(rows, {"TYPE": 4}), per_task=50)
+    rows = t.base("part").select(F.concat(F.lit("/karst/"), (F.col("p_partkey") % 5).cast("string")).alias("file"), F.col("p_partkey").alias("k"))
+    return decode_pieces(*_files(rows, _shape(F.when(d == 1, 3).otherwise(5), parts), {"TYPE": (F.lit("x"), 4)}), per_task=50)
 
 
 _KARST = """WITH p AS (SELECT concat('/karst/', cast(p_partkey % 5 AS varchar)) AS file, row_number() OVER (PARTITION BY p_partkey % 5 ORDER BY p_partkey) - 1 AS ordinal,

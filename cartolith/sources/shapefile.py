@@ -138,20 +138,49 @@ def _little(content: Column, at: int, size: int) -> Column:
     return F.conv(F.concat(*digits), 16, 10).cast("long")
 
 
+# Files are dealt out by stretches of this many bytes; the head of a table is shorter.
+STRETCH = 1 << 20
+
+
 def _stems(files: DataFrame, ending: str) -> DataFrame:
-    return files.where(F.lower("path").endswith(ending)).select(F.expr("substring(path, 1, length(path) - 4)").alias("file"), "content")
+    """Whole files of an ending as pieces (file, at, content) of one stretch each, cut where they are read."""
+    whole = files.where(F.lower("path").endswith(ending)).select(F.expr("substring(path, 1, length(path) - 4)").alias("file"), "content")
+    stretches = F.sequence(F.lit(0), F.floor((F.greatest(F.octet_length("content"), F.lit(1)) - 1) / STRETCH).cast("int"))
+    return whole.withColumn("_i", F.explode(stretches)).select(
+        "file", (F.col("_i").cast("long") * STRETCH).alias("at"), F.substring("content", F.col("_i") * STRETCH + 1, F.lit(STRETCH)).alias("content"))
 
 
-def record_ranges(files: DataFrame, per_task: int) -> DataFrame:
-    """(file, first, last, begin, stop, spans): ranges of records with their bytes in the shape file, from the index files."""
-    content = F.col("content")
-    counted = _stems(files, ".shx").withColumn("records", F.floor((F.octet_length(content) - 100) / 8).cast("long")).where("records > 0")
-    ranges = counted.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("records") - 1, F.lit(per_task).cast("long")))).withColumn(
-        "last", F.least(F.col("first") + per_task, F.col("records")))
-    tail = (101 + 8 * (F.col("last") - 1)).cast("int")
-    return ranges.select("file", "records", "first", "last", (2 * _big(content, (101 + 8 * F.col("first")).cast("int"))).alias("begin"),
-                         (2 * (_big(content, tail) + _big(content, tail + 4)) + 8).alias("stop"),
-                         F.substring(content, (101 + 8 * F.col("first")).cast("int"), (8 * (F.col("last") - F.col("first"))).cast("int")).alias("spans"))
+def _cut(pieces: DataFrame, wanted: DataFrame, out: str) -> DataFrame:
+    """``wanted`` (file, first, lo, hi) with the bytes from ``lo`` to before ``hi``, fewer where the pieces end.
+
+    Both sides meet by file and stretch; only what is wanted goes on to its range.
+    """
+    def stretches(low, high) -> Column:
+        return F.explode(F.sequence(F.floor(low / STRETCH), F.floor((F.greatest(high, low + 1) - 1) / STRETCH)))
+
+    end = F.col("at") + F.octet_length("content")
+    held = pieces.select("file", "at", "content", stretches(F.col("at"), end).alias("_s"))
+    met = wanted.select("file", "first", "lo", "hi", stretches(F.col("lo"), F.col("hi")).alias("_s")).join(held, ["file", "_s"])
+    low, high = F.greatest("lo", "at"), F.least("hi", end)
+    part = F.substring("content", (low - F.col("at") + 1).cast("int"), (high - low).cast("int"))
+    # a piece over several stretches meets a range in the first of those they share
+    parts = met.where((low < high) & (F.floor(low / STRETCH) == F.col("_s"))).select("file", "first", F.struct("at", part.alias("part")).alias("_p"))
+    joined = F.aggregate(F.sort_array("_ps"), F.lit(b"").cast("binary"), lambda a, p: F.concat(a, p["part"]))
+    bytes_of = parts.groupBy("file", "first").agg(F.collect_list("_p").alias("_ps")).select("file", "first", joined.alias(out))
+    return wanted.join(bytes_of, ["file", "first"], "left").withColumn(out, F.coalesce(out, F.lit(b"").cast("binary")))
+
+
+def record_ranges(shapes: DataFrame, index: DataFrame, per_task: int) -> DataFrame:
+    """(file, records, first, last, begin, stop, spans): ranges of records with their bytes in the shape file, from the index files."""
+    sizes = index.groupBy("file").agg(F.max(F.col("at") + F.octet_length("content")).alias("size"))
+    counted = sizes.withColumn("records", F.floor((F.col("size") - 100) / 8).cast("long")).where("records > 0").join(shapes.select("file").distinct(), "file", "left_semi")
+    # ranges are dealt out before they are many
+    ranges = counted.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("records") - 1, F.lit(per_task).cast("long")))).select(
+        "file", "records", "first", F.least(F.col("first") + per_task, F.col("records")).alias("last"))
+    cut = _cut(index, ranges.withColumns({"lo": 100 + 8 * F.col("first"), "hi": 100 + 8 * F.col("last")}).select("file", "first", "lo", "hi"), "spans")
+    spans, tail = F.col("spans"), F.octet_length("spans") - 7
+    return (cut.select("file", "first", (F.floor((F.col("hi") - 100) / 8)).alias("last"), (2 * _big(spans, 1)).alias("begin"), (2 * (_big(spans, tail) + _big(spans, tail + 4)) + 8).alias("stop"), "spans")
+            .join(counted.select("file", "records"), "file"))
 
 
 def _columns(field_bytes: bytes) -> list[tuple[str, int]]:
@@ -228,22 +257,29 @@ RECORDS = ("file string, ordinal long, shape_type int, status string, attributes
 def decode_shapefiles(files: DataFrame, per_task: int = RECORDS_PER_TASK) -> DataFrame:
     """Records (RECORDS) of shape files given as (path, content) rows with their index and table files.
 
-    Only ranges of ``per_task`` records are shuffled, never whole files. A shape without an index is not seen; one without
-    a table, or with a table of another length, is an error. Files without records give none.
+    Files are cut into stretches where they are read, see :func:`decode_pieces`.
+    """
+    return decode_pieces(*[_stems(files, ending) for ending in (".shp", ".shx", ".dbf")], per_task)
+
+
+def decode_pieces(shapes: DataFrame, index: DataFrame, tables: DataFrame, per_task: int = RECORDS_PER_TASK) -> DataFrame:
+    """Records (RECORDS) of shape, index and table files given as pieces (file, at, content): bytes of a file from ``at`` on.
+
+    Ranges of ``per_task`` records are put together from the pieces they touch, never whole files. The head of a table lies
+    in its first piece. A shape without an index is not seen; one without a table, or with a table of another length, is an
+    error. Files without records give none.
     """
-    ranges = record_ranges(files, per_task)
-    by_file = F.broadcast(ranges)  # a row for ``per_task`` records, cut off its spans where only bounds are needed
+    ranges = record_ranges(shapes, index, per_task)
+    bodies = _cut(shapes, ranges.select("file", "first", F.col("begin").alias("lo"), F.col("stop").alias("hi")), "body").select("file", "first", "body")
     content = F.col("content")
-    bodies = _stems(files, ".shp").join(by_file.select("file", "first", "begin", "stop"), "file").select(
-        "file", "first", F.substring(content, (F.col("begin") + 1).cast("int"), (F.col("stop") - F.col("begin")).cast("int")).alias("body"))
-    heads = _stems(files, ".dbf").withColumn("start", _little(content, 9, 2)).withColumn("size", _little(content, 11, 2)).withColumn("rows", _little(content, 5, 4))
+    heads = tables.where("at = 0").select("file", _little(content, 9, 2).alias("start"), _little(content, 11, 2).alias("size"), _little(content, 5, 4).alias("rows"), content.alias("_head"))
+    heads = heads.select("file", "start", "size", "rows", F.substring("_head", 33, (F.col("start") - 33).cast("int")).alias("fields"))
     same = F.when(F.col("rows") == F.col("records"), F.col("size")).otherwise(
         F.raise_error(F.concat("file", F.lit(".dbf and its index disagree on the number of records"))).cast("long"))
-    tables = heads.join(by_file.select("file", "records", "first", "last"), "file").select(
-        "file", "first", F.substring(content, 33, (F.col("start") - 33).cast("int")).alias("fields"), same.alias("size"),
-        F.substring(content, (F.col("start") + F.col("first") * F.col("size") + 1).cast("int"),
-                    ((F.col("last") - F.col("first")) * F.col("size")).cast("int")).alias("table"))
-    whole = ranges.join(bodies, ["file", "first"]).join(tables, ["file", "first"], "left")
+    sized = ranges.select("file", "records", "first", "last").join(heads, "file").select("file", "first", "last", "fields", "start", same.alias("size"))
+    wanted = sized.select("file", "first", (F.col("start") + F.col("first") * F.col("size")).alias("lo"), (F.col("start") + F.col("last") * F.col("size")).alias("hi"))
+    rows = sized.join(_cut(tables, wanted, "table").select("file", "first", "table"), ["file", "first"]).select("file", "first", "fields", "size", "table")
+    whole = ranges.join(bodies, ["file", "first"]).join(rows, ["file", "first"], "left")
     size = F.coalesce("size", F.raise_error(F.concat("file", F.lit(".dbf: filters on attributes would let every record through without it"))).cast("long"))
     return whole.select("file", "first", "spans", "begin", "body", "fields", size.alias("size"), "table").mapInArrow(_decode_ranges, RECORDS)
 
@@ -251,7 +287,7 @@ def decode_shapefiles(files: DataFrame, per_task: int = RECORDS_PER_TASK) -> Dat
 def read_shapefiles(spark: SparkSession, path: str, per_task: int = RECORDS_PER_TASK) -> DataFrame:
     """Records of all shape files of a folder, or of those a pattern without its ending names, on any path Spark can open.
 
-    A file is read by one task and cut there; files of up to 2 GB, as the format and Spark's binary files allow.
+    A file is read by one task and cut into stretches there; files of up to 2 GB, as the format and Spark's binary files allow.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{shp,shx,dbf,SHP,SHX,DBF}").load(path)
     return decode_shapefiles(files.select("path", "content"), per_task)

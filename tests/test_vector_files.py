@@ -178,3 +178,25 @@ def test_cities_and_regions_with_their_countries(spark):
     assert len(away) == 3 and {r.reject_reason for r in away} == {"outside the box"}
     with pytest.raises(Exception, match="unknown country"):
         vectors.split_rejects(importers.regions(features, countries), fail_fast=True)[0].count()
+
+
+def test_files_in_pieces(spark, monkeypatch):
+    """A file used to be built as one row of one group; now pieces are, and ranges of records reach over them."""
+    import types
+    from cartolith.plans import vector_files
+    from cartolith.sources import shapefile
+    parts = spark.range(400).select(F.col("id").alias("p_partkey"))
+    tables = types.SimpleNamespace(base=lambda name: parts)
+    want = sorted(vector_files._karst(tables).collect(), key=lambda r: (r.file, r.ordinal))
+    assert len(want) == 400 and [r.ordinal for r in want] == [i for _ in range(5) for i in range(80)]
+    monkeypatch.setattr(vector_files, "RECORDS_PER_PIECE", 7)
+    monkeypatch.setattr(shapefile, "STRETCH", 700)
+    seen = []
+    decode = vector_files.decode_pieces
+    monkeypatch.setattr(vector_files, "decode_pieces", lambda *pieces, per_task: seen.extend(pieces) or decode(*pieces, per_task))
+    assert sorted(vector_files._karst(tables).collect(), key=lambda r: (r.file, r.ordinal)) == want
+    shapes, index, table = seen
+    for pieces in seen:  # without gaps
+        rows = sorted(pieces.where("file = '/karst/3'").collect(), key=lambda r: r.at)
+        assert len(rows) == 12 and all(a.at + len(a.content) == b.at for a, b in zip(rows, rows[1:])) and rows[0].at == 0
+    assert max(len(r.content) for r in shapes.collect()) < 7 * 400 and index.count() == table.count() == 60
