@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from cartolith.session import materialise
+
 BLOCK_ROWS = 100_000
 SLICE_PAIRS = 2_000_000
 # Cells start no smaller than these shares of the radius and of the extent, so that cell numbers fit 64 bits.
@@ -128,10 +130,10 @@ def near_pairs(points: DataFrame, places: DataFrame, point_at: list[Column], pla
     for n, a in zip(there, axes):
         dealt = dealt.withColumn(a, F.explode(F.sequence(block(F.col(n) - reach), block(F.col(n) + reach))))
     parts = F.ceil(F.col("_n") / BLOCK_ROWS).cast("int")
-    # a few thousand blocks at most, whatever the tables hold
+    # a few thousand blocks at most, whatever the tables hold; written, so that their size is known before the rows meet them
     held = asked.groupBy(*axes).agg(F.count(F.lit(1)).alias("_n")).select(*axes, parts.alias("_np"))
     full = dealt.groupBy(*axes).agg(F.count(F.lit(1)).alias("_n")).select(*axes, parts.alias("_nq"))
-    shares = F.broadcast(held.join(full, axes))
+    shares = materialise(held.join(full, axes), "shares")
     group = [*axes, "_p", "_q"]
 
     def every(n: str) -> Column:
